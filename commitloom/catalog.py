@@ -16,6 +16,7 @@ from .functions import patch as P
 from .functions import verb_object as V
 from .functions.bleu import bleu_tokens as tokens_13a
 from .functions.hashing import key_hash
+from .functions.text import present
 from .operators import annotate as ann
 from .operators import corpus, evaluation, examples, filters, parsing, vocabulary
 from .plans import jobs, work
@@ -661,7 +662,8 @@ def pack_pair(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
-    rows = _packed(spark, sf_dir).where("input_ids IS NOT NULL")
+    packed = A.pack_pair(F.col("a"), F.col("b"), PAIR_SIZE)
+    rows = _id_pairs(spark, sf_dir).select("doc_id", present(packed))
     return rows.withColumn("span", A.message_span(F.col("input_ids"))).withColumn(
         "y", A.message_labels(F.col("input_ids"), F.col("special_tokens_mask"), F.col("span"))
     )
@@ -702,9 +704,8 @@ def mlm_mask(spark, sf_dir):
 
 @query
 def mask_one(spark, sf_dir):
-    one = A.mask_one(F.col("input_ids"), F.col("span"), F.col("doc_id"), "5")
-    rows = _labelled(spark, sf_dir).select("doc_id", one.alias("z")).where("z IS NOT NULL")
-    return rows.select("doc_id", _flat(F.col("z.input_ids")).alias("input_ids"), "z.position", "z.answer")
+    masked = examples.masked_examples(_labelled(spark, sf_dir), "doc_id", "5")
+    return masked.withColumn("input_ids", _flat(F.col("input_ids")))
 
 
 @query

@@ -176,8 +176,9 @@ def parsed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits with their ``files`` array, as landed by the API."""
     files = _files(F.col("doc_id"), F.col("text"))
-    rows = documents(spark, sf_dir).withColumns({**_commit_columns(), "files": files})
-    return rows.select(*COMMIT, "files")
+    # generated, so that filters on the files see stored values and do not build them again
+    landed = F.explode(F.array(files)).alias("files")
+    return documents(spark, sf_dir).withColumns(_commit_columns()).select(*COMMIT, landed)
 
 
 def drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .hashing import hex_number, key_hash
-from .text import words
+from .text import bind, words
 
 # Ids of the special tokens and the label that losses ignore.
 START, PAD, SEP, UNKNOWN, MASK = 0, 1, 2, 3, 4
@@ -40,25 +40,25 @@ def pack_pair(patch_ids: Column, message_ids: Column, max_size: int = 512) -> Co
 
     Only the patch is cut; the rest is padding. Null if the message alone is too long.
     """
-    kept = _cut(patch_ids, F.lit(0), F.lit(max_size - 4) - F.size(message_ids))
-    used = F.size(kept) + F.size(message_ids) + 4
+    left = F.lit(max_size - 4) - F.size(message_ids)
+    n_patch = F.greatest(F.least(F.size(patch_ids), left), F.lit(0))
+    n_message = F.size(message_ids)
+    used = n_patch + n_message + 4
     padding = F.lit(max_size) - used
-    one = F.array(F.lit(1))
     input_ids = F.concat(
         F.array(F.lit(START)),
-        kept,
+        _cut(patch_ids, F.lit(0), n_patch),
         F.array(F.lit(SEP), F.lit(SEP)),
         message_ids,
         F.array(F.lit(SEP)),
         _ints(PAD, padding),
     )
     special = F.concat(
-        one,
-        _ints(0, F.size(kept)),
+        F.array(F.lit(1)),
+        _ints(0, n_patch),
         F.array(F.lit(1), F.lit(1)),
-        _ints(0, F.size(message_ids)),
-        one,
-        _ints(1, padding),
+        _ints(0, n_message),
+        _ints(1, padding + 1),
     )
     return F.when(
         fits_pair(patch_ids, message_ids, max_size),
@@ -72,18 +72,17 @@ def pack_pair(patch_ids: Column, message_ids: Column, max_size: int = 512) -> Co
 
 def message_span(input_ids: Column) -> Column:
     """struct<start, end> of the message tokens behind its marker; null without three separators."""
-    size = F.size(input_ids)
-
-    def next_sep(after: Column) -> Column:
-        found = F.array_position(_cut(input_ids, after, size), SEP).cast("int")
-        return F.when(found > 0, after + found)
-
-    first = F.array_position(input_ids, SEP).cast("int")
-    second = next_sep(F.when(first > 0, first))
-    third = next_sep(second)
-    # positions are 1-based: second + 1 is the 0-based place behind the marker
-    return F.when(
-        third.isNotNull(), F.struct((second + 1).alias("start"), (third - 1).alias("end"))
+    separators = F.array_compact(
+        F.transform(input_ids, lambda x, i: F.when(x == SEP, i))
+    )
+    return bind(
+        separators,
+        lambda at: F.when(
+            F.size(at) >= 3,
+            F.struct(
+                (F.get(at, F.lit(1)) + 2).alias("start"), F.get(at, F.lit(2)).alias("end")
+            ),
+        ),
     )
 
 
@@ -187,24 +186,28 @@ def mask_one(input_ids: Column, span: Column, key: Column, seed: str = "0") -> C
     length = span["end"] - span["start"]
     draw = hex_number(key_hash(key, seed), 1, 8)
     position = F.when(length > 0, span["start"] + F.pmod(draw, length).cast("int"))
-    return F.when(
-        position.isNotNull(),
-        F.struct(
-            _put(input_ids, position, F.lit(MASK)).alias("input_ids"),
-            position.alias("position"),
-            F.get(input_ids, position).alias("answer"),
+    return bind(
+        position,
+        lambda at: F.when(
+            at.isNotNull(),
+            F.struct(
+                _put(input_ids, at, F.lit(MASK)).alias("input_ids"),
+                at.alias("position"),
+                F.get(input_ids, at).alias("answer"),
+            ),
         ),
     )
 
 
 def mask_one_word(message: Column, key: Column, seed: str = "0") -> Column:
     """Message with one word replaced by the mask token; null for a message without words."""
-    tokens = words(message)
     draw = hex_number(key_hash(key, seed), 1, 8)
-    position = F.when(F.size(tokens) > 0, F.pmod(draw, F.size(tokens)).cast("int"))
-    return F.when(
-        position.isNotNull(), F.array_join(_put(tokens, position, F.lit(MASK_TOKEN)), " ")
-    )
+
+    def masked(tokens: Column) -> Column:
+        at = F.pmod(draw, F.size(tokens)).cast("int")
+        return F.when(F.size(tokens) > 0, F.array_join(_put(tokens, at, F.lit(MASK_TOKEN)), " "))
+
+    return bind(words(message), masked)
 
 
 def argmax_ids(logits: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_BREAK
+from .text import LINE_BREAK_BUT_NEWLINE
 
 # Extension -> language, per flavor.
 API_LANGUAGES = {
@@ -109,25 +109,27 @@ def path_header_v2(file: Column) -> Column:
 def _tagged_lines(patch: Column) -> Column:
     """Tagged lines of a patch as text, each behind a newline; '' when no line is left.
 
-    Works on the whole text: line breaks become newlines, hunk headers and empty
-    lines go, then every line gets a tag. A line tagged as kept is retagged only
-    by its own first character, so tag-like text inside a diff is never touched.
+    Works on the whole text in one chain: line breaks become newlines, hunk headers and
+    empty lines go, then every line gets a tag. A line tagged as kept is retagged only by
+    its own first character, so tag-like text inside a diff is never touched.
     """
-    text = F.regexp_replace(patch, LINE_BREAK, "\n")
+    text = F.concat(F.lit("\n"), patch)
+    text = F.regexp_replace(text, LINE_BREAK_BUT_NEWLINE, "\n")
     text = F.regexp_replace(text, HUNK_HEADER, "")
-    text = F.btrim(F.regexp_replace(text, "\n{2,}", "\n"), F.lit("\n"))
-    tagged = F.replace(F.concat(F.lit("\n"), text), F.lit("\n"), F.lit("\n" + KEPT))
-    tagged = F.replace(tagged, F.lit("\n" + KEPT + "+"), F.lit("\n" + ADDED))
-    tagged = F.replace(tagged, F.lit("\n" + KEPT + "-"), F.lit("\n" + DELETED))
-    return F.when(text == "", F.lit("")).otherwise(tagged)
+    text = F.regexp_replace(text, r"\n(?=\n|\z)", "")
+    return _replace_in_turn(
+        text,
+        [
+            ("\n", "\n" + KEPT),
+            ("\n" + KEPT + "+", "\n" + ADDED),
+            ("\n" + KEPT + "-", "\n" + DELETED),
+        ],
+    )
 
 
 def tag_patch(patch: Column) -> Column:
     """Tagged lines of a patch as an array."""
-    lines = _tagged_lines(patch)
-    return F.when(lines == "", F.array().cast("array<string>")).otherwise(
-        F.split(lines.substr(F.lit(2), F.length(lines)), "\n")
-    )
+    return F.array_remove(F.split(_tagged_lines(patch), "\n"), "")
 
 
 def serialize_commit(files: Column, flavor: str = "v1") -> Column:

@@ -9,6 +9,7 @@ from ..config import ExampleConfig
 from ..functions import arrays as A
 from ..functions import message as M
 from ..functions import patch as P
+from ..functions.text import present
 from .corpus import debug_head
 from .filters import drop_null_messages, for_language, single_file, unmixed
 from .vocabulary import encode
@@ -42,6 +43,15 @@ def mlm_examples(
     )
 
 
+def masked_examples(
+    packed: DataFrame, key: str = "sha", seed: str = "0"
+) -> DataFrame:
+    """(key, input_ids, position, answer): one masked message token per (key, input_ids, span)
+    row; a row without message tokens goes."""
+    one = A.mask_one(F.col("input_ids"), F.col("span"), F.col(key), seed)
+    return packed.select(key, present(one))
+
+
 def seq2seq_examples(
     df: DataFrame, vocab: DataFrame, config: ExampleConfig = ExampleConfig(), key: str = "sha"
 ) -> DataFrame:

@@ -189,12 +189,17 @@ FROM predicted WHERE (example_id + i - 1) % 4 <> 0 GROUP BY model, main_lang""",
 def _bleu_views(tokens) -> dict[str, str]:
     return {
         "toks": f"SELECT *, {tokens('prediction')} AS p, {tokens('reference')} AS r FROM pairs",
+        "words_long": """
+SELECT example_id, 1 AS s, unnest(range(0, len(p))) AS i, unnest(p) AS g1 FROM toks
+UNION ALL SELECT example_id, 0 AS s, unnest(range(0, len(r))) AS i, unnest(r) AS g1 FROM toks""",
+        "ahead": """
+SELECT example_id, s, g1, lead(g1, 1) OVER w AS g2, lead(g1, 2) OVER w AS g3, lead(g1, 3) OVER w AS g4
+FROM words_long WINDOW w AS (PARTITION BY example_id, s ORDER BY i)""",
         "grams": """
-SELECT example_id, n, 1 AS s, array_to_string(p[i:i + n - 1], ' ') AS g
-FROM (SELECT example_id, n, p, unnest(range(1, len(p) - n + 2)) AS i FROM toks, range(1, 5) AS o(n))
-UNION ALL
-SELECT example_id, n, 0 AS s, array_to_string(r[i:i + n - 1], ' ') AS g
-FROM (SELECT example_id, n, r, unnest(range(1, len(r) - n + 2)) AS i FROM toks, range(1, 5) AS o(n))""",
+SELECT example_id, s, 1 AS n, g1 AS g FROM ahead
+UNION ALL SELECT example_id, s, 2, g1 || ' ' || g2 FROM ahead WHERE g2 IS NOT NULL
+UNION ALL SELECT example_id, s, 3, g1 || ' ' || g2 || ' ' || g3 FROM ahead WHERE g3 IS NOT NULL
+UNION ALL SELECT example_id, s, 4, g1 || ' ' || g2 || ' ' || g3 || ' ' || g4 FROM ahead WHERE g4 IS NOT NULL""",
         "matched": """
 SELECT example_id, n, sum(least(cp, cr)) AS m FROM
   (SELECT example_id, n, g, sum(s) AS cp, sum(1 - s) AS cr FROM grams GROUP BY example_id, n, g)
@@ -561,7 +566,8 @@ def oracle_sql() -> dict[str, str]:
         "subsequence_positions": _sql(
             """SELECT a.doc_id, coalesce(array_to_string(list(DISTINCT p ORDER BY p), ' '), '') AS positions FROM
             (SELECT doc_id FROM documents) a LEFT JOIN
-            (SELECT doc_id, unnest([i - 1, i]) AS p FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM id_pairs)
+            (SELECT doc_id, 0 AS p FROM id_pairs WHERE len(a) = 1 UNION ALL
+             SELECT doc_id, unnest([i - 1, i]) AS p FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM id_pairs)
               WHERE a[i] = a[1] AND a[i + 1] = a[2]) b USING (doc_id) GROUP BY a.doc_id""",
             _ID_PAIRS,
         ),
