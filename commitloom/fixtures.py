@@ -1,11 +1,14 @@
-"""Commit-shaped views over the given ``documents`` and ``embeddings`` tables.
+"""Commit-shaped tables made of the given ``documents`` table.
 
 Each document is one commit: its message and every patch carry the whole text. The
-views are row-local, so nothing is shuffled to build them.
+tables are row-local functions of the documents and are landed as Parquet once per
+application, as collected commits would be; queries then read the columns they need.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,22 @@ from .functions import message as M
 from .functions import patch as P
 from .functions import verb_object as V
 from .functions.text import words
+from .sources import scratch
+
+# (application, sf_dir, table) -> folder of the landed table
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """The named table, written to the shared folder when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LANDED:
+        path = scratch.new_folder(spark)
+        build(spark, sf_dir).write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -163,7 +182,7 @@ COMMIT = ["doc_id", "sha", "owner", "repo", "author", "committer", "message"]
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).withColumns(_commit_columns()).select(*COMMIT)
+    return commit_files(spark, sf_dir).select(*COMMIT)
 
 
 def parsed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +194,13 @@ def parsed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits with their ``files`` array, as landed by the API."""
+    return landed(spark, sf_dir, "commit_files", _build_commit_files)
+
+
+def _build_commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(F.col("doc_id"), F.col("text"))
-    # generated, so that filters on the files see stored values and do not build them again
-    landed = F.explode(F.array(files)).alias("files")
-    return documents(spark, sf_dir).withColumns(_commit_columns()).select(*COMMIT, landed)
+    rows = documents(spark, sf_dir).withColumns({**_commit_columns(), "files": files})
+    return rows.select(*COMMIT, "files")
 
 
 def drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +208,10 @@ def drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A commit with an unsupported file never enters the dump.
     """
+    return landed(spark, sf_dir, "drilled_commits", _build_drilled_commits)
+
+
+def _build_drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = commit_files(spark, sf_dir)
     added = F.col("doc_id") % 10 == 4
     files = F.transform(
@@ -227,6 +253,10 @@ def drilled_parses(drilled: DataFrame, subject: Column) -> DataFrame:
 
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, main_lang, file_count, prediction, reference) pairs of whole texts."""
+    return landed(spark, sf_dir, "eval_pairs", _build_eval_pairs)
+
+
+def _build_eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, text = F.col("doc_id"), F.col("text")
     without_first = text.substr(F.instr(text, " ") + 1, F.length(text))
     shortened = F.when(n % 4 == 0, without_first).otherwise(text)

@@ -25,16 +25,19 @@ PUNCTUATION_RULES = (
 )
 
 
-def bleu_tokens(text: Column, plain: bool = False) -> Column:
-    """Tokens of a text: punctuation split off as 13a does, or plain whitespace words."""
-    if plain:
-        return words(text)
+def bleu_text(text: Column) -> Column:
+    """Text with blanks around the punctuation that 13a makes words of its own."""
     for found, put in (("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES):
         text = F.replace(text, F.lit(found), F.lit(put))
     text = F.concat(F.lit(" "), text, F.lit(" "))
     for pattern, put in PUNCTUATION_RULES:
         text = F.regexp_replace(text, pattern, put)
-    return words(text)
+    return text
+
+
+def bleu_tokens(text: Column, plain: bool = False) -> Column:
+    """Tokens of a text: punctuation split off as 13a does, or plain whitespace words."""
+    return words(text if plain else bleu_text(text))
 
 
 def possible_matches(length: Column, order: int) -> Column:
@@ -68,15 +71,16 @@ def bleu_score(
     return F.when(reference_length > 0, F.round(score * 100, 2))
 
 
-def clipped_matches(prediction: Column, reference: Column) -> Column:
-    """struct<m1..m4>: n-grams of the prediction also in the reference, counted at most as
-    often as there.
+def match_counts(prediction: Column, reference: Column) -> Column:
+    """struct<m1..m4, len_p, len_r> of two texts whose words are their tokens.
 
-    Stays in the row, so no n-gram is shuffled: the n-grams of all pairs are many
-    times the text, and memory is bounded by one pair.
+    A match is an n-gram of the prediction also in the reference, counted at most as
+    often as there. The counting stays in the row: as rows of their own, the n-grams to
+    shuffle would be many times the text. Memory is bounded by one pair.
     """
     orders = range(1, MAX_ORDER + 1)
-    schema = T.StructType([T.StructField(f"m{n}", T.LongType()) for n in orders])
+    names = [*(f"m{n}" for n in orders), "len_p", "len_r"]
+    schema = T.StructType([T.StructField(name, T.LongType()) for name in names])
 
     @F.pandas_udf(schema)
     def count(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
@@ -84,9 +88,9 @@ def clipped_matches(prediction: Column, reference: Column) -> Column:
             return Counter(zip(*(tokens[start:] for start in range(order))))
 
         rows = [
-            [(ngrams(p, n) & ngrams(r, n)).total() for n in orders]
-            for p, r in zip(map(list, predictions), map(list, references))
+            [*((ngrams(p, n) & ngrams(r, n)).total() for n in orders), len(p), len(r)]
+            for p, r in zip(predictions.map(str.split), references.map(str.split))
         ]
-        return pd.DataFrame(rows, columns=[f"m{n}" for n in orders], dtype="int64")
+        return pd.DataFrame(rows, columns=names, dtype="int64")
 
     return count(prediction, reference)

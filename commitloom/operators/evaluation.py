@@ -23,18 +23,14 @@ BLEU_COUNTS = [f"m{n}" for n in _ORDERS] + [f"t{n}" for n in _ORDERS] + ["len_p"
 
 def bleu_counts(pairs: DataFrame, keep: list[str], plain: bool = False) -> DataFrame:
     """Per pair: clipped matches, possible matches and lengths, next to the ``keep`` columns."""
-    tokens = pairs.select(
+    prediction, reference = F.col("prediction"), F.col("reference")
+    if not plain:
+        prediction, reference = B.bleu_text(prediction), B.bleu_text(reference)
+    counted = pairs.select(*keep, B.match_counts(prediction, reference).alias("c"))
+    return counted.select(
         *keep,
-        B.bleu_tokens(F.col("prediction"), plain).alias("p"),
-        B.bleu_tokens(F.col("reference"), plain).alias("r"),
-    )
-    length = F.size("p")
-    return tokens.select(*keep, B.clipped_matches(F.col("p"), F.col("r")).alias("m"), "p", "r").select(
-        *keep,
-        "m.*",
-        *[B.possible_matches(length, n).cast("bigint").alias(f"t{n}") for n in _ORDERS],
-        length.cast("bigint").alias("len_p"),
-        F.size("r").cast("bigint").alias("len_r"),
+        "c.*",
+        *[B.possible_matches(F.col("c.len_p"), n).alias(f"t{n}") for n in _ORDERS],
     )
 
 

@@ -15,7 +15,7 @@ from ..functions.text import words
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>", "<mask>")
 MARKERS = ("<ide>", "<add>", "<del>", "<msg>", "<path>")
 RESERVED = SPECIALS + MARKERS
-_MARKER_PATTERN = "(" + "|".join(RESERVED) + ")"
+_MARKER_PATTERN = "(<(?:" + "|".join(token[1:-1] for token in RESERVED) + ")>)"
 
 # Bounds up to which a vocabulary travels inside the plan as one literal.
 INLINE_TOKENS = 65_536
@@ -34,9 +34,8 @@ def count_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Tokens are counted before the shuffle, so a frequent token is one row per task.
     """
-    parts = [df.select(F.explode(tokens(F.col(c))).alias("token")) for c in columns]
-    stacked = reduce(lambda a, b: a.unionByName(b), parts) if len(parts) > 1 else parts[0]
-    counted = stacked.groupBy("token").agg(F.count("*").alias("n"))
+    every = F.concat(*[tokens(F.coalesce(c, F.lit(""))) for c in columns])
+    counted = df.select(F.explode(every).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return counted.where(~F.col("token").isin(*RESERVED))
 
 
