@@ -1,0 +1,96 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from commitloom.config import ExampleConfig, StageConfig
+from commitloom.operators import examples, vocabulary
+from commitloom.sources import scratch
+
+TEXTS = [
+    ("a", "<ide><path>x.py\n<add>new line <mask>", "add the line"),
+    ("b", "<add>the line\n<del>the", "drop the line"),
+    ("c", "", ""),
+    ("d", "<s>é　漢 the", None),
+]
+
+
+@pytest.fixture
+def rows(spark):
+    return spark.createDataFrame(TEXTS, "sha string, patch string, message string")
+
+
+def split(text):
+    for token in vocabulary.RESERVED:
+        text = text.replace(token, f" {token} ")
+    return text.split()
+
+
+def test_build_vocab(rows):
+    vocab = {r["token"]: r["id"] for r in vocabulary.build_vocab(rows, ["patch", "message"], 3).collect()}
+    counts = Counter(t for _, p, m in TEXTS for t in split(p) + split(m or ""))
+    for token in vocabulary.RESERVED:
+        counts.pop(token, None)
+    best = sorted(counts.items(), key=lambda item: (-item[1], item[0]))[:3]
+    want = {t: i for i, t in enumerate(vocabulary.RESERVED)} | {t: 10 + i for i, (t, _) in enumerate(best)}
+    assert vocab == want
+
+
+@pytest.mark.parametrize("inline", [True, False, None])
+def test_encode(rows, inline):
+    vocab = scratch.stored(vocabulary.build_vocab(rows, ["patch", "message"], 4))
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    got = {r["sha"]: r for r in vocabulary.encode(rows, ["patch", "message"], vocab, "sha", inline).collect()}
+    for sha, patch, message in TEXTS:
+        assert got[sha]["patch_ids"] == [ids.get(t, 3) for t in split(patch)]
+        want = None if message is None else [ids.get(t, 3) for t in split(message)]
+        assert got[sha]["message_ids"] == want
+
+
+def test_a_large_vocabulary_is_joined(rows, spark, monkeypatch):
+    vocab = vocabulary.build_vocab(rows, ["patch"], 5)
+    assert vocabulary.fits_inline(vocab)
+    monkeypatch.setattr(vocabulary, "INLINE_TOKENS", 5)
+    assert not vocabulary.fits_inline(vocab)
+    monkeypatch.setattr(vocabulary, "INLINE_TOKENS", 100)
+    monkeypatch.setattr(vocabulary, "INLINE_BYTES", 5)
+    assert not vocabulary.fits_inline(vocab)
+
+
+def test_mlm_examples(spark):
+    rows = spark.createDataFrame(
+        [("a", "<ide>x y z", "add it", "Go", 1), ("b", "<ide>x", "add " * 9, "Go", 1), ("c", "x", "m", "Mixed", 1)],
+        "sha string, patch string, message string, content_type string, file_count int",
+    )
+    vocab = vocabulary.build_vocab(rows, ["patch", "message"], 9)
+    got = {r["sha"]: r for r in examples.mlm_examples(rows, vocab, ExampleConfig(max_input_size=10)).collect()}
+    assert set(got) == {"a", "b"}  # the mixed one is left out
+    assert got["b"]["input_ids"] is None  # its message alone is too long
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    a = got["a"]
+    message = [ids["<msg>"], ids["add"], ids["it"]]
+    assert a["input_ids"] == [0, ids["<ide>"], ids["x"], ids["y"], 2, 2, *message, 2]
+    assert a["labels"] == [-100] * 7 + message[1:] + [-100]
+    assert a["special_tokens_mask"] == [1] * 7 + [0, 0] + [1]
+
+
+def test_seq2seq_examples_drop_null_messages(rows):
+    table = rows.withColumns({"content_type": F.lit("Go"), "file_count": F.lit(1)})
+    vocab = vocabulary.build_vocab(rows, ["patch", "message"], 9)
+    got = examples.seq2seq_examples(table, vocab, ExampleConfig(8, 4)).collect()
+    assert {r["sha"] for r in got} == {"a", "b", "c"}
+    assert all(len(r["input_ids"]) == 8 and len(r["labels"]) == 4 for r in got)
+
+
+def test_prepare_eval(spark):
+    rows = spark.createDataFrame(
+        [("<del>a<mask>", " x \n y", "Go"), ("b", "m", "PHP")], "patch string, message string, main_lang string"
+    )
+    got = examples.prepare_eval(rows, compat=True, lang="Go").collect()
+    assert [tuple(r) for r in got] == [("-a", "<msg> x y", "Go")]
+    assert examples.prepare_eval(rows).count() == 2
+
+
+def test_rerun_needs_overwrite():
+    with pytest.raises(ValueError):
+        StageConfig(rerun_rule_filters=True)
