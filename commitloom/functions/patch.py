@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_BREAK_BUT_NEWLINE
+from .text import LINE_BREAK_BUT_NEWLINE, bind
 
 # Extension -> language, per flavor.
 API_LANGUAGES = {
@@ -168,21 +168,34 @@ def repo_id(full_name: Column) -> Column:
 
 
 def languages(files: Column, language: Callable[[Column], Column] = language_v1) -> Column:
-    return F.transform(files, lambda f: language(f["filename"]))
+    # by the name field alone, so that a scan for it leaves the patches unread
+    return F.transform(files["filename"], language)
 
 
 def all_files_supported(files: Column, flavor: str = "v1") -> Column:
     """No file of an unsupported kind; without any file v1 says no and v2 yes."""
     _check_flavor(flavor)
+    names = files["filename"]
     if flavor == "v1":
-        known = F.forall(files, lambda f: language_v1(f["filename"]).isNotNull())
-        return known & (F.size(files) > 0)
-    return F.forall(files, lambda f: language_v2(f["filename"]).isNotNull())
+        return F.forall(names, lambda f: language_v1(f).isNotNull()) & (F.size(names) > 0)
+    return F.forall(names, lambda f: language_v2(f).isNotNull())
 
 
 def complete_patches(files: Column) -> Column:
     """Every file has a patch (binary and oversized files have none)."""
-    return F.forall(files, lambda f: f["patch"].isNotNull())
+    return F.forall(files["patch"], lambda patch: patch.isNotNull())
+
+
+def fits_size(files: Column, max_chars: int) -> Column:
+    """Quarantine rule: the patches together are at most this long; a commit is one row of text."""
+    return (
+        F.aggregate(
+            files["patch"],
+            F.lit(0).cast("bigint"),
+            lambda total, patch: total + F.coalesce(F.length(patch), F.lit(0)),
+        )
+        <= max_chars
+    )
 
 
 def content_type(files: Column) -> Column:
@@ -190,18 +203,23 @@ def content_type(files: Column) -> Column:
 
     The main language is the most frequent one, alphabetical on ties.
     """
-    langs = languages(files)
-    distinct = F.array_distinct(langs)
-    ranked = F.transform(
-        distinct,
-        lambda lang: F.struct(
-            (-F.size(F.filter(langs, lambda x: x == lang))).alias("rank"), lang.alias("lang")
-        ),
-    )
-    main = F.array_min(ranked)["lang"]
-    kind = F.when(F.size(distinct) > 1, F.lit("Mixed")).otherwise(F.get(langs, F.lit(0)))
-    ok = all_files_supported(files)
-    return F.struct(F.when(ok, kind).alias("content_type"), F.when(ok, main).alias("main_lang"))
+
+    def classify(langs: Column) -> Column:
+        distinct = F.array_distinct(langs)
+        ranked = F.transform(
+            distinct,
+            lambda lang: F.struct(
+                (-F.size(F.filter(langs, lambda x: x == lang))).alias("rank"), lang.alias("lang")
+            ),
+        )
+        kind = F.when(F.size(distinct) > 1, F.lit("Mixed")).otherwise(F.get(langs, F.lit(0)))
+        known = (F.size(langs) > 0) & F.forall(langs, lambda x: x.isNotNull())
+        return F.struct(
+            F.when(known, kind).alias("content_type"),
+            F.when(known, F.array_min(ranked)["lang"]).alias("main_lang"),
+        )
+
+    return bind(languages(files), classify)
 
 
 def mixed_content(content_types: Column) -> Column:

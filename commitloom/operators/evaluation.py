@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bleu as B
 from ..functions.arrays import IGNORED
+from ..functions.text import bind
 
 # Report columns.
 REPORT_LANGUAGES = ("Java", "Go", "PHP", "Javascript", "Ruby", "Python")
@@ -91,13 +92,13 @@ def bleu_report(pairs: DataFrame, smooth: bool = True, plain: bool = False) -> D
 
 def hits(predictions: Column, labels: Column) -> Column:
     """struct<correct, labelled> over the positions that carry a label."""
-    kept = F.filter(
-        F.zip_with(predictions, labels, lambda p, l: F.when(l != IGNORED, p == l)),
-        lambda hit: hit.isNotNull(),
-    )
-    return F.struct(
-        F.size(F.filter(kept, lambda hit: hit)).cast("bigint").alias("correct"),
-        F.size(kept).cast("bigint").alias("labelled"),
+    right = F.zip_with(predictions, labels, lambda p, l: F.when(l != IGNORED, p == l))
+    return bind(
+        F.array_compact(right),
+        lambda kept: F.struct(
+            F.size(F.array_remove(kept, False)).cast("bigint").alias("correct"),
+            F.size(kept).cast("bigint").alias("labelled"),
+        ),
     )
 
 

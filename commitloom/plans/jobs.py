@@ -145,7 +145,8 @@ def publish_job(
         corpus.explode_files(owned).write.mode("overwrite").parquet(f"{out}/raw-diffs")
     if config.publish_dataset:
         rows = readers.read_stage(spark, processed).select(*schemas.PROCESSED.fieldNames())
-        writers.export_splits(published(rows, config.seed), f"{out}/processed-diffs")
+        split = corpus.split(rows, "sha", config.seed)
+        writers.export_splits(split, f"{out}/processed-diffs", "sha", config.seed)
 
 
 def _todo(spark, rows: DataFrame, out: str, keys: list[str], config: StageConfig) -> DataFrame:

@@ -129,6 +129,12 @@ def test_supported_files(values):
     assert got == [True, False, True]
 
 
+def test_size_rule(values):
+    commits = [[("a.py", None, "modified", "12345"), ("b.py", None, "modified", None)], []]
+    assert values(commits, API, lambda f: P.fits_size(f, 5)) == [True, True]
+    assert values(commits, API, lambda f: P.fits_size(f, 4)) == [False, True]
+
+
 def test_keys(values):
     assert values(["a/b/c"], "string", P.repo_id) == ["a-b-c"]
     assert values(["a"], "string", lambda a: P.repo_key(a, F.lit("b-c"))) == ["a-b-c"]

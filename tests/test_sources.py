@@ -118,6 +118,17 @@ def test_splits(spark, tmp_path):
     assert test.count() == rows.where("split = 'test'").count() > 0
 
 
+def test_splits_in_random_order(spark, tmp_path):
+    path = str(tmp_path / "data")
+    rows = corpus.split(spark.range(300).selectExpr("md5(string(id)) AS sha"))
+    writers.export_splits(rows, path, seed="4")
+    got = [r["sha"] for r in readers.read_dataset(spark, path, "train").coalesce(1).collect()]
+    want = [r["sha"] for r in corpus.shuffle(rows.where("split = 'train'"), seed="4").collect()]
+    assert sorted(got) == sorted(want) and got != sorted(got)
+    if len(list((tmp_path / "data" / "split=train").glob("*.parquet"))) == 1:
+        assert got == want
+
+
 def test_report(spark, tmp_path):
     writers.write_report(spark.createDataFrame([("m", 1.5, None)], "Model string, Overall double, Go double"), str(tmp_path / "r"))
     (part,) = (tmp_path / "r").glob("*.csv")
