@@ -84,11 +84,13 @@ def match_counts(prediction: Column, reference: Column) -> Column:
 
     @F.pandas_udf(schema)
     def count(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
-        def ngrams(tokens, order):
-            return Counter(zip(*(tokens[start:] for start in range(order))))
+        def matches(p, r, order):
+            in_p, in_r = (Counter(zip(*(t[start:] for start in range(order)))) for t in (p, r))
+            common = in_p.keys() & in_r.keys()
+            return sum(map(min, map(in_p.__getitem__, common), map(in_r.__getitem__, common)))
 
         rows = [
-            [*((ngrams(p, n) & ngrams(r, n)).total() for n in orders), len(p), len(r)]
+            [*(matches(p, r, n) for n in orders), len(p), len(r)]
             for p, r in zip(predictions.map(str.split), references.map(str.split))
         ]
         return pd.DataFrame(rows, columns=names, dtype="int64")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..config import StageConfig
+from ..config import StageConfig, StagePaths
 from ..functions import message as M
 from ..functions import patch as P
 from ..operators import annotate as ann
@@ -61,12 +61,19 @@ def drill(
     commits: DataFrame,
     spacy_factory: ParserFactory | None = None,
     stanza_factory: ParserFactory | None = None,
+    spread: bool = False,
 ) -> DataFrame:
-    """Drilled commits to rows, map-only. Without parsers the verb-object flags must be given."""
+    """Drilled commits to rows, map-only. Without parsers the verb-object flags must be given.
+
+    ``spread`` re-spreads the commits left by the cheap rules before the costly work, for
+    sources that put a whole repository into one read task.
+    """
     subject = M.extract_subject_v2(F.col("message"))
     ruled = commits.withColumn("subject", subject).where(
         ann.drill_cheap_rules(F.col("author"), F.col("subject"))
     )
+    if spread:
+        ruled = ruled.repartition("hash")
     if spacy_factory is not None:
         ruled = with_verb_object(ruled, spacy_factory, stanza_factory, F.lit(True))
     return ann.commit_quality_filter(ruled).select(
@@ -91,18 +98,25 @@ def annotate_job(
     stanza_factory: ParserFactory,
     config: StageConfig = StageConfig(),
 ) -> None:
-    """Annotate the repositories of a metadata folder that have no output yet."""
+    """Annotate the repositories of a metadata folder that have no output yet.
+
+    A metadata file is one read task, and one repository may be a third of all commits:
+    the rows are spread by hash before the parsers run.
+    """
     commits = readers.read_repo_metadata(spark, metadata_path)
-    todo = _todo(spark, commits, out, ["owner", "repo"], config)
+    todo = _todo(spark, commits, out, ["owner", "repo"], config).repartition("sha")
     writers.write_stage(
         annotate(todo, spacy_factory, stanza_factory, config.full_parse), out, ["owner", "repo"]
     )
 
 
-def rerun_rules_job(spark, path: str, out: str) -> None:
-    """Re-apply the rules to a stored annotated table; ``out`` differs from ``path``."""
+def rerun_rules_job(spark, path: str, out: str | None = None) -> None:
+    """Re-apply the rules to a stored annotated table, in place unless ``out`` is given.
+
+    Replaced repositories are staged and swapped in when all of them are written.
+    """
     annotated = readers.read_stage(spark, path)
-    writers.write_stage(ann.reapply_rules(annotated), out, ["owner", "repo"])
+    writers.write_stage(ann.reapply_rules(annotated), out or path, ["owner", "repo"])
 
 
 def preprocess_job(
@@ -121,8 +135,12 @@ def preprocess_job(
 def drill_job(
     spark, source: str, out: str, spacy_factory: ParserFactory, stanza_factory: ParserFactory
 ) -> None:
-    """One output table of a folder of drilled repositories; no shuffle at all."""
-    rows = drill(readers.read_drilled(spark, source), spacy_factory, stanza_factory)
+    """One output table of a folder of drilled repositories.
+
+    A dump is one read task; only the commits passing the cheap rules are spread.
+    """
+    commits = readers.read_drilled(spark, source)
+    rows = drill(commits, spacy_factory, stanza_factory, spread=True)
     rows.write.mode("overwrite").parquet(out)
 
 
@@ -149,6 +167,23 @@ def publish_job(
         writers.export_splits(split, f"{out}/processed-diffs", "sha", config.seed)
 
 
+def run_stages(
+    spark,
+    config: StageConfig,
+    paths: StagePaths,
+    spacy_factory: ParserFactory | None = None,
+    stanza_factory: ParserFactory | None = None,
+) -> None:
+    """Run the stages switched on, in order; all repositories of a stage at once."""
+    if config.annotate_metadata:
+        annotate_job(spark, paths.metadata, paths.annotated, spacy_factory, stanza_factory, config)
+    if config.rerun_rule_filters:
+        rerun_rules_job(spark, paths.annotated)
+    if config.preprocess_diffs:
+        preprocess_job(spark, paths.raw_diffs, paths.annotated, paths.processed, config)
+    publish_job(spark, config, paths.annotated, paths.raw_diffs, paths.processed, paths.published)
+
+
 def _todo(spark, rows: DataFrame, out: str, keys: list[str], config: StageConfig) -> DataFrame:
     """Rows of the units that still need output."""
     if config.overwrite_existing or not readers.exists(spark, out):

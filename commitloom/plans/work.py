@@ -64,3 +64,16 @@ def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Data
     """(good rows, bad rows with ``reason``); one bad row never stops the others."""
     flagged = with_reason(df, rules)
     return flagged.where("reason IS NULL").drop("reason"), flagged.where("reason IS NOT NULL")
+
+
+def store_checked(
+    df: DataFrame, rules: dict[str, Column], path: str
+) -> tuple[DataFrame, DataFrame]:
+    """``quarantine`` through a table: the rows are computed once, checked and written under
+    ``is_bad=false`` and ``is_bad=true``; runs a job."""
+    flagged = with_reason(df, rules).withColumn("is_bad", F.col("reason").isNotNull())
+    flagged.write.mode("overwrite").partitionBy("is_bad").parquet(path)
+    schema = flagged.schema
+    table = df.sparkSession.read.schema(schema).parquet(path)
+    good, bad = table.where(~F.col("is_bad")), table.where("is_bad")
+    return good.drop("reason", "is_bad"), bad.drop("is_bad")

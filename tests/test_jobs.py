@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitloom.catalog import sentence_parser, token_parser
-from commitloom.config import StageConfig
+from commitloom.config import StageConfig, StagePaths
 from commitloom.operators import annotate as ann
 from commitloom.operators import parsing
 from commitloom.plans import jobs
@@ -126,6 +126,18 @@ def test_stages(spark, landed):
     assert again == fitting
 
 
+def test_run_stages(spark, landed):
+    paths = StagePaths(*(str(landed / d) for d in ("meta", "b", "diffs", "d", "e")))
+    first = StageConfig(annotate_metadata=True, preprocess_diffs=True)
+    jobs.run_stages(spark, first, paths, token_parser, sentence_parser)
+    before = stored(spark, paths.annotated)
+    again = StageConfig(rerun_rule_filters=True, overwrite_existing=True, publish_dataset=True, seed="1")
+    jobs.run_stages(spark, again, paths)
+    assert stored(spark, paths.annotated) == before  # the rules are re-applied in place
+    got = spark.read.parquet(f"{paths.published}/processed-diffs")
+    assert {r["sha"] for r in got.collect()} == {"aa", "bb"}
+
+
 def test_done_units_are_skipped(spark, landed):
     out = str(landed / "b")
     args = (spark, str(landed / "meta"), out)
@@ -162,14 +174,14 @@ def test_drill_job(spark, tmp_path):
 
 
 def stored(spark, path):
-    return sorted(tuple(r) for r in spark.read.parquet(path).collect())
+    return sorted((tuple(r) for r in spark.read.parquet(path).collect()), key=repr)
 
 
 def test_stream_equals_batch(spark, landed):
     landing, out = landed / "diffs", str(landed / "stream")
     ingest_stream(spark, str(landing), out, str(landed / "cp"), max_files=2).awaitTermination(120)
     batch = jobs.preprocess(readers.read_raw_diffs(spark, str(landing)), None, ["repo_key", "sha"])
-    want = sorted(tuple(r) for r in batch.collect())
+    want = sorted((tuple(r) for r in batch.collect()), key=repr)
     assert stored(spark, out) == want and len(want) == 4
 
     # nothing new: nothing added; one new and one repeated commit: one added

@@ -38,3 +38,10 @@ def test_quarantine_names_the_first_broken_rule(spark):
     good, bad = work.quarantine(df, {"positive": F.col("a") > 0, "present": F.col("b").isNotNull()})
     assert [tuple(r) for r in good.collect()] == [(1, "x")]
     assert sorted(r["reason"] for r in bad.collect()) == ["positive"] * 3 + ["present"]
+
+
+def test_store_checked(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (-1, "y")], "a int, b string")
+    good, bad = work.store_checked(df, {"positive": F.col("a") > 0}, str(tmp_path / "t"))
+    assert [tuple(r) for r in good.collect()] == [(1, "x")]
+    assert [tuple(r) for r in bad.select("a", "b", "reason").collect()] == [(-1, "y", "positive")]
