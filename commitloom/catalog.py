@@ -843,10 +843,7 @@ def preprocess_job(spark, sf_dir):
 
 @query
 def drill_job(spark, sf_dir):
-    rows = X.drilled_commits(spark, sf_dir)
-    subject = M.extract_subject_v2(F.col("message"))
-    parsed = X.drilled_parses(rows, subject)
-    return jobs.drill(parsed)
+    return jobs.drill(X.parsed_drilled_commits(spark, sf_dir))
 
 
 @query

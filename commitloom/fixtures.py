@@ -186,21 +186,27 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits with v1 subject and both parses of it."""
-    rows = commits(spark, sf_dir).withColumn("subject", M.extract_subject_v1(F.col("message")))
-    n, subject = F.col("doc_id"), F.col("subject")
-    return rows.withColumns({"tokens": _tokens(subject, n), "sentences": _sentences(subject, n + 1)})
+    """Commits with v1 subject and the two given parses of it."""
+    table = landed(spark, sf_dir, "commit_files", _build_commit_files)
+    subject = M.extract_subject_v1(F.col("message"))
+    return table.select(*COMMIT, subject.alias("subject"), "tokens", "sentences")
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits with their ``files`` array, as landed by the API."""
-    return landed(spark, sf_dir, "commit_files", _build_commit_files)
+    return landed(spark, sf_dir, "commit_files", _build_commit_files).select(*COMMIT, "files")
+
+
+def _parses(subject: Column) -> dict[str, Column]:
+    n = F.col("doc_id")
+    return {"tokens": _tokens(subject, n), "sentences": _sentences(subject, n + 1)}
 
 
 def _build_commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(F.col("doc_id"), F.col("text"))
     rows = documents(spark, sf_dir).withColumns({**_commit_columns(), "files": files})
-    return rows.select(*COMMIT, "files")
+    parsed = rows.withColumns(_parses(M.extract_subject_v1(F.col("message"))))
+    return parsed.select(*COMMIT, "files", "tokens", "sentences")
 
 
 def drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +214,8 @@ def drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A commit with an unsupported file never enters the dump.
     """
-    return landed(spark, sf_dir, "drilled_commits", _build_drilled_commits)
+    table = landed(spark, sf_dir, "drilled_commits", _build_drilled_commits)
+    return table.drop("tokens", "sentences")
 
 
 def _build_drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,18 +244,18 @@ def _build_drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
             P.mixed_content(F.col("files")["content_type"]).alias("mixed_content"),
             "files",
         )
+        .withColumns(_parses(M.extract_subject_v2(F.col("message"))))
     )
 
 
-def drilled_parses(drilled: DataFrame, subject: Column) -> DataFrame:
-    """Drilled commits with the verb-object flags of the synthetic parses of their subject."""
-    n = F.col("doc_id")
-    return drilled.withColumns(
-        {
-            "verb_object_spacy": V.verb_object_spacy(_tokens(subject, n)),
-            "verb_object_stanza": V.verb_object_stanza(_sentences(subject, n + 1)),
-        }
-    )
+def parsed_drilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drilled commits with the verb-object flags of the two given parses of their subject."""
+    table = landed(spark, sf_dir, "drilled_commits", _build_drilled_commits)
+    flags = {
+        "verb_object_spacy": V.verb_object_spacy(F.col("tokens")),
+        "verb_object_stanza": V.verb_object_stanza(F.col("sentences")),
+    }
+    return table.withColumns(flags).drop("tokens", "sentences")
 
 
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

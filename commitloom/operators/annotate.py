@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import message as M
+from ..functions.text import bind
 
 MAX_SUBJECT_LENGTH = 50
 MIN_SUBJECT_WORDS = 3
@@ -51,30 +52,33 @@ def requirements_mask(vo: str = "either") -> Column:
     """
     if vo not in ("either", "compat"):
         raise ValueError(f"vo must be 'either' or 'compat', not {vo!r}")
-    passed = F.coalesce(F.col("verb_object_spacy"), F.lit(False))
-    if vo == "either":
-        passed = passed | F.coalesce(F.col("verb_object_stanza"), F.lit(False))
-    return cheap_rules() & passed
+    first = F.coalesce(F.col("verb_object_spacy"), F.lit(False))
+    return cheap_rules() & (either_verb_object() if vo == "either" else first)
 
 
 def drill_cheap_rules(author: Column, subject: Column) -> Column:
     """The drilled-commit rules that need no parser; bots match case-sensitively."""
-    return (
-        ~M.is_bot(author, ignore_case=False)
-        & ~M.is_chore(subject)
-        & M.subject_length(subject).between(1, MAX_SUBJECT_LENGTH)
-        & (M.word_count(subject) >= MIN_SUBJECT_WORDS)
+    return ~M.is_bot(author, ignore_case=False) & bind(
+        subject,
+        lambda s: ~M.is_chore(s)
+        & M.subject_length(s).between(1, MAX_SUBJECT_LENGTH)
+        & (M.word_count(s) >= MIN_SUBJECT_WORDS),
     )
 
 
-def commit_quality_filter(commits: DataFrame) -> DataFrame:
-    """Drilled commits that pass the rules and either verb-object flag."""
-    return commits.where(drill_cheap_rules(F.col("author"), F.col("subject"))).where(
-        F.coalesce(F.col("verb_object_spacy"), F.lit(False))
-        | F.coalesce(F.col("verb_object_stanza"), F.lit(False))
+def either_verb_object() -> Column:
+    """Either verb-object flag is set; a flag that was not evaluated counts as not set."""
+    return F.coalesce(F.col("verb_object_spacy"), F.lit(False)) | F.coalesce(
+        F.col("verb_object_stanza"), F.lit(False)
     )
 
 
+def commit_quality_filter(commits: DataFrame) -> DataFrame:
+    """Drilled commits whose (author, subject) pass the rules and either verb-object flag."""
+    cheap = drill_cheap_rules(F.col("author"), F.col("subject"))
+    return commits.where(cheap).where(either_verb_object())
+
+
 def reapply_rules(annotated: DataFrame, vo: str = "either") -> DataFrame:
     """Recompute rules and mask from the stored subject and flags, then drop incomplete rows.
 

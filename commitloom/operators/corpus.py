@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patch as P
 from ..functions.hashing import key_hash
+from .annotate import MAX_SUBJECT_LENGTH, MIN_SUBJECT_WORDS, either_verb_object
 
 # 80/10/10 borders on the first four hex digits of the key hash.
 TRAIN_BELOW, TEST_BELOW = "cccd", "e666"
@@ -80,10 +81,9 @@ def funnel_flags(
         "annotated": F.lit(True),
         "not_bot": ~F.col("is_bot"),
         "not_chore": ~F.col("is_chore"),
-        "short_enough": F.col("subject_length") <= 50,
-        "enough_words": F.col("subject_word_count") > 2,
-        "verb_object": F.coalesce(F.col("verb_object_spacy"), F.lit(False))
-        | F.coalesce(F.col("verb_object_stanza"), F.lit(False)),
+        "short_enough": F.col("subject_length") <= MAX_SUBJECT_LENGTH,
+        "enough_words": F.col("subject_word_count") >= MIN_SUBJECT_WORDS,
+        "verb_object": either_verb_object(),
         "fitting": F.col("fits_requirements"),
     }
     parts = [

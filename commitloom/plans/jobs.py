@@ -69,14 +69,14 @@ def drill(
     sources that put a whole repository into one read task.
     """
     subject = M.extract_subject_v2(F.col("message"))
-    ruled = commits.withColumn("subject", subject).where(
-        ann.drill_cheap_rules(F.col("author"), F.col("subject"))
+    ruled = commits.where(ann.drill_cheap_rules(F.col("author"), subject)).withColumn(
+        "subject", subject
     )
     if spread:
         ruled = ruled.repartition("hash")
     if spacy_factory is not None:
         ruled = with_verb_object(ruled, spacy_factory, stanza_factory, F.lit(True))
-    return ann.commit_quality_filter(ruled).select(
+    return ruled.where(ann.either_verb_object()).select(
         "repository",
         "mixed_content",
         "message",

@@ -9,7 +9,6 @@ from commitloom.functions import patch as P
 from commitloom.operators import corpus, evaluation, vocabulary
 from commitloom.operators import annotate as ann
 from commitloom.operators import parsing
-from commitloom.plans import jobs
 
 
 @pytest.fixture
@@ -95,8 +94,3 @@ def test_split_reads_its_partition(spark, sf_dir, plan, tmp_path):
     writers.export_splits(corpus.split(X.commits(spark, sf_dir)), str(tmp_path / "d"))
     text = plan(readers.read_dataset(spark, str(tmp_path / "d"), "test").select("sha"))
     assert "PartitionFilters: [isnotnull(split" in text and "ReadSchema: struct<sha:string>" in text
-
-
-def test_drill_with_given_flags_is_native(spark, sf_dir, plan):
-    rows = X.drilled_parses(X.drilled_commits(spark, sf_dir), F.col("message"))
-    assert "Exchange" not in plan(jobs.drill(rows))
