@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -73,6 +74,32 @@ def test_13a_tokens(values):
     ]
 
 
+def tokens_13a(text):
+    """The tokenizer rules as published, one substitution after the other."""
+    for found, put in (("<skipped>", ""), ("-\n", ""), ("\n", " ")):
+        text = text.replace(found, put)
+    for found, put in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = text.replace(found, put)
+    text = f" {text} "
+    for pattern, put in (
+        (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
+        (r"([^0-9])([\.,])", r"\1 \2 "),
+        (r"([\.,])([^0-9])", r" \1 \2"),
+        (r"([0-9])(-)", r"\1 \2 "),
+    ):
+        text = re.sub(pattern, put, text)
+    return text.split()
+
+
+def test_13a_agrees_on_noise(values):
+    from commitloom.functions.bleu import bleu_tokens
+
+    draw = random.Random(8)
+    alphabet = list("..,,..55--ab \n&;é(/'\"") + ["&amp;", "<skipped>", "-\n"]
+    noise = ["".join(draw.choices(alphabet, k=draw.randint(0, 25))) for _ in range(4000)]
+    assert values(noise, "string", bleu_tokens) == [tokens_13a(text) for text in noise]
+
+
 def test_bleu_report(spark):
     rows = [
         ("m", "Go", 1, "add a parser now", "add a parser"),
