@@ -14,14 +14,14 @@ from .text import words
 
 MAX_ORDER = 4
 
-# Entities and punctuation rules of the 13a tokenizer, in order. Blanks are
-# left out of the first class: more of them never change the words. The second rule,
-# "a dot or comma after a non-digit", takes a following mark along, as the pairwise
-# consumption of that rule does; begun at the mark it is several times faster.
+# Entities and punctuation rules of the 13a tokenizer, in order. The first
+# class leaves out the blank: more blanks never change the words. The second rule, "a dot
+# or comma after a non-digit", takes a following mark along, as the pairwise consumption of
+# that rule does. Single characters and a rule begun at the mark halve the time.
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 PUNCTUATION_RULES = (
-    (r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{21}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}\x{2f}])", " $1 "),
-    (r"(?<=[^0-9])([.,])([.,]?)", " $1 $2"),
+    (r'([{|}~\[\\\]^_`!"#$%&()*+:;<=>?@/])', " $1 "),
+    (r"(?<![0-9])([.,])([.,]?)", " $1 $2"),
     (r"([.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 )
