@@ -9,8 +9,6 @@ def _struct(**fields) -> T.StructType:
 
 _STR, _INT, _BOOL = T.StringType(), T.IntegerType(), T.BooleanType()
 
-TOP_REPOS = _struct(repo=_STR, main_branch=_STR, language=_STR)
-
 API_COMMIT = _struct(
     sha=_STR,
     commit=_struct(author=_struct(name=_STR), committer=_struct(name=_STR), message=_STR),

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from commitloom.catalog import sentence_parser, token_parser
 from commitloom.config import StageConfig, StagePaths
