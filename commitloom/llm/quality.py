@@ -11,8 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..sources import scratch
+from pyspark.sql import types as T
 
 WINDOW = 8  # words
 SYMBOLS = "#*$%&|<>"
@@ -183,47 +182,53 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 60, depth:
     return forest
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = pd.DataFrame([statistics(t) for t in batch["text"]], columns=[*BASE, *FEATURES])
-        found.insert(0, "key", batch["key"].array)
-        yield found
-
+def _table(texts, columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame([statistics(t) for t in texts], columns=[*BASE, *FEATURES])[columns]
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base counts, features) of every row; row-local."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    columns = ", ".join([*(f"{c} long" for c in BASE), *(f"{c} double" for c in FEATURES)])
-    return rows.mapInPandas(_measure, f"key {kind}, {columns}")
 
+def train(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_LABELLED
+) -> Forest:
+    """Trees fitted on at most ``limit`` labelled documents, taken by a hash of the key.
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``measure``, written once to the shared folder: training and judging read numbers only."""
-    return scratch.stored(measure(docs, key, text))
+    Those that fail the base rules are left out: the trees judge the others. Null keys and labels
+    other than 0 and 1 are left out, of repeated labels the lowest counts. Without labels, or with
+    one kind of label only, the trees are a constant. The driver gets the numbers of these
+    documents, not their texts.
+    """
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).filter("key is not null and y in (0, 1)")
+    drawn = known.groupBy("key").agg(F.min("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(limit)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(drawn, "key").drop("key")
 
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = _table(batch["text"], ["n_words", "n_repeat_words", *FEATURES])
+            yield found.assign(y=batch["y"].to_numpy())
 
-def train(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", limit: int = MAX_LABELLED) -> Forest:
-    """Trees fitted on at most ``limit`` labelled documents that pass the base rules, taken by a hash of the key."""
-    known = labels.select(F.col(key).alias("key"), F.col(label).alias("y")).filter("key is not null and y in (0, 1)")
-    known = known.groupBy("key").agg(F.min("y").alias("y"))
-    drawn = known.orderBy(F.xxhash64("key"), "key").limit(limit)
-    rows = measured.join(drawn, "key").filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    table = rows.select(*FEATURES, "y", "key").orderBy("key", *FEATURES).limit(2 * limit).toPandas()
-    x, y = table[[*FEATURES]].to_numpy(float), table["y"].to_numpy(float)
-    return fit(x, y, np.array(list(FEATURES.values())))
+    measured = rows.mapInPandas(measure, "n_words long, n_repeat_words long, " + ", ".join(f"{c} double" for c in [*FEATURES, "y"]))
+    fair = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select(*FEATURES, "y")
+    table = fair.orderBy(*FEATURES, "y").limit(2 * limit).toPandas()  # repeated keys give more than limit
+    return fit(table[[*FEATURES]].to_numpy(float), table["y"].to_numpy(float), np.array(list(FEATURES.values())))
 
 
-def judge(measured: DataFrame, forest: Forest, cut: float = 0.0) -> DataFrame:
-    """(key, base counts, base_failed, score, kept): kept if the base rules pass and the log odds reach ``cut``."""
+def judge(docs: DataFrame, forest: Forest, text: str = "text", cut: float = 0.0) -> DataFrame:
+    """``docs`` with the base counts, score (log odds), base_failed and kept.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[["key", *BASE]].copy()
-            out["score"] = forest.score(batch[[*FEATURES]].to_numpy(float)) if len(batch) else 0.0
-            yield out
-
-    kind = measured.schema["key"].dataType.simpleString()
-    scored = measured.mapInPandas(run, f"key {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", score double")
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
+    base_failed: fewer than 20 words, or over 30% of the words in repeated windows. kept: the base
+    rules pass and the score is at least ``cut``; the score can only fall with symbols, repeated lines, repeated
+    words and exclamation marks. Whole texts are read; null, empty and blank ones have no words and fail.
+    Repeated rows and null keys stay; columns with the names of results are replaced. Row-local, no
+    shuffle; an empty table gives no rows.
+    """
+    kind = T.StructType([*(T.StructField(c, T.LongType()) for c in BASE), T.StructField("score", T.DoubleType())])
+
+    @F.pandas_udf(kind)
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            table = _table(batch, [*BASE, *FEATURES])
+            yield table[[*BASE]].assign(score=forest.score(table[[*FEATURES]].to_numpy(float)))
+
+    out = docs.withColumn("__found", found(F.col(f"`{text}`")))
+    out = out.withColumns({c: F.col(f"__found.{c}") for c in (*BASE, "score")}).drop("__found")
+    out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
