@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, licenses, mixing, packing, quality, sharding, simhash
+from . import embeddings, html, languages, licenses, mixing, packing, quality, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,24 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", languages.held_out(F.col("doc_id")))
+    model = languages.learn(docs.filter("not held_out"))
+    found = languages.identify(docs.select("doc_id", "held_out", "text"), model)
+    mixture = F.array_join(F.transform("languages", lambda x: x["lang"]), ",").alias("mixture")
+    return found.select("doc_id", "held_out", "lang_pred", "score", mixture)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -47,9 +65,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.measured(_table(spark, sf_dir, "documents"))
-    forest = quality.train(measured, _table(spark, sf_dir, "labels"))
-    return quality.judge(measured, forest).withColumnRenamed("key", "doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.train(docs, _table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, forest)
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash_dedup,
         op2_embedding_dedup,
         op3_mix_sources,
+        op4_extract_html,
+        op5_language_id,
+        op6_url_filter,
         op7_pack,
         op8_license_scan,
         op9_quality_rules,
@@ -75,5 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op8_license_scan": licenses.scan_sql()}
