@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 CONTEXT = 2048
 END = 1  # id that ends every document
-_CACHE = 400_000  # words whose ids a worker remembers; then it starts anew
+_CACHE = 1_000_000  # words whose ids a worker remembers, about 250 MB; then it starts anew
 _SEGMENT = 1_000_000  # characters tokenized at once
 _JOINED = 2000  # new words tokenized in one call
+_SIGNS = ".,;:!?%$#&*<>|()[]{}+-=/_~^@\""  # not the apostrophe, which may start a unit
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -32,6 +33,7 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.words: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
         (self.newline,) = self._whole("\n")
 
     def _whole(self, text: str) -> np.ndarray:
@@ -39,8 +41,13 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Remembers the ids of words; a word keeps its line break, or gets its space, in front."""
-        plain, led = [], []
+        plain, led, tailed = [], [], {}
         for word in words:
+            core = word.rstrip(_SIGNS)
+            if core != word and core[-1:].isalpha():  # signs after a letter are a unit of their own
+                tailed[word] = core
+        whole = dict.fromkeys([*(w for w in words if w not in tailed), *tailed.values()])
+        for word in [w for w in whole if w not in self.words]:
             self.words[word] = None
             core = word[1:] if word[:1] == "\n" else word
             if core and not core[0].isspace() and not core[-1].isspace():
@@ -57,6 +64,14 @@ class WordTokenizer:
             cuts = np.flatnonzero(ids == self.newline)
             for word, a, b in zip(some, cuts, np.append(cuts[1:], len(ids)), strict=True):
                 self.words[word] = ids[a:b].tobytes()
+        for word, core in tailed.items():
+            tail = word[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) >= _JOINED:
+                    self.tails.clear()
+                self.tails[tail] = self._whole(tail).tobytes()
+            ids = self.words[core]
+            self.words[word] = None if ids is None else ids + self.tails[tail]
 
     def _parts(self, text: str) -> Iterator[str]:
         """The text in segments of bounded length, cut in front of a space between two words."""
