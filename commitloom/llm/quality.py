@@ -198,7 +198,8 @@ def train(
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).filter("key is not null and y in (0, 1)")
     drawn = known.groupBy("key").agg(F.min("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(limit)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(drawn, "key").drop("key")
+    # at most limit keys and numbers: broadcast, so that no text is shuffled
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key").drop("key")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
