@@ -452,7 +452,7 @@ def page_plan_full(spark, sf_dir):
 
 @query
 def last_page(spark, sf_dir):
-    pages = X.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     link = F.concat(
         F.lit("<"), "url", F.lit('&page=2>; rel="next", <'), "url", F.lit("&page="),
         F.col("page_id").cast("string"), F.lit('>; rel="last"'),
@@ -601,12 +601,12 @@ def _vocab(spark, sf_dir) -> DataFrame:
     return scratch.stored(vocabulary.build_vocab(rows, ["patch", "message"], VOCAB_SIZE))
 
 
-def _encoded(spark, sf_dir, inline: bool | None = None) -> DataFrame:
+def _encoded(spark, sf_dir) -> DataFrame:
     rows = _processed(spark, sf_dir).select(
         "sha", "patch", M.message_prompt(F.col("message")).alias("prompt")
     )
     vocab = _vocab(spark, sf_dir)
-    return vocabulary.encode(rows, ["patch", "prompt"], vocab, "sha", inline)
+    return vocabulary.encode(rows, ["patch", "prompt"], vocab, "sha")
 
 
 @query
@@ -628,8 +628,8 @@ def encode(spark, sf_dir):
 
 @query
 def encode_by_join(spark, sf_dir):
-    """The way for vocabularies beyond the inline bounds."""
-    return _ids(_encoded(spark, sf_dir, inline=False))
+    """The one way for every size of vocabulary."""
+    return _ids(_encoded(spark, sf_dir))
 
 
 def _hash_ids(text: Column) -> Column:
@@ -717,7 +717,7 @@ def mask_one_word(spark, sf_dir):
 
 @query
 def argmax_ids(spark, sf_dir):
-    table = X.spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return table.select("vec_id", A.argmax_ids(F.col("embedding")).alias("best"))
 
 
@@ -776,7 +776,7 @@ def prepare_eval_compat(spark, sf_dir):
 @query
 def repo_list(spark, sf_dir):
     """Repository lines made of page URLs, some commented out, some without a slash."""
-    pages = X.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     n, url = F.col("page_id"), F.col("url")
     line = (
         F.when(n % 10 == 0, F.concat(F.lit("#"), url))

@@ -29,24 +29,15 @@ def landed(
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _LANDED:
         path = scratch.new_folder(spark)
-        build(spark, sf_dir).write.parquet(path)
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        build(spark, sf_dir).repartition(tasks).write.parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Re-spread a table that has fewer read tasks than the session has cores.
-
-    Read tasks are bounded in bytes, so this is only ever done to a small table; a
-    large one is scanned as it lies.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return spread(table.select("doc_id", "text", "lang", "source"))
+    return table.select("doc_id", "text", "lang", "source")
 
 
 def _case(number: Column, *values: str, default: str = "") -> Column:

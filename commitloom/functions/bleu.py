@@ -76,7 +76,8 @@ def bleu_score(
 def match_counts(prediction: Column, reference: Column) -> Column:
     """struct<m1..m4, len_p, len_r> of two texts whose words are their tokens.
 
-    A match is an n-gram of the prediction also in the reference, counted at most as
+    A null prediction is an empty one; a null reference has null counts, which no sum
+    includes. A match is an n-gram of the prediction also in the reference, counted at most as
     often as there. The counting stays in the row: as rows of their own, the n-grams to
     shuffle would be many times the text. Memory is bounded by one pair.
     """
@@ -97,4 +98,5 @@ def match_counts(prediction: Column, reference: Column) -> Column:
         ]
         return pd.DataFrame(rows, columns=names, dtype="int64")
 
-    return count(prediction, reference)
+    counted = count(F.coalesce(prediction, F.lit("")), F.coalesce(reference, F.lit("")))
+    return F.when(reference.isNotNull(), counted)

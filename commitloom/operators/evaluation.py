@@ -91,8 +91,12 @@ def bleu_report(pairs: DataFrame, smooth: bool = True, plain: bool = False) -> D
 
 
 def hits(predictions: Column, labels: Column) -> Column:
-    """struct<correct, labelled> over the positions that carry a label."""
-    right = F.zip_with(predictions, labels, lambda p, l: F.when(l != IGNORED, p == l))
+    """struct<correct, labelled> over the positions that carry a label.
+
+    A labelled position without a prediction is wrong; predictions beyond the labels count for nothing.
+    """
+    given = F.coalesce(predictions, F.array().cast("array<int>"))
+    right = F.zip_with(given, labels, lambda p, l: F.when(l != IGNORED, F.coalesce(p == l, F.lit(False))))
     return bind(
         F.array_compact(right),
         lambda kept: F.struct(

@@ -43,8 +43,8 @@ def drop_null_messages(df: DataFrame) -> DataFrame:
 
 
 def no_merges(commits: DataFrame) -> DataFrame:
-    """Keep commits with at most one parent."""
-    return commits.where(F.size("parents") <= 1)
+    """Keep commits with at most one parent, and those whose parents are not known."""
+    return commits.where(F.col("parents").isNull() | (F.size("parents") <= 1))
 
 
 def passing_only(diffs: DataFrame, annotated: DataFrame, keys: list[str]) -> DataFrame:

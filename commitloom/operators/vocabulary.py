@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +14,6 @@ MARKERS = ("<ide>", "<add>", "<del>", "<msg>", "<path>")
 RESERVED = SPECIALS + MARKERS
 _MARKER_PATTERN = "(<(?:" + "|".join(token[1:-1] for token in RESERVED) + ")>)"
 
-# Bounds up to which a vocabulary travels inside the plan as one literal.
-INLINE_TOKENS = 65_536
-INLINE_BYTES = 8 * 1024 * 1024
-_SLOTS = 4_096
-_SALTS = 32
-
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens, with each special token or marker a token of its own."""
@@ -53,83 +44,39 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     return reserved.unionByName(ranked)
 
 
-def fits_inline(vocab: DataFrame) -> bool:
-    """Whether the vocabulary is within the inline bounds; one aggregation, one row back."""
-    row = vocab.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("b")
-    ).first()
-    return row["n"] <= INLINE_TOKENS and row["b"] <= INLINE_BYTES
-
-
-def _slot(token: Column) -> Column:
-    return F.pmod(F.hash(token), F.lit(_SLOTS))
-
-
-def _index(vocab: DataFrame) -> Column:
-    """The vocabulary as a constant: an array of hash slots, each a short token -> id map.
-
-    A map lookup is a linear scan; spread over slots it sees a handful of entries. The
-    rows come through the driver, within the inline bounds checked before.
-    """
-    slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
-    for row in vocab.select("token", "id", _slot(F.col("token")).alias("slot")).toLocalIterator():
-        slots[row["slot"]][row["token"]] = row["id"]
-    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
-
-
-def encode(
-    df: DataFrame,
-    columns: list[str],
-    vocab: DataFrame,
-    key: str,
-    inline: bool | None = None,
-) -> DataFrame:
+def encode(df: DataFrame, columns: list[str], vocab: DataFrame, keys: str | list[str]) -> DataFrame:
     """Add ``<column>_ids`` for each text column, unknown tokens as the unknown id.
 
-    ``vocab`` should be a stored or checkpointed table: its size is measured first
-    (``inline=None``). Within the bounds it is looked up inside the row, without a
-    shuffle; beyond them by a salted join on the token. ``key`` identifies a row.
+    ``keys`` identify a row together with its texts, so one hash in two repositories
+    keeps its own ids; they are not null. The rows are spread once by key, their tokens
+    look up the vocabulary in an equi-join, and meet again without another exchange where
+    the planner broadcasts the vocabulary. Reserved tokens, found in every text, are
+    answered without the join. ``vocab`` should be a stored table, so that its size is known.
     """
-    if inline is None:
-        inline = fits_inline(vocab)
-    return _encode_inline(df, columns, vocab) if inline else _encode_join(df, columns, vocab, key)
-
-
-def _encode_inline(df: DataFrame, columns: list[str], vocab: DataFrame) -> DataFrame:
-    index = _index(vocab)
-
-    def token_id(token: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(index, _slot(token)), token), F.lit(UNKNOWN))
-
-    return df.withColumns(
-        {f"{c}_ids": F.transform(tokens(F.col(c)), token_id) for c in columns}
-    )
-
-
-def _encode_join(df: DataFrame, columns: list[str], vocab: DataFrame, key: str) -> DataFrame:
-    """Join on (token, salt): a token found in every text is spread over all salts."""
-    salt = F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")
-    parts = [
-        df.select(key, salt.alias("salt"), F.lit(c).alias("column"), F.posexplode(tokens(F.col(c))))
-        for c in columns
-    ]
-    long = reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("col", "token")
-    salted = vocab.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    )
-    found = long.join(salted, ["token", "salt"], "left").select(
-        key, "column", "pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id")
-    )
-
-    def ids(column: str) -> Column:
-        pairs = F.collect_list(F.when(F.col("column") == column, F.struct("pos", "id")))
+    by = [*([keys] if isinstance(keys, str) else keys), "__texts"]
+    rows = df.withColumn("__texts", F.xxhash64(*columns)).repartition(*by)
+    none = F.array().cast("array<string>")
+
+    def placed(number: int, column: str) -> Column:
+        return F.transform(
+            F.coalesce(tokens(F.col(column)), none),
+            lambda token, at: F.struct(F.lit(number).alias("number"), at.alias("at"), token.alias("token")),
+        )
+
+    every = F.concat(*[placed(n, c) for n, c in enumerate(columns)])
+    long = rows.select(*by, F.explode(every).alias("t")).select(*by, "t.*")
+    reserved = F.element_at(F.create_map(*[F.lit(x) for pair in zip(RESERVED, range(len(RESERVED))) for x in pair]), F.col("token"))
+    long = long.withColumn("reserved", reserved)
+    open_token = F.when(F.col("reserved").isNull(), F.col("token"))
+    found = long.withColumn("token", open_token).join(vocab.select("token", "id"), "token", "left")
+    found = found.select(*by, "number", F.struct("at", F.coalesce("reserved", "id", F.lit(UNKNOWN)).alias("id")).alias("pair"))
+
+    def ids(number: int, column: str) -> Column:
+        pairs = F.collect_set(F.when(F.col("number") == number, F.col("pair")))  # a repeated row adds nothing
         return F.array_sort(pairs)["id"].alias(f"{column}_ids")
 
-    encoded = found.groupBy(key).agg(*[ids(c) for c in columns])
+    encoded = found.groupBy(*by).agg(*[ids(n, c) for n, c in enumerate(columns)])
     empty = F.array().cast("array<int>")
-    return df.join(encoded, key, "left").withColumns(
-        {
-            f"{c}_ids": F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_ids", empty))
-            for c in columns
-        }
+    return rows.join(encoded, by, "left").drop("__texts").withColumns(
+        {f"{c}_ids": F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_ids", empty)) for c in columns}
     )

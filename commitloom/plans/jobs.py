@@ -139,7 +139,7 @@ def drill_job(
 
     A dump is one read task; only the commits passing the cheap rules are spread.
     """
-    commits = readers.read_drilled(spark, source)
+    commits = filters.no_merges(readers.read_drilled(spark, source)).drop("parents")
     rows = drill(commits, spacy_factory, stanza_factory, spread=True)
     rows.write.mode("overwrite").parquet(out)
 
@@ -157,7 +157,7 @@ def publish_job(
         diffs = readers.read_raw_diffs(spark, raw_diffs)
         # owner and repo come from the metadata: the folder name alone is ambiguous
         owned = diffs.join(
-            fitting.where("fits_requirements").select("repo_key", "sha", "owner", "repo"),
+            fitting.where("fits_requirements").select("repo_key", "sha", "owner", "repo").distinct(),
             ["repo_key", "sha"],
         )
         corpus.explode_files(owned).write.mode("overwrite").parquet(f"{out}/raw-diffs")

@@ -47,6 +47,7 @@ DRILLED_COMMIT = _struct(
     message=_STR,
     hash=_STR,
     mixed_content=_STR,
+    parents=T.ArrayType(_STR),
     files=T.ArrayType(DRILLED_FILE),
 )
 

@@ -63,6 +63,11 @@ def read_repo_metadata(spark: SparkSession, path: str) -> DataFrame:
     ).select("owner", "repo", "c.*")
 
 
+def unescaped(name: Column) -> Column:
+    """A path component with its percent escapes decoded; a plus is a plus."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_raw_diffs(spark: SparkSession, path: str) -> DataFrame:
     """One JSON per commit in a folder per repository; hash and repository come from the path.
 
@@ -75,7 +80,7 @@ def read_raw_diffs(spark: SparkSession, path: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(f"{path}/*/*.json", multiLine=True)
         .select(
-            F.url_decode(F.element_at(F.split(folder, "/"), -2)).alias("repo_key"),
+            unescaped(F.element_at(F.split(folder, "/"), -2)).alias("repo_key"),
             F.regexp_replace(name, r"\.json\z", "").alias("sha"),
             "message",
             "files",
@@ -90,6 +95,10 @@ def read_drilled(spark: SparkSession, path: str) -> DataFrame:
     return dumps.select(F.explode("commits").alias("c")).select("c.*")
 
 
+#: Columns that name the folders of a stage.
+UNITS = ("owner", "repo", "repo_key")
+
+
 def read_stage_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Stage CSV files as one table; quoted fields may hold line breaks and doubled quotes.
 
@@ -102,8 +111,10 @@ def read_stage_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet stage output."""
-    return spark.read.parquet(path)
+    """A Parquet stage output; its folder columns are text, also where all names are numbers."""
+    found = spark.read.parquet(path).schema
+    kinds = [T.StructField(f.name, T.StringType() if f.name in UNITS else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
