@@ -131,3 +131,14 @@ def test_accuracy(spark):
     report = E.accuracy_report(df).first()
     assert report["Overall"] == pytest.approx(2 / 3)
     assert (report["Go"], report["Java"], report["Ruby"], report["PHP"]) == (0.5, 1.0, None, None)
+
+
+def test_missing_predictions_are_wrong_and_null_texts_end_nothing(spark):
+    rows = [([1], [1, 1]), (None, [2, -100]), ([3, 4], [3]), ([5], None)]
+    df = spark.createDataFrame(rows, "predictions array<int>, labels array<int>")
+    row = E.masked_accuracy(df).first()
+    assert (row.correct, row.labelled) == (2, 4)
+    pairs = [("a b", "a b"), (None, "a b"), ("a b", None)]
+    texts = spark.createDataFrame(pairs, "prediction string, reference string")
+    same = spark.createDataFrame([("a b", "a b"), ("", "a b")], texts.schema)
+    assert E.corpus_bleu(texts).collect() == E.corpus_bleu(same).collect()

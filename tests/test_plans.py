@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from commitloom import catalog
 from commitloom import fixtures as X
 from commitloom.functions import patch as P
+from commitloom.sources import scratch
 from commitloom.operators import corpus, evaluation, vocabulary
 from commitloom.operators import annotate as ann
 from commitloom.operators import parsing
@@ -76,11 +77,11 @@ def test_top_rows_need_no_sort_of_the_table(spark, sf_dir, plan):
     assert text.count("TakeOrderedAndProject") == 3 and "Window" not in text
 
 
-def test_inline_encoding_is_row_local(spark, sf_dir, plan):
+def test_encoding_spreads_the_rows_once(spark, sf_dir, plan):
     rows = X.commits(spark, sf_dir)
-    vocab = vocabulary.build_vocab(rows, ["message"], 50)
+    vocab = scratch.stored(vocabulary.build_vocab(rows, ["message"], 50))
     text = plan(vocabulary.encode(rows, ["message"], vocab, "sha"))
-    assert "Exchange" not in text and "Join" not in text
+    assert text.count("hashpartitioning(sha") <= 2 and "BroadcastExchange" in text and "hashpartitioning(token" not in text
 
 
 def test_tokens_are_counted_before_the_shuffle(spark, sf_dir, plan):

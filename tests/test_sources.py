@@ -133,3 +133,12 @@ def test_report(spark, tmp_path):
     writers.write_report(spark.createDataFrame([("m", 1.5, None)], "Model string, Overall double, Go double"), str(tmp_path / "r"))
     (part,) = (tmp_path / "r").glob("*.csv")
     assert part.read_text().splitlines() == ["Model,Overall,Go", "m,1.5,"]
+
+
+def test_folder_names_stay_as_they_are(spark, tmp_path):
+    rows = [("007", "42", "a"), ("o", "c++", "b")]
+    df = spark.createDataFrame(rows, "owner string, repo string, sha string")
+    writers.write_stage(df.where("owner = '007'"), str(tmp_path / "stage"), ["owner", "repo"])
+    assert [(r.owner, r.repo) for r in readers.read_stage(spark, str(tmp_path / "stage")).collect()] == [("007", "42")]
+    dump(tmp_path / "diffs" / "o-c++ é" / "s.json", {"message": "m", "files": []})
+    assert [r.repo_key for r in readers.read_raw_diffs(spark, str(tmp_path / "diffs")).collect()] == ["o-c++ é"]

@@ -36,25 +36,23 @@ def test_build_vocab(rows):
     assert vocab == want
 
 
-@pytest.mark.parametrize("inline", [True, False, None])
-def test_encode(rows, inline):
+def test_encode(rows):
     vocab = scratch.stored(vocabulary.build_vocab(rows, ["patch", "message"], 4))
     ids = {r["token"]: r["id"] for r in vocab.collect()}
-    got = {r["sha"]: r for r in vocabulary.encode(rows, ["patch", "message"], vocab, "sha", inline).collect()}
+    got = {r["sha"]: r for r in vocabulary.encode(rows, ["patch", "message"], vocab, "sha").collect()}
     for sha, patch, message in TEXTS:
         assert got[sha]["patch_ids"] == [ids.get(t, 3) for t in split(patch)]
         want = None if message is None else [ids.get(t, 3) for t in split(message)]
         assert got[sha]["message_ids"] == want
 
 
-def test_a_large_vocabulary_is_joined(rows, spark, monkeypatch):
-    vocab = vocabulary.build_vocab(rows, ["patch"], 5)
-    assert vocabulary.fits_inline(vocab)
-    monkeypatch.setattr(vocabulary, "INLINE_TOKENS", 5)
-    assert not vocabulary.fits_inline(vocab)
-    monkeypatch.setattr(vocabulary, "INLINE_TOKENS", 100)
-    monkeypatch.setattr(vocabulary, "INLINE_BYTES", 5)
-    assert not vocabulary.fits_inline(vocab)
+def test_encode_keeps_forks_and_repeated_rows_apart(spark):
+    rows = [("a", "s", "x y"), ("b", "s", "y z x y"), ("a", "s", "x y"), ("a", "t", ""), ("a", "s", "z <msg> q")]
+    df = spark.createDataFrame(rows, "repo_key string, sha string, patch string")
+    vocab = spark.createDataFrame([("x", 10), ("y", 11), ("z", 12)], "token string, id int")
+    for keys in (["repo_key", "sha"], "sha"):
+        got = sorted((r.patch, r.patch_ids) for r in vocabulary.encode(df, ["patch"], vocab, keys).collect())
+        assert got == sorted([("x y", [10, 11])] * 2 + [("y z x y", [11, 12, 10, 11]), ("", []), ("z <msg> q", [12, 8, 3])])
 
 
 def test_mlm_examples(spark):
