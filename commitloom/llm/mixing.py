@@ -155,9 +155,12 @@ def _one_more(scored: DataFrame, known: DataFrame) -> DataFrame:
         F.coalesce(F.min(F.when(over, F.col("bin"))), F.lit(_BINS + 1)).alias("edge"),
         F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("given"),
     )
-    rows = rows.join(edges, "id", "left")
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "draw", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = rows.filter(F.col("fits") & (F.col("bin") == F.col("edge"))).withColumn("sum", F.col("given") + F.sum("size").over(best))
+    # a stored table has a known size: a few sources are broadcast, many are a join that can be split
+    rows = rows.join(scratch.stored(edges), "id", "left")
+    best = Window.partitionBy("id", "bin").orderBy(F.desc("score"), "draw", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # dealt anew, so that a source's other documents do not come along and the joins can be split
+    at_edge = rows.filter(F.col("fits") & (F.col("bin") == F.col("edge"))).repartition("id", "bin")
+    at_edge = at_edge.withColumn("sum", F.col("given") + F.sum("size").over(best))
     won = scratch.stored(at_edge.filter("sum <= lack").select("n", F.lit(True).alias("won")))
     more = F.coalesce(F.col("fits") & (F.col("bin") < F.col("edge")), F.lit(False)) | F.coalesce("won", F.lit(False))
     rows = rows.join(won, "n", "left").withColumn("more", more)
