@@ -640,7 +640,7 @@ def _hash_ids(text: Column) -> Column:
 def _id_pairs(spark, sf_dir) -> DataFrame:
     """Whole texts as patch ids, their lines as message ids."""
     message = F.transform(F.split("text", "\n"), lambda line: F.length(line) + 5)
-    return X.documents(spark, sf_dir).select(
+    return X.texts(spark, sf_dir).select(
         "doc_id", _hash_ids(F.col("text")).alias("a"), message.alias("b")
     )
 
@@ -724,7 +724,7 @@ def argmax_ids(spark, sf_dir):
 @query
 def subsequence_positions(spark, sf_dir):
     """Where the first two words' lengths recur in a text's word lengths."""
-    rows = X.documents(spark, sf_dir).select("doc_id", _hash_ids(F.col("text")).alias("ids"))
+    rows = X.texts(spark, sf_dir).select("doc_id", _hash_ids(F.col("text")).alias("ids"))
     wanted = rows.withColumn("wanted", F.slice("ids", 1, 2))
     found = A.subsequence_positions(F.col("ids"), F.col("wanted"))
     return wanted.select("doc_id", _flat(found).alias("positions"))

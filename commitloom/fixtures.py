@@ -40,6 +40,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("doc_id", "text", "lang", "source")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as landed: spread over the tasks, whatever files they came in."""
+    return landed(spark, sf_dir, "texts", documents)
+
+
 def _case(number: Column, *values: str, default: str = "") -> Column:
     result = None
     for i, value in enumerate(values):
