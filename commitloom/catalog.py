@@ -178,7 +178,7 @@ def serialize_commit_v2(spark, sf_dir):
 def gather_files(spark, sf_dir):
     """Long file rows regrouped per commit, then serialised."""
     rows = _file_rows(spark, sf_dir).select("sha", "file_idx", "file.*")
-    files = corpus.gather_files(rows)
+    files = corpus.gather_files(rows, ("sha",))
     return files.where(P.complete_patches(F.col("files"))).select(
         "sha", P.serialize_commit(F.col("files"), "v1").alias("patch")
     )

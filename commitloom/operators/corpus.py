@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patch as P
-from ..functions.hashing import key_hash
+from ..functions.hashing import hash_bucket, key_hash
 from .annotate import MAX_SUBJECT_LENGTH, MIN_SUBJECT_WORDS, either_verb_object
 
 # 80/10/10 borders on the first four hex digits of the key hash.
@@ -41,14 +41,17 @@ def explode_files(commits: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
-def gather_files(file_rows: DataFrame, key: str = "sha", order: str = "file_idx") -> DataFrame:
+def gather_files(
+    file_rows: DataFrame, keys: tuple[str, ...] = ("repo_key", "sha"), order: str = "file_idx"
+) -> DataFrame:
     """Long file rows back to one ordered ``files`` array per commit.
 
-    The group is one commit's files, never a repository's.
+    The group is one commit's files, never a repository's; forks that share a commit hash
+    stay apart by the repository in ``keys``.
     """
-    fields = [c for c in file_rows.columns if c != key]
+    fields = [c for c in file_rows.columns if c not in keys]
     ordered = [order] + [c for c in fields if c != order]
-    return file_rows.groupBy(key).agg(
+    return file_rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*ordered))).alias("files")
     )
 
@@ -119,8 +122,18 @@ def union_repos(parts: list[DataFrame]) -> DataFrame:
 
 
 def shuffle(df: DataFrame, key: str = "sha", seed: str = "0") -> DataFrame:
-    """Reproducible random row order: a range-partitioned sort on the key's hash."""
-    return df.orderBy(key_hash(F.col(key), seed), F.col(key))
+    """Reproducible random row order, global over the partitions: by the key's hash, then the key."""
+    return spread_by_hash(df, key, seed).sortWithinPartitions(key_hash(F.col(key), seed), key)
+
+
+def spread_by_hash(df: DataFrame, key: str = "sha", seed: str = "0") -> DataFrame:
+    """Rows in as many partitions as the session shuffles to, each an interval of the key's hash.
+
+    The hash is uniform, so its first digits name the partition: unlike a range exchange, which
+    samples its bounds, this runs the input once.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(parts, hash_bucket(key_hash(F.col(key), seed), parts))
 
 
 def split_of(key: Column, seed: str = "0") -> Column:
@@ -140,11 +153,12 @@ def split(df: DataFrame, key: str = "sha", seed: str = "0") -> DataFrame:
 def debug_head(df: DataFrame, key: str = "sha", n: int = 2) -> DataFrame:
     """First n rows of each split by key.
 
-    One bounded top-n per split: nothing is grouped by split, and on a table stored
-    by split each branch reads its own partition only.
+    One pass for all splits: the planner limits each partition to n rows a split before it
+    shuffles them, so no split is gathered.
     """
-    heads = [df.where(F.col("split") == name).orderBy(key).limit(n) for name in SPLITS]
-    return reduce(lambda a, b: a.unionByName(b), heads)
+    place = F.row_number().over(Window.partitionBy("split").orderBy(key))
+    known = df.where(F.col("split").isin(*SPLITS))
+    return known.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "sha", seed: str = "0") -> DataFrame:

@@ -101,6 +101,8 @@ def test_shuffle_and_sample(spark):
     assert order == [r["sha"] for r in corpus.shuffle(df.repartition(7)).collect()]
     assert order != [r["sha"] for r in corpus.shuffle(df, seed="1").collect()]
     assert [r["sha"] for r in corpus.sample_rows(df, 10).collect()] == order[:10]
+    gaps = spark.createDataFrame([("b",), (None,), ("a",), ("a",)], "sha string")
+    assert [r["sha"] for r in corpus.shuffle(gaps).collect()][0] is None and corpus.shuffle(gaps).count() == 4
 
 
 def test_debug_head(spark):
@@ -116,7 +118,15 @@ def test_gather_files_orders(spark):
     df = spark.createDataFrame(
         rows, "sha string, file_idx int, filename string, previous_filename string, status string, patch string"
     )
-    assert [f["filename"] for f in corpus.gather_files(df).first()["files"]] == ["f1.py", "f2.py", "f10.py"]
+    files = corpus.gather_files(df, ("sha",)).first()["files"]
+    assert [f["filename"] for f in files] == ["f1.py", "f2.py", "f10.py"]
+
+
+def test_gather_files_keeps_forks_apart(spark):
+    rows = [(repo, "s", i, f"{repo}{i}.py") for repo in ("a", "b") for i in (2, 1)]
+    df = spark.createDataFrame(rows, "repo_key string, sha string, file_idx int, filename string")
+    got = {r["repo_key"]: [f["filename"] for f in r["files"]] for r in corpus.gather_files(df).collect()}
+    assert got == {"a": ["a1.py", "a2.py"], "b": ["b1.py", "b2.py"]}
 
 
 def test_explode_files(spark):

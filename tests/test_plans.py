@@ -74,7 +74,13 @@ def test_top_rows_need_no_sort_of_the_table(spark, sf_dir, plan):
     rows = X.commits(spark, sf_dir)
     assert "TakeOrderedAndProject" in plan(corpus.sample_rows(rows, 10))
     text = plan(corpus.debug_head(corpus.split(rows)))
-    assert text.count("TakeOrderedAndProject") == 3 and "Window" not in text
+    # one scan, and at most n rows a split from each partition are shuffled
+    assert text.count("FileScan") == 1 and text.rindex("WindowGroupLimit") > text.index("Exchange")
+
+
+def test_random_order_needs_no_sample_of_the_table(spark, sf_dir, plan):
+    text = plan(corpus.shuffle(X.commits(spark, sf_dir)))
+    assert text.count("Exchange") == 1 and "rangepartitioning" not in text
 
 
 def test_encoding_spreads_the_rows_once(spark, sf_dir, plan):
