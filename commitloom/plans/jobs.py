@@ -1,7 +1,14 @@
-"""Stage jobs: annotate, preprocess, drill and publish, each one lazy DataFrame."""
+"""Stage jobs: annotate, preprocess, drill and publish, each one lazy DataFrame.
+
+A job that reads landed JSON lands it once as Parquet, checked: rows that break a rule are kept under
+``<out>-rejected`` with the reason, and the others go on. The units a job has gone through are listed
+under ``<out>-done``, also those without any output.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +19,23 @@ from ..functions import patch as P
 from ..operators import annotate as ann
 from ..operators import corpus, filters
 from ..operators.parsing import ParserFactory, with_verb_object
-from ..sources import readers, writers
-from .work import pending_units
-
+from ..sources import readers, scratch, writers
+from .work import pending_units, store_checked
+
+#: What a landed commit must have; one that breaks a rule is rejected with the rule's name.
+METADATA_RULES = {
+    "unreadable": readers.is_readable,
+    "incomplete": lambda: F.concat("sha", "author", "committer", "message").isNotNull(),
+}
+DIFF_RULES = {
+    "unreadable": readers.is_readable,
+    "no message": lambda: F.col("message").isNotNull(),
+    "no files": lambda: F.col("files").isNotNull(),
+}
+DRILL_RULES = {
+    "unreadable": readers.is_readable,
+    "no message": lambda: F.col("message").isNotNull(),
+}
 ANNOTATION_FLAGS = ("verb_object_spacy", "verb_object_stanza")
 
 
@@ -104,10 +125,12 @@ def annotate_job(
     the rows are spread by hash before the parsers run.
     """
     commits = readers.read_repo_metadata(spark, metadata_path)
-    todo = _todo(spark, commits, out, ["owner", "repo"], config).repartition("sha")
-    writers.write_stage(
-        annotate(todo, spacy_factory, stanza_factory, config.full_parse), out, ["owner", "repo"]
-    )
+    keys = ["owner", "repo"]
+    todo = _todo(spark, commits, out, keys, config)
+    good, finish = _checked(todo, METADATA_RULES, out, keys)
+    rows = annotate(good.repartition("sha"), spacy_factory, stanza_factory, config.full_parse)
+    writers.write_stage(rows, out, keys)
+    finish()
 
 
 def rerun_rules_job(spark, path: str, out: str | None = None) -> None:
@@ -128,8 +151,10 @@ def preprocess_job(
     )
     diffs = readers.read_raw_diffs(spark, diffs_path)
     todo = _todo(spark, diffs, out, ["repo_key"], config)
-    rows = preprocess(todo, annotated, ["repo_key", "sha"])
+    good, finish = _checked(todo, DIFF_RULES, out, ["repo_key"])
+    rows = preprocess(good, annotated, ["repo_key", "sha"])
     writers.write_stage(rows, out, ["repo_key"])
+    finish()
 
 
 def drill_job(
@@ -139,9 +164,11 @@ def drill_job(
 
     A dump is one read task; only the commits passing the cheap rules are spread.
     """
-    commits = filters.no_merges(readers.read_drilled(spark, source)).drop("parents")
+    good, finish = _checked(readers.read_drilled(spark, source), DRILL_RULES, out, [])
+    commits = filters.no_merges(good).drop("parents")
     rows = drill(commits, spacy_factory, stanza_factory, spread=True)
     rows.write.mode("overwrite").parquet(out)
+    finish()
 
 
 def publish_job(
@@ -154,7 +181,7 @@ def publish_job(
     if config.publish_raw_diffs:
         stage = readers.read_stage(spark, annotated)
         fitting = stage.withColumn("repo_key", P.repo_key(F.col("owner"), F.col("repo")))
-        diffs = readers.read_raw_diffs(spark, raw_diffs)
+        diffs = readers.read_raw_diffs(spark, raw_diffs).where(readers.is_readable())
         # owner and repo come from the metadata: the folder name alone is ambiguous
         owned = diffs.join(
             fitting.where("fits_requirements").select("repo_key", "sha", "owner", "repo").distinct(),
@@ -186,7 +213,27 @@ def run_stages(
 
 def _todo(spark, rows: DataFrame, out: str, keys: list[str], config: StageConfig) -> DataFrame:
     """Rows of the units that still need output."""
-    if config.overwrite_existing or not readers.exists(spark, out):
+    if config.overwrite_existing:
         return rows
-    done = readers.read_stage(spark, out).select(*keys).distinct()
-    return pending_units(rows, done, keys)
+    for path in (out, f"{out}-done"):
+        if readers.exists(spark, path):
+            rows = pending_units(rows, readers.read_stage(spark, path).select(*keys).distinct(), keys)
+    return rows
+
+
+def _checked(rows: DataFrame, rules: dict, out: str, keys: list[str]) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows that keep the rules, landed; and what a job calls after its output is written.
+
+    That stores the rejected rows and, for a stage by units, the units gone through. A job that dies
+    before leaves its units pending. A unit is null where its file could not be read; it stays pending.
+    """
+    checks = {name: rule() for name, rule in rules.items()}
+    good, bad = store_checked(rows, checks, scratch.new_folder(rows.sparkSession))
+
+    def finish() -> None:
+        bad.write.mode("append").parquet(f"{out}-rejected")
+        if keys:
+            units = good.select(*keys).union(bad.select(*keys)).distinct().na.drop()
+            units.write.mode("append").parquet(f"{out}-done")
+
+    return good.drop(readers.CORRUPT), finish

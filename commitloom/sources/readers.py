@@ -1,4 +1,8 @@
-"""Readers. Every schema is declared; a malformed record becomes a row that can be quarantined."""
+"""Readers. Every schema is declared.
+
+The JSON readers keep a row for a file that cannot be parsed, with its text in ``_corrupt_record``
+and null elsewhere, so that a job can put it into quarantine.
+"""
 
 from __future__ import annotations
 
@@ -47,6 +51,7 @@ def flatten_api_commits(raw: DataFrame) -> DataFrame:
         F.col("commit.author.name").alias("author"),
         F.col("commit.committer.name").alias("committer"),
         F.col("commit.message").alias("message"),
+        *([CORRUPT] if CORRUPT in raw.columns else []),
     )
 
 
@@ -56,11 +61,14 @@ def read_api_commits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_repo_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per repository to one row per commit with owner and repo."""
+    """One JSON object per repository to one row per commit with owner and repo.
+
+    A repository without commits keeps one row, without a commit, so that it can count as done.
+    """
     repos = _json(spark, schemas.REPO_METADATA, path)
     return repos.select(
-        "owner", F.col("name").alias("repo"), F.explode("commits_metadata").alias("c")
-    ).select("owner", "repo", "c.*")
+        "owner", F.col("name").alias("repo"), F.explode_outer("commits_metadata").alias("c"), CORRUPT
+    ).select("owner", "repo", "c.*", CORRUPT)
 
 
 def unescaped(name: Column) -> Column:
@@ -73,10 +81,9 @@ def read_raw_diffs(spark: SparkSession, path: str) -> DataFrame:
 
     Unreadable files keep a row, with the text in ``_corrupt_record``.
     """
-    corrupt = T.StructType([*schemas.RAW_DIFF.fields, T.StructField(CORRUPT, T.StringType())])
     name, folder = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     return (
-        spark.read.schema(corrupt)
+        spark.read.schema(_with_corrupt(schemas.RAW_DIFF))
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(f"{path}/*/*.json", multiLine=True)
         .select(
@@ -92,7 +99,9 @@ def read_raw_diffs(spark: SparkSession, path: str) -> DataFrame:
 def read_drilled(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per repository to one row per drilled commit; file contents are not parsed."""
     dumps = _json(spark, schemas.DRILLED, path)
-    return dumps.select(F.explode("commits").alias("c")).select("c.*")
+    return dumps.select(F.explode_outer("commits").alias("c"), CORRUPT).where(
+        F.col("c").isNotNull() | F.col(CORRUPT).isNotNull()
+    ).select("c.*", CORRUPT)
 
 
 #: Columns that name the folders of a stage.
@@ -137,6 +146,10 @@ def is_readable(corrupt: str = CORRUPT) -> Column:
     return F.col(corrupt).isNull()
 
 
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def _json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("pathGlobFilter", "*.json")
-    return reader.json(path, multiLine=True)
+    reader = spark.read.schema(_with_corrupt(schema)).option("pathGlobFilter", "*.json")
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=True)

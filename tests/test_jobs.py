@@ -151,6 +151,24 @@ def test_done_units_are_skipped(spark, landed):
     assert readers.read_stage(spark, out).count() == 7
 
 
+def test_rejected_rows_are_stored_and_empty_units_are_done(spark, landed):
+    (landed / "meta" / "cut.json").write_text('{"owner": "x"')
+    (landed / "diffs" / "o-r" / "cut.json").write_text('{"message": ')
+    dump(landed / "meta" / "o-s.json", {"owner": "o", "name": "s", "commits_metadata": []})
+    dump(landed / "diffs" / "o-r" / "ii.json", {"message": None, "files": [file("a.py")]})
+    annotated, processed = str(landed / "b"), str(landed / "d")
+    jobs.annotate_job(spark, str(landed / "meta"), annotated, token_parser, sentence_parser)
+    bad = spark.read.parquet(f"{annotated}-rejected").collect()
+    assert sorted((r["reason"], r["sha"]) for r in bad if r["sha"]) == [("incomplete", "hh")]
+    assert sorted(r["reason"] for r in bad if not r["sha"]) == ["incomplete", "unreadable"]
+    assert {r["repo"] for r in spark.read.parquet(f"{annotated}-done").collect()} == {"r", "s"}
+
+    jobs.preprocess_job(spark, str(landed / "diffs"), annotated, processed)
+    bad = {r["sha"]: r["reason"] for r in spark.read.parquet(f"{processed}-rejected").collect()}
+    assert bad == {"cut": "unreadable", "ii": "no message"}
+    assert {r["sha"] for r in readers.read_stage(spark, processed).collect()} == {"aa", "bb"}
+
+
 def test_drill_job(spark, tmp_path):
     def commit(hash, message, **kw):
         f = {"status": "ADD", "content_type": "Go", "patch": "+x", "path_before": None, "path_after": "a.go"}

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from commitloom import schemas
 from commitloom.operators import corpus
 from commitloom.plans.work import quarantine
@@ -36,7 +38,7 @@ def test_api_commits(spark, tmp_path):
     ]
     dump(tmp_path / "page.json", commits)
     rows = [tuple(r) for r in readers.read_api_commits(spark, str(tmp_path)).collect()]
-    assert rows == [("p", "a", "c", "m\nn"), ("q", "a", "c", "m\nn")]
+    assert rows == [("p", "a", "c", "m\nn", None), ("q", "a", "c", "m\nn", None)]
 
 
 def test_repo_metadata(spark, tmp_path):
@@ -44,7 +46,19 @@ def test_repo_metadata(spark, tmp_path):
     dump(tmp_path / "o-r.json", {"owner": "o", "name": "r", "commits_metadata": [commit, {**commit, "sha": "q"}]})
     dump(tmp_path / "o-s.json", {"owner": "o", "name": "s", "commits_metadata": []})
     rows = [tuple(r) for r in readers.read_repo_metadata(spark, str(tmp_path)).collect()]
-    assert rows == [("o", "r", "p", "a", "c", "m"), ("o", "r", "q", "a", "c", "m")]
+    want = [("o", "r", "p", "a", "c", "m", None), ("o", "r", "q", "a", "c", "m", None)]
+    assert sorted(rows, key=repr) == sorted([*want, ("o", "s", *[None] * 5)], key=repr)
+
+
+@pytest.mark.parametrize("reader", [readers.read_api_commits, readers.read_repo_metadata, readers.read_drilled])
+def test_cut_off_files_are_kept_for_quarantine(spark, tmp_path, reader):
+    commit = {"sha": "p", "author": "a", "committer": "c", "message": "m", "hash": "p"}
+    whole = [commit] if reader is readers.read_api_commits else {"commits_metadata": [commit], "commits": [commit]}
+    for i in range(9):
+        dump(tmp_path / f"{i}.json", whole)
+    (tmp_path / "cut.json").write_text('{"owner": "o", "commits')
+    good, bad = quarantine(reader(spark, str(tmp_path)), {"unreadable": readers.is_readable()})
+    assert len(good.collect()) == 9 and [r[readers.CORRUPT] for r in bad.collect()] == ['{"owner": "o", "commits']
 
 
 def file(name, patch="+x", previous=None):
