@@ -609,8 +609,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stage_round_trip": _sql("SELECT owner, repo, sha, subject, fits AS fits_requirements FROM annotated"),
         "dataset_round_trip": _sql(
-            """SELECT sha, main_lang, patch, 'test' AS split FROM processed
-            WHERE substr(md5('0:' || sha), 1, 4) >= 'cccd' AND substr(md5('0:' || sha), 1, 4) < 'e666'"""
+            """SELECT sha, main_lang, patch, CASE WHEN substr(md5('0:' || sha), 1, 4) < 'cccd' THEN 'train'
+            WHEN substr(md5('0:' || sha), 1, 4) < 'e666' THEN 'test' ELSE 'valid' END AS split FROM processed"""
         ),
         "annotate_job": _sql(
             f"""SELECT sha, subject, subject_length, is_chore, is_bot, subject_word_count,
