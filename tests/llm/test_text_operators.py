@@ -184,3 +184,25 @@ def test_pipeline_stages_keep_their_promises(spark):
         docs = out
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.agg(F.sum("length")).first()[0] == packed.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(words_of.filter(bool), min_size=1, max_size=6), st.sets(st.integers(0, 200)))
+def test_uncovered_blocks_equal_word_by_word(parts, places):
+    texts = [" ".join(p) for p in parts]
+    flat = [(i, w) for i, p in enumerate(parts) for w in p]
+    starts = [a for a in places if a + html.LONG <= len(flat)]
+    covered = {a + k for a in starts for k in range(html.LONG)}
+    inside = [sum(j in covered and i == b for j, (i, _) in enumerate(flat)) for b in range(len(parts))]
+    want = [t for t, c, p in zip(texts, inside, parts) if c <= html.COVERED * len(p)]
+    assert html.uncovered(texts, starts or None) == "\n\n".join(want)
+
+
+def test_boilerplate_of_a_host_goes(spark):
+    menu = "one two three four five six seven eight nine"
+    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><div>" + " ".join(f"w{i}x{j}" for j in range(40)) + "</div>") for i in range(3)]
+    rows += [(9, "http://other.example/", f"<div>{menu}</div>"), (10, None, ""), (11, "http://h.example/11", "<p>" + "long " * 30_000 + "</p>")]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        assert found[i] == " ".join(f"w{i}x{j}" for j in range(40))
+    assert found[9] == menu and found[10] == "" and found[11] == " ".join(["long"] * 30_000)
