@@ -497,14 +497,10 @@ def file_count(spark, sf_dir):
 
 @query
 def funnel(spark, sf_dir):
-    keys = ["owner", "repo", "sha"]
-    scraped = X.commits(spark, sf_dir)
-    annotated = _annotated(spark, sf_dir)
-    landed = filters.passing_only(
-        filters.complete_patches(X.commit_files(spark, sf_dir)), annotated, keys
-    )
-    processed = preprocess_job(spark, sf_dir)
-    flags = corpus.funnel_flags(scraped, annotated, landed, processed)
+    landed = filters.complete_patches(X.commit_files(spark, sf_dir))
+    flags = corpus.funnel_flags(
+        X.commits(spark, sf_dir), _annotated(spark, sf_dir), landed, _processed(spark, sf_dir)
+    )
     named = {k: F.coalesce(k, F.lit("*")) for k in ("owner", "repo")}
     return corpus.funnel(flags).withColumns(named)
 

@@ -76,8 +76,9 @@ def funnel_flags(
     """One row per scraped commit with a flag for each step it reached.
 
     All inputs are keyed by (owner, repo, sha), so no repository is a hot join key.
-    The later stages are tagged, stacked and merged by one aggregation instead of
-    three joins.
+    The stages are tagged, stacked and merged by one aggregation instead of three joins.
+    A landed or processed commit that no longer fits the requirements is not counted there; that
+    follows from the merged flags, so the later stages need no join with the annotated one.
     """
     keys = ["owner", "repo", "sha"]
     rules = {
@@ -95,11 +96,12 @@ def funnel_flags(
         landed.select(*keys, F.lit(True).alias("landed")),
         processed.select(*keys, F.lit(True).alias("processed")),
     ]
+    still = {step: F.col(step) & F.col("fitting") for step in ("landed", "processed")}
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     merged = stacked.groupBy(*keys).agg(
         *[F.coalesce(F.bool_or(step), F.lit(False)).alias(step) for step in FUNNEL_STEPS]
     )
-    return merged.where("scraped")
+    return merged.where("scraped").withColumns(still)
 
 
 def funnel(flags: DataFrame) -> DataFrame:

@@ -86,9 +86,11 @@ def drill(
 ) -> DataFrame:
     """Drilled commits to rows, map-only. Without parsers the verb-object flags must be given.
 
-    ``spread`` re-spreads the commits left by the cheap rules before the costly work, for
-    sources that put a whole repository into one read task.
+    Merges go where ``parents`` are given. ``spread`` re-spreads the commits left by the cheap
+    rules before the costly work, for sources that put a whole repository into one read task.
     """
+    if "parents" in commits.columns:
+        commits = filters.no_merges(commits).drop("parents")
     subject = M.extract_subject_v2(F.col("message"))
     ruled = commits.where(ann.drill_cheap_rules(F.col("author"), subject)).withColumn(
         "subject", subject
@@ -106,6 +108,17 @@ def drill(
     )
 
 
+def raw_rows(diffs: DataFrame, annotated: DataFrame) -> DataFrame:
+    """File rows of the landed diffs whose commit fits the requirements, once each.
+
+    Owner and repository come from the metadata, since the folder name alone is ambiguous; a hash
+    that the metadata lists twice counts once.
+    """
+    keyed = annotated.withColumn("repo_key", P.repo_key(F.col("owner"), F.col("repo")))
+    fitting = keyed.where("fits_requirements").select("repo_key", "sha", "owner", "repo").distinct()
+    return corpus.explode_files(diffs.join(fitting, ["repo_key", "sha"]))
+
+
 def published(processed: DataFrame, seed: str = "0") -> DataFrame:
     """Processed rows in random order with their split."""
     return corpus.shuffle(corpus.split(processed, "sha", seed), "sha", seed)
@@ -129,7 +142,7 @@ def annotate_job(
     todo = _todo(spark, commits, out, keys, config)
     good, finish = _checked(todo, METADATA_RULES, out, keys)
     rows = annotate(good.repartition("sha"), spacy_factory, stanza_factory, config.full_parse)
-    writers.write_stage(rows, out, keys)
+    writers.write_stage(rows, out, keys, units=_units(good, keys) if config.overwrite_existing else None)
     finish()
 
 
@@ -153,7 +166,8 @@ def preprocess_job(
     todo = _todo(spark, diffs, out, ["repo_key"], config)
     good, finish = _checked(todo, DIFF_RULES, out, ["repo_key"])
     rows = preprocess(good, annotated, ["repo_key", "sha"])
-    writers.write_stage(rows, out, ["repo_key"])
+    units = _units(good, ["repo_key"]) if config.overwrite_existing else None
+    writers.write_stage(rows, out, ["repo_key"], units=units)
     finish()
 
 
@@ -165,8 +179,7 @@ def drill_job(
     A dump is one read task; only the commits passing the cheap rules are spread.
     """
     good, finish = _checked(readers.read_drilled(spark, source), DRILL_RULES, out, [])
-    commits = filters.no_merges(good).drop("parents")
-    rows = drill(commits, spacy_factory, stanza_factory, spread=True)
+    rows = drill(good, spacy_factory, stanza_factory, spread=True)
     rows.write.mode("overwrite").parquet(out)
     finish()
 
@@ -179,15 +192,9 @@ def publish_job(
         table = corpus.union_repos([readers.read_stage(spark, annotated)])
         table.write.mode("overwrite").parquet(f"{out}/analysed-metadata")
     if config.publish_raw_diffs:
-        stage = readers.read_stage(spark, annotated)
-        fitting = stage.withColumn("repo_key", P.repo_key(F.col("owner"), F.col("repo")))
         diffs = readers.read_raw_diffs(spark, raw_diffs).where(readers.is_readable())
-        # owner and repo come from the metadata: the folder name alone is ambiguous
-        owned = diffs.join(
-            fitting.where("fits_requirements").select("repo_key", "sha", "owner", "repo").distinct(),
-            ["repo_key", "sha"],
-        )
-        corpus.explode_files(owned).write.mode("overwrite").parquet(f"{out}/raw-diffs")
+        rows = raw_rows(diffs, readers.read_stage(spark, annotated))
+        rows.write.mode("overwrite").parquet(f"{out}/raw-diffs")
     if config.publish_dataset:
         rows = readers.read_stage(spark, processed).select(*schemas.PROCESSED.fieldNames())
         split = corpus.split(rows, "sha", config.seed)
@@ -221,6 +228,10 @@ def _todo(spark, rows: DataFrame, out: str, keys: list[str], config: StageConfig
     return rows
 
 
+def _units(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys).distinct().na.drop()
+
+
 def _checked(rows: DataFrame, rules: dict, out: str, keys: list[str]) -> tuple[DataFrame, Callable[[], None]]:
     """The rows that keep the rules, landed; and what a job calls after its output is written.
 
@@ -233,7 +244,7 @@ def _checked(rows: DataFrame, rules: dict, out: str, keys: list[str]) -> tuple[D
     def finish() -> None:
         bad.write.mode("append").parquet(f"{out}-rejected")
         if keys:
-            units = good.select(*keys).union(bad.select(*keys)).distinct().na.drop()
+            units = _units(good.select(*keys).union(bad.select(*keys)), keys)
             units.write.mode("append").parquet(f"{out}-done")
 
     return good.drop(readers.CORRUPT), finish

@@ -83,7 +83,7 @@ def read_raw_diffs(spark: SparkSession, path: str) -> DataFrame:
     """
     name, folder = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     return (
-        spark.read.schema(_with_corrupt(schemas.RAW_DIFF))
+        spark.read.schema(with_corrupt(schemas.RAW_DIFF))
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(f"{path}/*/*.json", multiLine=True)
         .select(
@@ -146,10 +146,11 @@ def is_readable(corrupt: str = CORRUPT) -> Column:
     return F.col(corrupt).isNull()
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
+def with_corrupt(schema: T.StructType) -> T.StructType:
+    """The schema and a column for the text of a record that does not fit it."""
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def _json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    reader = spark.read.schema(_with_corrupt(schema)).option("pathGlobFilter", "*.json")
+    reader = spark.read.schema(with_corrupt(schema)).option("pathGlobFilter", "*.json")
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=True)
