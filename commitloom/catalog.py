@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from . import schemas
-from .config import ExampleConfig
+from .config import ExampleConfig, StageConfig
 from .functions import arrays as A
 from .functions import message as M
 from .functions import patch as P
@@ -22,6 +22,7 @@ from .operators import annotate as ann
 from .operators import corpus, evaluation, examples, filters, parsing, vocabulary
 from .plans import jobs, work
 from .sources import readers, scratch, writers
+from .streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,6 +186,27 @@ def gather_files(spark, sf_dir):
     )
 
 
+def _forks(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The rows, and each again with its hash in a fork of the repository that changed some columns."""
+    fork = rows.withColumns({"repo": F.concat("repo", F.lit("-fork")), **changed})
+    return rows.unionByName(fork)
+
+
+def _commit_id() -> Column:
+    return F.concat_ws("/", "owner", "repo", "sha").alias("id")
+
+
+@query
+def gather_files_forks(spark, sf_dir):
+    """Long file rows of repositories and their forks, which share hashes, regrouped per commit."""
+    rows = X.commit_files(spark, sf_dir).select("owner", "repo", "sha", F.posexplode("files").alias("file_idx", "file"))
+    rows = rows.select("owner", "repo", "sha", "file_idx", "file.*")
+    both = _forks(rows, filename=F.concat(F.lit("fork/"), "filename"))
+    files = corpus.gather_files(both, ("owner", "repo", "sha"))
+    kept = files.where(P.complete_patches(F.col("files")))
+    return kept.select(_commit_id(), P.serialize_commit(F.col("files"), "v1").alias("patch"))
+
+
 def _with_specials(patch: Column) -> Column:
     """Patch text with special tokens strewn in, one of them formed by another's removal."""
     noisy = F.replace(patch, F.lit(" the "), F.lit(" <s> <m<pad>sk> "))
@@ -529,6 +551,14 @@ def bleu_report(spark, sf_dir):
     return evaluation.bleu_report(X.eval_pairs(spark, sf_dir))
 
 
+@query
+def corpus_bleu_nulls(spark, sf_dir):
+    """Some predictions and references are missing."""
+    pairs, n = X.eval_pairs(spark, sf_dir), F.col("example_id")
+    gaps = {"prediction": F.when(n % 7 != 2, F.col("prediction")), "reference": F.when(n % 9 != 4, F.col("reference"))}
+    return evaluation.corpus_bleu(pairs.withColumns(gaps))
+
+
 def _predicted(spark, sf_dir) -> DataFrame:
     """Token labels of whole texts and predictions that miss some of them."""
     n = F.col("example_id")
@@ -550,6 +580,16 @@ def masked_accuracy(spark, sf_dir):
     return totals.withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query
+def masked_accuracy_gaps(spark, sf_dir):
+    """Some rows have no predictions, some have three too few."""
+    n, given = F.col("example_id"), F.col("predictions")
+    short = F.slice(given, F.lit(1), F.greatest(F.size(given) - 3, F.lit(0)))
+    gaps = F.when(n % 5 == 2, short).when(n % 5 != 1, given)
+    totals = evaluation.masked_accuracy(_predicted(spark, sf_dir).withColumn("predictions", gaps), ["main_lang"])
+    return totals.withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query
 def accuracy_report(spark, sf_dir):
     report = evaluation.accuracy_report(_predicted(spark, sf_dir))
@@ -629,6 +669,16 @@ def encode_by_join(spark, sf_dir):
     return _ids(_encoded(spark, sf_dir))
 
 
+@query
+def encode_forks(spark, sf_dir):
+    """One hash in two repositories, with two texts."""
+    both = _forks(_processed(spark, sf_dir), message=F.concat("message", F.lit(" again")))
+    rows = both.select("owner", "repo", "sha", "patch", M.message_prompt(F.col("message")).alias("prompt"))
+    encoded = vocabulary.encode(rows, ["patch", "prompt"], _vocab(spark, sf_dir), ["owner", "repo", "sha"])
+    ids = [_flat(F.col(c)).alias(c) for c in ("patch_ids", "prompt_ids")]
+    return encoded.select(_commit_id(), *ids)
+
+
 def _hash_ids(text: Column) -> Column:
     """Word ids by word length, for packing without a vocabulary; 2 and 1 occur in them."""
     return F.transform(F.split(text, " "), lambda w: F.length(w) + 5)
@@ -851,6 +901,86 @@ def drill_job_with_parsers(spark, sf_dir):
     )
 
 
+@query
+def drill_job_merges(spark, sf_dir):
+    """History dumps that name the parents of some commits."""
+    n = F.col("doc_id")
+    parents = F.when(n % 5 != 0, F.array_repeat(F.col("hash"), (n % 4).cast("int")))
+    return jobs.drill(X.parsed_drilled_commits(spark, sf_dir).withColumn("parents", parents))
+
+
+@query
+def publish_raw(spark, sf_dir):
+    """File rows of fitting commits, with every third hash listed twice in the metadata."""
+    annotated = _annotated(spark, sf_dir)
+    twice = annotated.unionByName(annotated.where("doc_id % 3 = 0"))
+    key = P.repo_key(F.col("owner"), F.col("repo"))
+    diffs = X.commit_files(spark, sf_dir).select(key.alias("repo_key"), "sha", "message", "files")
+    return jobs.raw_rows(diffs, twice)
+
+
+# --- jobs over files ------------------------------------------------------------------
+
+FILE_PART = 512  # neighbouring documents that one metadata file may hold
+
+
+def _metadata_rows(spark, sf_dir) -> DataFrame:
+    n = F.col("doc_id")
+    return X.commits(spark, sf_dir).withColumns(
+        {"part": F.floor(n / FILE_PART), "broken": F.col("repo").endswith("7")}
+    )
+
+
+@query
+def read_checked(spark, sf_dir):
+    """Metadata files, those of every repository that ends in 7 unreadable: good rows, and a row per lost file."""
+    path = scratch.new_folder(spark)
+    X.write_metadata(_metadata_rows(spark, sf_dir), path)
+    good, bad = work.quarantine(readers.read_repo_metadata(spark, path), {"unreadable": readers.is_readable()})
+    lost = bad.select(F.lit("").alias("sha"), F.lit("").alias("message"), "reason")
+    return good.select("sha", "message", F.lit("").alias("reason")).unionByName(lost)
+
+
+@query
+def stage_second_run(spark, sf_dir):
+    """Two runs of the annotation job, the second over everything again and a repository without commits."""
+    source, out = scratch.new_folder(spark), scratch.new_folder(spark)
+    X.write_metadata(_metadata_rows(spark, sf_dir).withColumn("broken", F.lit(False)), source)
+    jobs.annotate_job(spark, source, out, token_parser, sentence_parser)
+    empty = spark.range(1).select(F.lit("none").alias("owner"), F.lit("empty").alias("name"), F.array().alias("commits_metadata"))
+    empty.write.mode("append").json(source)
+    jobs.annotate_job(spark, source, out, token_parser, sentence_parser)
+    done = readers.read_stage(spark, f"{out}-done").select("owner", "repo", F.lit("").alias("sha"), F.lit("done").alias("state"))
+    return readers.read_stage(spark, out).select("owner", "repo", "sha", F.lit("stored").alias("state")).unionByName(done)
+
+
+@query
+def rerun_rules(spark, sf_dir):
+    """An overwriting run in which every repository that ends in 1 has lost all its rows."""
+    source, again, out = (scratch.new_folder(spark) for _ in range(3))
+    rows = _metadata_rows(spark, sf_dir).withColumn("broken", F.lit(False))
+    X.write_metadata(rows, source)
+    jobs.annotate_job(spark, source, out, token_parser, sentence_parser)
+    bots = F.when(~F.col("repo").endswith("1"), F.col("author"))
+    X.write_metadata(rows.withColumn("author", bots), again)
+    jobs.annotate_job(spark, again, out, token_parser, sentence_parser, StageConfig(overwrite_existing=True))
+    return readers.read_stage(spark, out).select("owner", "repo", "sha", "subject")
+
+
+@query
+def stream_equals_batch(spark, sf_dir):
+    """Diff files ingested as a stream, every ninth unreadable: processed rows, and a row per file set aside."""
+    source, out, checkpoint = (scratch.new_folder(spark) for _ in range(3))
+    key = P.repo_key(F.col("owner"), F.col("repo"))
+    rows = X.commit_files(spark, sf_dir).withColumns({"repo_key": key, "broken": F.col("doc_id") % 9 == 4})
+    X.write_diffs(rows, source)
+    ingest_stream(spark, source, out, checkpoint).awaitTermination()
+    lost = spark.read.parquet(f"{out}-rejected").select("reason")
+    columns = [F.lit("").alias(c) for c in ("main_lang", "message", "patch")]
+    stored = spark.read.parquet(out).select("main_lang", "message", "patch", F.lit("").alias("reason"))
+    return stored.unionByName(lost.select(*columns, "reason"))
+
+
 @query
 def publish_job(spark, sf_dir):
     """Fitting commits as published: random order and split."""

@@ -193,6 +193,30 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed(spark, sf_dir, "commit_files", _build_commit_files).select(*COMMIT, "files")
 
 
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """(owner, repo, sha, author, committer, message, part, broken) commits as metadata files.
+
+    One object and file per repository and part; where ``broken``, the list of commits is a text, which
+    no reader of the schema can parse.
+    """
+    commit = F.struct("sha", "author", "committer", "message")
+    files = rows.groupBy("owner", F.col("repo").alias("name"), "part", "broken").agg(F.collect_list(commit).alias("commits_metadata"))
+    files = files.drop("part")
+    one = {"maxRecordsPerFile": 1}
+    files.where("NOT broken").drop("broken").write.options(**one).mode("append").json(path)
+    text = files.where("broken").withColumn("commits_metadata", F.to_json("commits_metadata"))
+    text.drop("broken").write.options(**one).mode("append").json(path)
+
+
+def write_diffs(rows: DataFrame, path: str) -> None:
+    """(repo_key, message, files, broken) commits as diff files, one each, in a folder per repository."""
+    one = {"maxRecordsPerFile": 1}
+    good = rows.where("NOT broken").select("repo_key", "message", "files")
+    good.write.options(**one).mode("append").partitionBy("repo_key").json(path)
+    text = rows.where("broken").select("repo_key", "message", F.to_json("files").alias("files"))
+    text.write.options(**one).mode("append").partitionBy("repo_key").json(path)
+
+
 def _parses(subject: Column) -> dict[str, Column]:
     n = F.col("doc_id")
     return {"tokens": _tokens(subject, n), "sentences": _sentences(subject, n + 1)}

@@ -641,6 +641,59 @@ def oracle_sql() -> dict[str, str]:
             "SELECT owner, repo, count(*) AS commits, count(*) FILTER (WHERE fits) AS fitting FROM annotated GROUP BY owner, repo"
         ),
     }
+    complete_fork = "list_transform(files, lambda f: struct_pack(filename := 'fork/' || f.filename, previous_filename := f.previous_filename, patch := f.patch))"
+    out["gather_files_forks"] = _sql(
+        f"""SELECT owner || '/' || repo || '/' || sha AS id, {_serialized('files', _header_v1)} AS patch FROM complete
+        UNION ALL SELECT owner || '/' || repo || '-fork/' || sha AS id, {_serialized(complete_fork, _header_v1)} AS patch FROM complete"""
+    )
+    out["corpus_bleu_nulls"] = _sql(
+        f"SELECT *, {_score(True)} AS bleu FROM (SELECT {_SUMS} FROM stats)",
+        {
+            **bleu_13a,
+            "pairs": f"""SELECT * REPLACE (CASE WHEN example_id % 7 = 2 THEN '' ELSE prediction END AS prediction)
+            FROM ({DOC_VIEWS['pairs']}) WHERE example_id % 9 <> 4""",
+        },
+    )
+    out["masked_accuracy_gaps"] = _sql(
+        """SELECT main_lang, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS labelled,
+        round(count(*) FILTER (WHERE hit)::DOUBLE / count(*), 6) AS accuracy FROM (
+          SELECT main_lang, (example_id + i - 1) % 3 <> 0 AND example_id % 5 <> 1
+            AND (example_id % 5 <> 2 OR i <= count(*) OVER (PARTITION BY example_id) - 3) AS hit, example_id, i
+          FROM predicted) WHERE (example_id + i - 1) % 4 <> 0 GROUP BY main_lang"""
+    )
+    out["encode_forks"] = _sql(
+        """SELECT f.sha AS id, array_to_string(coalesce(a.ids, []), ' ') AS patch_ids, array_to_string(coalesce(b.ids, []), ' ') AS prompt_ids
+        FROM forked f LEFT JOIN patch_enc a USING (sha) LEFT JOIN prompt_enc b USING (sha)""",
+        {
+            **_VOCAB_VIEWS,
+            "forked": """SELECT owner || '/' || repo || '/' || sha AS sha, patch, message FROM processed
+            UNION ALL SELECT owner || '/' || repo || '-fork/' || sha AS sha, patch, message || ' again' AS message FROM processed""",
+            **_encoded("patch", "patch_enc", "forked"),
+            **_encoded("'<msg> ' || message", "prompt_enc", "forked"),
+        },
+    )
+    out["drill_job_merges"] = out["drill_job"].replace("WHERE vo1 OR vo2", "WHERE (vo1 OR vo2) AND (doc_id % 5 = 0 OR doc_id % 4 <= 1)")
+    out["publish_raw"] = _sql(
+        f"""SELECT CASE l WHEN 'JavaScript' THEN 'Javascript' WHEN 'Markdown' THEN 'Other' ELSE coalesce(l, 'Other') END AS language,
+          owner, repo, sha, message, f.filename AS path, f.patch AS patch, multi AS is_multipart
+        FROM (SELECT *, {_lang_v2('f.filename')} AS l FROM (SELECT *, unnest(files) AS f, len(files) > 1 AS multi FROM commit_files
+          WHERE sha IN (SELECT sha FROM annotated WHERE fits)))"""
+    )
+    out["read_checked"] = _sql(
+        """SELECT sha, message, '' AS reason FROM commits WHERE NOT suffix(repo, '7')
+        UNION ALL SELECT '' AS sha, '' AS message, 'unreadable' AS reason FROM
+          (SELECT DISTINCT owner, repo, doc_id // 512 FROM commits WHERE suffix(repo, '7'))"""
+    )
+    out["stage_second_run"] = _sql(
+        """SELECT owner, repo, sha, 'stored' AS state FROM commits
+        UNION ALL SELECT DISTINCT owner, repo, '' AS sha, 'done' AS state FROM commits
+        UNION ALL SELECT 'none' AS owner, 'empty' AS repo, '' AS sha, 'done' AS state"""
+    )
+    out["rerun_rules"] = _sql("SELECT owner, repo, sha, subject FROM flagged WHERE NOT suffix(repo, '1')")
+    out["stream_equals_batch"] = _sql(
+        """SELECT p.main_lang, p.message, p.patch, '' AS reason FROM processed p JOIN commits c USING (sha) WHERE c.doc_id % 9 <> 4
+        UNION ALL SELECT '' AS main_lang, '' AS message, '' AS patch, 'unreadable' AS reason FROM commits WHERE doc_id % 9 = 4"""
+    )
     encoded = _sql(
         "SELECT sha, array_to_string(a, ' ') AS patch_ids, array_to_string(b, ' ') AS prompt_ids FROM encoded",
         _ENCODED,

@@ -140,9 +140,9 @@ def annotate_job(
     commits = readers.read_repo_metadata(spark, metadata_path)
     keys = ["owner", "repo"]
     todo = _todo(spark, commits, out, keys, config)
-    good, finish = _checked(todo, METADATA_RULES, out, keys)
+    good, units, finish = _checked(todo, METADATA_RULES, out, keys)
     rows = annotate(good.repartition("sha"), spacy_factory, stanza_factory, config.full_parse)
-    writers.write_stage(rows, out, keys, units=_units(good, keys) if config.overwrite_existing else None)
+    writers.write_stage(rows, out, keys, units=units if config.overwrite_existing else None)
     finish()
 
 
@@ -164,10 +164,9 @@ def preprocess_job(
     )
     diffs = readers.read_raw_diffs(spark, diffs_path)
     todo = _todo(spark, diffs, out, ["repo_key"], config)
-    good, finish = _checked(todo, DIFF_RULES, out, ["repo_key"])
+    good, units, finish = _checked(todo, DIFF_RULES, out, ["repo_key"])
     rows = preprocess(good, annotated, ["repo_key", "sha"])
-    units = _units(good, ["repo_key"]) if config.overwrite_existing else None
-    writers.write_stage(rows, out, ["repo_key"], units=units)
+    writers.write_stage(rows, out, ["repo_key"], units=units if config.overwrite_existing else None)
     finish()
 
 
@@ -178,7 +177,7 @@ def drill_job(
 
     A dump is one read task; only the commits passing the cheap rules are spread.
     """
-    good, finish = _checked(readers.read_drilled(spark, source), DRILL_RULES, out, [])
+    good, _, finish = _checked(readers.read_drilled(spark, source), DRILL_RULES, out, [])
     rows = drill(good, spacy_factory, stanza_factory, spread=True)
     rows.write.mode("overwrite").parquet(out)
     finish()
@@ -228,12 +227,10 @@ def _todo(spark, rows: DataFrame, out: str, keys: list[str], config: StageConfig
     return rows
 
 
-def _units(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.select(*keys).distinct().na.drop()
-
-
-def _checked(rows: DataFrame, rules: dict, out: str, keys: list[str]) -> tuple[DataFrame, Callable[[], None]]:
-    """The rows that keep the rules, landed; and what a job calls after its output is written.
+def _checked(
+    rows: DataFrame, rules: dict, out: str, keys: list[str]
+) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
+    """The rows that keep the rules, landed; all units; and what a job calls after its output is written.
 
     That stores the rejected rows and, for a stage by units, the units gone through. A job that dies
     before leaves its units pending. A unit is null where its file could not be read; it stays pending.
@@ -241,10 +238,11 @@ def _checked(rows: DataFrame, rules: dict, out: str, keys: list[str]) -> tuple[D
     checks = {name: rule() for name, rule in rules.items()}
     good, bad = store_checked(rows, checks, scratch.new_folder(rows.sparkSession))
 
+    units = good.select(*keys).union(bad.select(*keys)).distinct().na.drop()
+
     def finish() -> None:
         bad.write.mode("append").parquet(f"{out}-rejected")
         if keys:
-            units = _units(good.select(*keys).union(bad.select(*keys)), keys)
             units.write.mode("append").parquet(f"{out}-done")
 
-    return good.drop(readers.CORRUPT), finish
+    return good.drop(readers.CORRUPT), units, finish

@@ -151,6 +151,30 @@ def test_done_units_are_skipped(spark, landed):
     assert readers.read_stage(spark, out).count() == 7
 
 
+def test_overwriting_leaves_nothing_stale(spark, landed):
+    meta, out = landed / "meta", str(landed / "b")
+    row = {"sha": "s1", "author": "dev", "committer": "dev", "message": "Add the parser"}
+    for name in ("007", "a b+%"):
+        dump(meta / f"{name}.json", {"owner": "42", "name": name, "commits_metadata": [row]})
+    jobs.annotate_job(spark, str(meta), out, token_parser, sentence_parser)
+    assert {(r["owner"], r["repo"]) for r in readers.read_stage(spark, out).collect()} == {("o", "r"), ("42", "007"), ("42", "a b+%")}
+    dump(meta / "a b+%.json", {"owner": "42", "name": "a b+%", "commits_metadata": []})
+    dump(meta / "o-r.json", {"owner": "o", "name": "r", "commits_metadata": [{**row, "author": None}]})
+    overwrite = StageConfig(overwrite_existing=True)
+    jobs.annotate_job(spark, str(meta), out, token_parser, sentence_parser, overwrite)
+    assert [(r["owner"], r["repo"], r["sha"]) for r in readers.read_stage(spark, out).collect()] == [("42", "007", "s1")]
+
+
+def test_stream_keeps_rejected_rows(spark, landed):
+    (landed / "diffs" / "o-r" / "cut.json").write_text('{"message": ')
+    dump(landed / "diffs" / "o-r" / "ii.json", {"message": None, "files": [file("a.py")]})
+    out = str(landed / "stream")
+    for checkpoint in ("cp", "cp2"):  # a replay sets nothing aside twice
+        ingest_stream(spark, str(landed / "diffs"), out, str(landed / checkpoint)).awaitTermination(120)
+    bad = spark.read.parquet(f"{out}-rejected").collect()
+    assert sorted((r["sha"], r["reason"]) for r in bad) == [("cut", "unreadable"), ("ii", "no message")]
+
+
 def test_rejected_rows_are_stored_and_empty_units_are_done(spark, landed):
     (landed / "meta" / "cut.json").write_text('{"owner": "x"')
     (landed / "diffs" / "o-r" / "cut.json").write_text('{"message": ')

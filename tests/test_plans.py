@@ -38,7 +38,7 @@ def test_only_parsers_and_ngram_counts_leave_the_jvm(spark, sf_dir, plan):
     python = {name for name, query in catalog.QUERIES.items() if "EvalPython" in plan(query(spark, sf_dir))}
     assert python == {
         "with_verb_object", "annotate_job", "drill_job_with_parsers", "corpus_bleu", "corpus_bleu_by_language",
-        "bleu_report",
+        "corpus_bleu_nulls", "bleu_report",
     }
 
 
