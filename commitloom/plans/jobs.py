@@ -158,13 +158,22 @@ def rerun_rules_job(spark, path: str, out: str | None = None) -> None:
 def preprocess_job(
     spark, diffs_path: str, annotated_path: str, out: str, config: StageConfig = StageConfig()
 ) -> None:
-    """Preprocess the repositories of a raw-diff folder that have no output yet."""
+    """Preprocess the repositories of a raw-diff folder that have no output yet.
+
+    The folder listing is compared with the units done, so the files of finished repositories are not opened.
+    """
     annotated = readers.read_stage(spark, annotated_path).withColumn(
         "repo_key", P.repo_key(F.col("owner"), F.col("repo"))
     )
-    diffs = readers.read_raw_diffs(spark, diffs_path)
-    todo = _todo(spark, diffs, out, ["repo_key"], config)
-    good, units, finish = _checked(todo, DIFF_RULES, out, ["repo_key"])
+    folders = None
+    if not config.overwrite_existing:
+        # names of repositories only: far fewer than the files that the reader lists
+        pending = _todo(spark, readers.unit_folders(spark, diffs_path), out, ["repo_key"], config)
+        folders = [row["folder"] for row in pending.select("folder").collect()]
+        if not folders:
+            return
+    diffs = readers.read_raw_diffs(spark, diffs_path, folders)
+    good, units, finish = _checked(diffs, DIFF_RULES, out, ["repo_key"])
     rows = preprocess(good, annotated, ["repo_key", "sha"])
     writers.write_stage(rows, out, ["repo_key"], units=units if config.overwrite_existing else None)
     finish()

@@ -6,6 +6,8 @@ and null elsewhere, so that a job can put it into quarantine.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,17 +78,30 @@ def unescaped(name: Column) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def read_raw_diffs(spark: SparkSession, path: str) -> DataFrame:
+def unit_folders(spark: SparkSession, path: str) -> DataFrame:
+    """(repo_key, folder) of the repositories in a raw-diff folder, from a listing; opens no file."""
+    jvm = spark._jvm
+    every = jvm.org.apache.hadoop.fs.Path(f"{path}/*")
+    listed = every.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(every) or []
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in listed if s.isDirectory()]
+    return spark.createDataFrame(found, "repo_key string, folder string")
+
+
+def read_raw_diffs(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
     """One JSON per commit in a folder per repository; hash and repository come from the path.
 
-    Unreadable files keep a row, with the text in ``_corrupt_record``.
+    ``folders`` are the repositories' folders to read, else all below ``path``. Unreadable files keep a
+    row, with the text in ``_corrupt_record``.
     """
     name, folder = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    reader = spark.read.schema(with_corrupt(schemas.RAW_DIFF)).option("columnNameOfCorruptRecord", CORRUPT)
+    if folders is None:
+        files = reader.json(f"{path}/*/*.json", multiLine=True)
+    else:
+        literal = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in folders]
+        files = reader.option("pathGlobFilter", "*.json").json(literal, multiLine=True)
     return (
-        spark.read.schema(with_corrupt(schemas.RAW_DIFF))
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(f"{path}/*/*.json", multiLine=True)
-        .select(
+        files.select(
             unescaped(F.element_at(F.split(folder, "/"), -2)).alias("repo_key"),
             F.regexp_replace(name, r"\.json\z", "").alias("sha"),
             "message",

@@ -165,6 +165,28 @@ def test_overwriting_leaves_nothing_stale(spark, landed):
     assert [(r["owner"], r["repo"], r["sha"]) for r in readers.read_stage(spark, out).collect()] == [("42", "007", "s1")]
 
 
+def test_a_second_run_opens_pending_folders_only(spark, landed):
+    annotated, processed = str(landed / "b"), str(landed / "d")
+    for name in ("s{1}+%", "007"):
+        dump(landed / "diffs" / f"o-{name}" / "aa.json", {"message": "Add it", "files": [file("a.py")]})
+    rows = [("o", n, "aa", True) for n in ("r", "s{1}+%", "007", "t[x]", "none")]
+    meta = spark.createDataFrame(rows, "owner string, repo string, sha string, fits_requirements boolean")
+    meta.write.partitionBy("owner", "repo").parquet(annotated)
+    args = (spark, str(landed / "diffs"), annotated, processed)
+    jobs.preprocess_job(*args)
+    done = {"o-r", "o-s{1}+%", "o-007"}
+    assert {r["repo_key"] for r in readers.read_stage(spark, processed).collect()} == done
+    for broken in (landed / "diffs").glob("*/*.json"):
+        broken.write_text("{")  # opening one of them would reject it
+    jobs.preprocess_job(*args)
+    assert spark.read.parquet(f"{processed}-rejected").count() == 0
+    dump(landed / "diffs" / "o-t[x]" / "aa.json", {"message": "Add it", "files": [file("a.py")]})
+    (landed / "diffs" / "o-none").mkdir()
+    jobs.preprocess_job(*args)
+    assert spark.read.parquet(f"{processed}-rejected").count() == 0
+    assert {r["repo_key"] for r in readers.read_stage(spark, processed).collect()} == done | {"o-t[x]"}
+
+
 def test_stream_keeps_rejected_rows(spark, landed):
     (landed / "diffs" / "o-r" / "cut.json").write_text('{"message": ')
     dump(landed / "diffs" / "o-r" / "ii.json", {"message": None, "files": [file("a.py")]})
