@@ -120,6 +120,18 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return plain.union(by_byte)
 
 
+def _placed(docs: DataFrame, key: str, text: str, distance: int) -> DataFrame:
+    """(id, digest, fp, component, component_id) for every row; component is a fingerprint, digest a hash of the text."""
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("digest"), _fingerprints(F.col(text)).alias("fp"))
+    rows = scratch.stored(rows)
+    nodes = scratch.stored(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    found = connected_components(links(nodes.select("fp"), distance)).toDF("fp", "component")
+    placed = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = scratch.stored(placed.join(least, "component").select("fp", "component", "component_id"))
+    return rows.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(key, fingerprint, component_id) for every row of ``docs``.
 
@@ -130,26 +142,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     never a component_id unless nothing else is in the component (then it is null). Repeated rows
     stay. Other columns are not read. An empty table gives no rows.
     """
-    rows = scratch.stored(docs.select(F.col(key).alias("id"), _fingerprints(F.col(text)).alias("fp")))
-    nodes = scratch.stored(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = connected_components(links(nodes.select("fp"), distance)).toDF("fp", "component")
-    placed = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = scratch.stored(placed.join(least, "component").select("fp", "component_id"))
-    return rows.join(classes, "fp").select(
-        F.col("id").alias(key), hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
-    )
+    rows = _placed(docs, key, text, distance)
+    return rows.select(F.col("id").alias(key), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, placed: DataFrame, key: str, text: str) -> DataFrame:
+    """Of each component of ``placed`` (id, digest, component, component_id) the row of ``docs`` with the least key, then text.
+
+    A row is met again by its key and its text's hash, so neither a key that repeats in several components
+    nor a null one brings them together.
+    """
+    chosen = placed.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "digest", "component").distinct()
+    same = F.col(f"d.{key}").eqNullSafe(F.col("c.id")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("c.digest"))
+    row = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in [text, *(c for c in docs.columns if c != text)]])
+    kept = docs.alias("d").join(chosen.alias("c"), same).select(F.col("c.component").alias("component"), row.alias("row"))
+    first = kept.groupBy("component").agg(F.min("row").alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The documents whose key is the smallest of their component; all columns of ``docs``.
+    """One row of each component, that with the smallest key; all columns of ``docs``.
 
-    Rows that repeat a kept key are one document: one of them stays, the first by text. A component
-    without any key is kept as its first text.
+    Rows that repeat the smallest key of their component are one document: one of them stays, the first by text. A component
+    without any key is kept as its first text. A key that repeats in several components is kept once in each.
     """
-    groups = near_duplicates(docs, key, text, distance)
-    chosen = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.alias("d").join(chosen.alias("c"), F.col(f"d.{key}").eqNullSafe(F.col(f"c.{key}")), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in [text, *(c for c in docs.columns if c != text)]])
-    first = kept.groupBy(F.col(key).alias("__key")).agg(F.min(row).alias("__row"))
-    return first.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return first_rows(docs, _placed(docs, key, text, distance), key, text)

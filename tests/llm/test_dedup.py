@@ -70,6 +70,16 @@ def test_near_duplicates_equal_all_pairs(spark, sf_dir, monkeypatch):
     assert kept.columns == docs.columns
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (5, texts[3]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[5])]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, source string")
+    kept = simhash.keep_one(docs)
+    want = [(None, t) for t in texts[:3]] + [(5, texts[3]), (7, texts[4]), (7, texts[5])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert kept.columns == docs.columns
+
+
 def test_links_of_planted_prints(spark):
     random = np.random.default_rng(1)
     base = random.integers(0, 2**63, 20, dtype=np.int64)
