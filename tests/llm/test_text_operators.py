@@ -127,6 +127,27 @@ def test_html_containers(main, text):
     assert (found["text"][0] or "").split("\n\nSide")[0] == text
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<svg class="i"/><p>body</p>',
+        "<svg class=i viewBox='a/>b' /><p>body</p>",
+        "<math/><p>body</p>",
+        "<svg><path d='M0'/><text>no</text></svg><p>body</p>",
+        "<video-player></video-player><p>body</p>",
+        "<object-list><p>body</p></object-list>",
+        "<select-menu/><p>body</p>",
+        "<video src=x><p>body</p>",
+        "<iframe src=x></iframe ><script>no</script\n><p>body</p><script>no",
+        "<p>body</p><style>no",
+        "<svg ><p>body</p>",
+    ],
+)
+def test_html_raw_elements_take_no_other_text(inside):
+    page = "<html><body><article>" + inside + ("" if inside.endswith("no") else "</article></body></html>")
+    assert [t for t, kind, junk in html.blocks(page) if kind and not junk] == ["body"]
+
+
 def test_html_without_containers_by_host(spark):
     shared = "this banner line is found on every page of the host"
     pages = [(i, "http://h.com/%d" % i, f"<div>{shared}</div><p>page {i} has words that no other page has {i} {i} {i}</p><p>short {i}</p>") for i in range(5)]
