@@ -127,6 +127,32 @@ def test_html_containers(main, text):
     assert (found["text"][0] or "").split("\n\nSide")[0] == text
 
 
+LONG_TEXT = "the long text of the page " * 5
+
+
+@pytest.mark.parametrize(
+    "main, text",
+    [
+        *((f"<div class='{c}'><article><p>body</p></article></div>", "body") for c in ("overflow-hidden", "has-sidebar", "no-comments", "sticky-header", "page widget", "modal")),
+        ("<form id=aspnetForm><main><p>body</p><form>f</form></main></form>", "body"),
+        ("<main><div class=widget><article><p>body</p></article></div></main>", "body"),
+        (f"<main><p>{LONG_TEXT}</p><article class=teaser>next</article></main>", LONG_TEXT.strip() + "\n\nnext"),
+        (f"<main><p>{LONG_TEXT}</p></main><article class=teaser>next</article>", LONG_TEXT.strip()),
+        (f"<article class='post has-sidebar no-comments'>{LONG_TEXT}</article><div class=sidebar><article>next</article></div>", LONG_TEXT.strip()),
+        ("<article><div class='share-price'>price</div><div class='site-footer'>no</div><p>body</p><div hidden>no</div></article>", "price\n\nbody"),
+    ],
+)
+def test_html_names_around_containers(main, text):
+    found = next(html._parse(iter([__import__("pandas").DataFrame({"n": [0], "html": [PAGE.format(main=main)]})])))
+    assert found["text"][0] == text
+
+
+def test_html_of_junk_names_only(spark):
+    page = "<nav>menu</nav><div class='widget'><p>all the text there is</p></div><footer>us</footer>"
+    found = html.extract(spark.createDataFrame([(1, "http://h.com/1", page)], "page_id long, url string, html string")).first()
+    assert found.text == "all the text there is"
+
+
 @pytest.mark.parametrize(
     "inside",
     [
