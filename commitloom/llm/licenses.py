@@ -60,30 +60,76 @@ RULES = (
     (("CCBYND4ref",), "CC-BY-ND-4.0"),
     (("AllRights",), "Proprietary"),
 )
+#: Further sentences and rules, which ``scan_sql`` does not have; the given tables hold none of them.
+FURTHER_SENTENCES = {
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "GPL2only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or any later version": "AGPL3later",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGPLcopy",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3later",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LGPLcopy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCperm",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CCBYSA4ref",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "CCBYNC4ref",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "CCBYND4ref",
+}
+FURTHER_RULES = (
+    (("AGPL3later", "AGPLcopy"), "AGPL-3.0-or-later"),
+    (("LGPL21later", "LGPLcopy"), "LGPL-2.1-or-later"),
+    (("LGPL3later", "LGPLcopy"), "LGPL-3.0-or-later"),
+    (("GPL2only", "GPLcopy"), "GPL-2.0"),
+    (("AGPL3later",), "AGPL-3.0-or-later"),
+    (("LGPL21later",), "LGPL-2.1-or-later"),
+    (("LGPL3later",), "LGPL-3.0-or-later"),
+    (("GPL2only",), "GPL-2.0"),
+    (("GPLcopy",), "GPL"),
+    (("AGPLcopy",), "AGPL"),
+    (("LGPLcopy",), "LGPL"),
+    (("ISCperm",), "ISC"),
+    (("Unlicense",), "Unlicense"),
+)
+FURTHER_RESTRICTED = ("AGPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "GPL", "AGPL", "LGPL")
+FURTHER_STEMS = ("unencumbered",)
 #: Licences that forbid or bind reuse.
 RESTRICTED = ("GPL-3.0", "GPL-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "Proprietary")
 #: Every known sentence has one of these stems.
 STEMS = ("licen", "permission", "redistribut", "rights")
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order, none of them empty.
+_KNOWN = SENTENCES | FURTHER_SENTENCES
+#: A known sentence, the longest first, its words apart by blanks, line breaks (\n), or a semicolon or blank line (\2).
+_FIND = (
+    r"(?<=[ \n\x01\x02])(?<!\bnot[ \n])(?<!\bnever[ \n])(?:"
+    + "|".join(s.replace(" ", r"[ \n\x02]{1,6}") for s in sorted(_KNOWN, key=len, reverse=True))
+    + r")(?= ?[\n\x01\x02])"
+)
+
+
+def marked(text: Column) -> Column:
+    """The text in lower case with blanks for all but a-z and 0-9; sentence ends are \\1, semicolons and blank lines \\2.
 
-    A sentence ends at . ! ? or ; before white space, and at a line break that is not followed by a
-    small letter (which goes on with a wrapped sentence).
+    Comment marks at the start of lines are left out. A sentence ends at . ! or ? before white space, but not after v (v. 2.0).
     """
-    joined = F.regexp_replace(text, r"\n[ \t]*([a-z])", " $1")
-    broken = F.regexp_replace(joined, r"([.!?;])\s+", "$1\n")
-    parts = F.split(F.regexp_replace(F.lower(broken), r"[^a-z0-9\n]+", " "), "\n")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    bare = F.regexp_replace(lines, r"(?m)^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--|>+|\||(?:rem|dnl)(?=\s))", "")
+    ends = F.regexp_replace(bare, r"(?<!\bv)[.!?](?=[\"')\]*]{0,3}(?:\s|$))", "\x01")
+    soft = F.regexp_replace(F.regexp_replace(ends, r";(?=\s|$)", "\x02"), r"\n\s*\n", "\x02")
+    words = F.regexp_replace(soft, r"[^a-z0-9\n\x01\x02]+", " ")
+    return F.concat(F.lit("\x01"), F.regexp_replace(words, r"\bhttps\b", "http"), F.lit("\x01"))
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order. Texts without any stem are not split."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    found = F.filter(sentences(text), lambda s: s.isin(*SENTENCES))
-    ids = F.transform(found, lambda s: F.element_at(known, s))
-    stem = reduce(lambda a, b: a | b, [F.lower(text).contains(s) for s in STEMS])
+    """Identifiers of the known sentences of a text, in order. Texts without any stem are not searched.
+
+    A sentence may be wrapped anywhere, stand in comments and have words before it (but not ``not``); it ends with a
+    sentence or a line.
+    """
+    known = F.create_map(*(F.lit(x) for pair in _KNOWN.items() for x in pair))
+    found = F.regexp_extract_all(marked(text), F.lit(_FIND), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    stem = reduce(lambda a, b: a | b, [F.lower(text).contains(s) for s in (*STEMS, *FURTHER_STEMS)])
     return F.when(stem, ids).otherwise(F.array().cast("array<string>"))
 
 
@@ -91,7 +137,7 @@ def licences(ids: Column) -> Column:
     """Licences of an identifier sequence, in the order of the rules; each identifier is used once."""
     rest = F.concat(F.lit("|"), F.array_join(F.transform(ids, lambda i: F.concat(i, F.lit("|"))), "|"))
     found = []
-    for pattern, licence in RULES:
+    for pattern, licence in (*RULES, *FURTHER_RULES):
         run = "|" + "||".join(pattern) + "|"
         found.append(F.when(F.contains(rest, F.lit(run)), F.lit(licence)))
         rest = F.replace(rest, F.lit(run), F.lit("|/|"))
@@ -107,7 +153,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = docs.withColumn("sentence_ids", F.coalesce(identifiers(F.col(f"`{text}`")), F.array().cast("array<string>")))
     found = found.withColumn("licences", licences(F.col("sentence_ids")))
-    return found.withColumn("restricted", F.arrays_overlap("licences", F.array(*map(F.lit, RESTRICTED))))
+    return found.withColumn("restricted", F.arrays_overlap("licences", F.array(*map(F.lit, RESTRICTED + FURTHER_RESTRICTED))))
 
 
 def scan_sql() -> str:

@@ -216,6 +216,68 @@ def test_licence_rules_and_odd_texts(spark):
     assert all(any(stem in s for stem in licenses.STEMS) for s in licenses.SENTENCES)
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+
+"""
+GPL_COPY = """You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_of_wrapped_notices(spark):
+    def comment(mark, text):
+        return "".join(f"{mark}{line}".rstrip() + "\n" for line in text.split("\n"))
+
+    gpl3, gpl2 = GPL.format(":", ",", 3) + GPL_COPY, GPL.format(";", ";", 2) + GPL_COPY.replace(".  If", "; if")
+    cases = [(gpl3, ["GPL-3.0-or-later"]), (gpl2, ["GPL-2.0-or-later"]), (GPL_COPY, ["GPL"]), (MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (MPL, ["MPL-2.0"])]
+    cases = [(form, want) for text, want in cases for form in (text, text.replace("\n", "\r\n"), *(comment(m, text) for m in ("# ", " * ", "// ", ";; ", "dnl ")))]
+    cases += [
+        ("This software is licensed under the MIT License.", ["MIT"]),
+        ("This software is not licensed under the MIT License.", []),
+        ("Licensed under the MIT License\nCopyright 2020", ["MIT"]),
+        ("We wrote about how it was licensed under the MIT License and later was not.", []),
+    ]
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [found[i].licences for i in range(len(cases))] == [want for _, want in cases]
+    assert all(found[i].restricted == any("GPL" in w for w in want) for i, (_, want) in enumerate(cases))
+    assert found[28].sentence_ids == ["Apache2ref", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]
+
+
 def test_pipeline_stages_keep_their_promises(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for (name, stage), check in zip(corpus_pipeline.STAGES[:-1], (None, None, "dedup", "mix")):
