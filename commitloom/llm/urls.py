@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import scratch
+
 #: Verdict, host and path of the rules.
 RULES = (
     ("allow", "org", "/"),
@@ -29,14 +28,14 @@ SEEDS = (
     "adult porn sex xxx nude escort escorts webcam hentai erotic fetish "
     "spam scam phishing malware warez torrent torrents crack cracked keygen hacked replica counterfeit payday"
 ).split()
-MAX_WORDS = 50_000  # most frequent words of the segmenter, and of the classifier
 _SEED_COUNT = 5  # times that each seed counts as seen by the segmenter
 _SEED_ODDS = 8.0  # log odds of a seed, at least
 _SMOOTH = 50.0  # words of the whole table's mix that each class is given beforehand
 _HOSTS = 3  # hosts whose names share a label that is a word
 _LONGEST = 24
-_MEMORY = 200_000  # names a worker remembers
-_RUN = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
+_MEMORY = 200_000  # parts of names a worker holds at once
+_RUN = r"[a-z]+|[0-9]+|[^\x00-\x7f]+"
+_NUMBER = r"^[\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089]+$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -56,133 +55,133 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-@dataclass
-class Segmenter:
-    """The likeliest split of a name into words by their frequency (Viterbi over unigrams)."""
-
-    counts: dict[str, int]
-    memory: dict[str, list[str]] = field(default_factory=dict)
-
-    def __post_init__(self):
-        total = sum(self.counts.values()) or 1
-        self.cost = {w: -math.log(n / total) for w, n in self.counts.items()}
-        self.strange = math.log(total * 10)  # a word never seen; each letter costs more
-
-    def split(self, name: str) -> list[str]:
-        if (known := self.memory.get(name)) is not None:
-            return known
-        best = [(0.0, 0)]
-        for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - _LONGEST), end):
-                word = name[start:end]
-                cost = self.cost.get(word, self.strange + 2.3 * len(word))
-                options.append((best[start][0] + cost, start))
-            best.append(min(options))
-        words, end = [], len(name)
-        while end:
-            start = best[end][1]
-            words.append(name[start:end])
-            end = start
-        words.reverse()
-        if len(self.memory) >= _MEMORY:
-            self.memory.clear()
-        self.memory[name] = words
-        return words
-
-    def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        """Words of host and path; a number is #."""
-
-        def of(text: str) -> list[str]:
-            return [w for run in _RUN.findall(text) for w in (["#"] if run.isdigit() else self.split(run))]
-
-        return of(host), ["/" + w for w in of(path.lower())]
-
-
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes: log odds of unwanted."""
-
-    prior: float
-    odds: dict[str, float]
-
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
-
-
-def word_counts(pages: DataFrame, limit: int = MAX_WORDS) -> dict[str, int]:
-    """The most frequent words of page titles, paths, hyphenated host labels and labels of several hosts, and the seeds."""
-    title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.{0,2000}?)</title>", 1))
+def split(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest split of a name into words by their frequency (Viterbi over unigrams); counts of its parts will do."""
+    cost = {w: -math.log(n / total) for w, n in counts.items()}
+    strange = math.log(total * 10)  # a word never seen; each letter costs more
+    best = [(0.0, 0)]
+    for end in range(1, len(name) + 1):
+        options = []
+        for start in range(max(0, end - _LONGEST), end):
+            word = name[start:end]
+            options.append((best[start][0] + cost.get(word, strange + 2.3 * len(word)), start))
+        best.append(min(options))
+    words, end = [], len(name)
+    while end:
+        start = best[end][1]
+        words.append(name[start:end])
+        end = start
+    return words[::-1]
+
+
+def runs_of(name: Column) -> Column:
+    """The runs of letters, digits and other signs in a name, with a blank between; a number is #."""
+    found = F.regexp_extract_all(name, F.lit(_RUN), F.lit(0))
+    return F.array_join(F.transform(found, lambda run: F.when(run.rlike(_NUMBER), "#").otherwise(run)), " ")
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, count): words of page titles, paths, hyphenated host labels and labels of several hosts, and the seeds."""
+    title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     parts = F.filter(F.split("host", r"\."), lambda label: label.contains("-"))
     names = F.concat_ws(" ", title, F.lower("path"), F.array_join(parts, " "))
     words = pages.select(F.explode(F.split(names, r"[^a-z\x{80}-\x{10ffff}]+")).alias("word")).groupBy("word").count()
     labels = pages.select("host").distinct().select(F.explode(F.array_distinct(F.split("host", r"\."))).alias("word"))
     shared = labels.groupBy("word").count().filter(F.col("count") >= _HOSTS)
-    both = words.union(shared).filter(F.length("word").between(1, _LONGEST)).groupBy("word").agg(F.sum("count").alias("count"))
-    top = both.orderBy(F.desc("count"), "word").limit(limit).collect()
-    counts = {r["word"]: r["count"] for r in top}
-    return counts | {s: max(_SEED_COUNT, counts.get(s, 0)) for s in SEEDS}
-
-
-def _tally(segmenter: Segmenter):
-    """Counts of (unwanted, token) in a partition; the token null counts the pages."""
-    seeds = set(SEEDS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
-        for batch in batches:
-            for host, path in zip(batch["host"], batch["path"]):
-                in_host, in_path = segmenter.tokens(host, path)
-                bad = not seeds.isdisjoint(in_host)
-                sums[bad, None] += 1
-                sums.update((bad, t) for t in in_host + in_path)
-                if len(sums) > _MEMORY:
-                    yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["bad", "token", "n"])
-                    sums.clear()
-        yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["bad", "token", "n"])
-
-    return run
-
-
-def train(pages: DataFrame, segmenter: Segmenter, limit: int = MAX_WORDS) -> Bayes:
-    """Naive Bayes on all pages; those whose host has a seed word are the unwanted ones."""
-    tallied = pages.select("host", "path").mapInPandas(_tally(segmenter), "bad boolean, token string, n long")
-    by_token = tallied.groupBy("token").agg(
-        F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good")
-    )
-    top = by_token.orderBy(F.col("token").isNull().desc(), F.desc(F.col("bad") + F.col("good")), "token").limit(limit).collect()
-    counts = {r["token"]: (r["bad"], r["good"]) for r in top}
-    pages_bad, pages_good = counts.pop(None, (0, 0))
-    bad, good = (sum(c[i] for c in counts.values()) for i in (0, 1))
-    odds = dict.fromkeys(SEEDS, _SEED_ODDS)
-    for token, (b, g) in counts.items():
-        usual = _SMOOTH * (b + g) / (bad + good)
-        found = math.log((b + usual) / (bad + _SMOOTH)) - math.log((g + usual) / (good + _SMOOTH))
-        odds[token] = max(found, odds.get(token, found))
-    return Bayes(math.log((pages_bad + 1) / (pages_good + 2)), odds)
+    found = words.union(shared).filter(F.length("word").between(1, _LONGEST)).withColumn("least", F.lit(0))
+    seeds = pages.sparkSession.createDataFrame([(w, 0, _SEED_COUNT) for w in SEEDS], "word string, count long, least int")
+    both = found.union(seeds).groupBy("word").agg(F.sum("count").alias("count"), F.max("least").cast("long").alias("least"))
+    return both.select("word", F.greatest("count", "least").alias("count"))
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(run, word): the distinct parts of each run that can be words."""
+    for batch in batches:
+        found: list[tuple[str, str]] = []
+        for run in batch["run"]:
+            parts = {run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + _LONGEST) + 1)}
+            found.extend((run, part) for part in parts)
+            if len(found) > _MEMORY:
+                yield pd.DataFrame(found, columns=["run", "word"])
+                found = []
+        yield pd.DataFrame(found, columns=["run", "word"], dtype=object)
+
+
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of distinct ``run``; each gets the counts of its own parts, so no worker holds all words."""
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    hits = runs.mapInPandas(_parts, "run string, word string").join(counts, "word")
+    known = hits.groupBy("run").agg(F.collect_list("word").alias("parts"), F.collect_list("count").alias("counts"))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def words(names: pd.Series, parts: pd.Series, numbers: pd.Series) -> pd.Series:
+        found = [split(n, {} if p is None else dict(zip(p, c)), total) for n, p, c in zip(names, parts, numbers)]
+        return pd.Series(found, dtype=object)
+
+    return runs.join(known, "run", "left").select("run", words("run", "parts", "counts").alias("words"))
+
+
+def _words(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(side, name, words) of distinct names (``runs_of`` hosts, side 0, and paths, side 1); words of paths start with /."""
+    places = names.select("side", "name", F.posexplode(F.split("name", " ")).alias("at", "run"))
+    runs = places.filter("run not in ('', '#')").select("run").distinct()
+    found = scratch.stored(segmented(runs, counts))
+    placed = places.join(found, "run", "left").withColumn("words", F.coalesce("words", F.filter(F.array("run"), lambda w: w != "")))
+    lists = placed.groupBy("side", "name").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("lists"))
+    words = F.flatten(F.col("lists.words"))
+    return lists.select("side", "name", F.when(F.col("side") == 0, words).otherwise(F.transform(words, lambda w: F.concat(F.lit("/"), w))).alias("words"))
+
+
+def scores(pages: DataFrame) -> tuple[DataFrame, float]:
+    """(side, name, words, odds) of the distinct names of ``pages``, and the prior: naive Bayes, log odds of unwanted.
+
+    Learned from all pages and all words; those whose host has a seed word are the unwanted ones.
+    """
+    counts = scratch.stored(word_counts(pages))
+    pairs = scratch.stored(pages.groupBy("host_runs", "path_runs").count())
+    names = pairs.select(F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("name")) for i, c in enumerate(("host_runs", "path_runs"))))).alias("x"))
+    words = scratch.stored(_words(names.select("x.*").distinct(), counts))
+    bad = F.arrays_overlap("words", F.array(*map(F.lit, SEEDS))).alias("is_bad")
+    hosts = words.filter("side = 0").select(F.col("name").alias("host_runs"), bad)
+    n = [F.when(F.col("is_bad"), F.col("count")).otherwise(0), F.when(F.col("is_bad"), 0).otherwise(F.col("count"))]
+    judged = pairs.join(hosts, "host_runs").select("host_runs", "path_runs", n[0].alias("bad"), n[1].alias("good"))
+    sides = [judged.select(F.lit(i).alias("side"), F.col(c).alias("name"), "bad", "good") for i, c in enumerate(("host_runs", "path_runs"))]
+    by_name = sides[0].union(sides[1]).groupBy("side", "name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    by_name = scratch.stored(by_name)
+    pages_bad, pages_good = (x or 0 for x in by_name.filter("side = 0").agg(F.sum("bad"), F.sum("good")).first())
+    by_token = words.join(by_name, ["side", "name"]).select(F.explode("words").alias("token"), "bad", "good")
+    by_token = scratch.stored(by_token.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    all_bad, all_good = (x or 0 for x in by_token.agg(F.sum("bad"), F.sum("good")).first())
+    usual = _SMOOTH * (F.col("bad") + F.col("good")) / F.lit(float(all_bad + all_good))
+    found = F.log((F.col("bad") + usual) / (all_bad + _SMOOTH)) - F.log((F.col("good") + usual) / (all_good + _SMOOTH))
+    odds = by_token.select("token", F.when(F.col("token").isin(*SEEDS), F.greatest(found, F.lit(_SEED_ODDS))).otherwise(found).alias("odds"))
+    tokens = words.select("side", "name", F.posexplode("words").alias("at", "token")).join(odds, "token")
+    lists = tokens.groupBy("side", "name").agg(F.array_sort(F.collect_list(F.struct("at", "odds"))).alias("lists"))  # in one order, so that sums repeat
+    summed = lists.select("side", "name", F.aggregate("lists.odds", F.lit(0.0), lambda a, x: a + x).alias("odds"))
+    named = words.join(summed, ["side", "name"], "left").select("side", "name", "words", F.coalesce("odds", F.lit(0.0)).alias("odds"))
+    return scratch.stored(named), math.log((pages_bad + 1) / (pages_good + 2))
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
     """(key, host, path, rule, verdict, words, score) for every row.
 
     The longest rule that fits decides; rule is then its text. Else rule is null and the classifier
-    decides: block if the log odds of its words are above 0. Words it has never seen say nothing. A null url or one without
+    decides: block if the log odds of its words are above 0. A null url or one without
     :// has empty host and path, no words, and the verdict of the prior. Null html only
     lacks a title to learn words from. Repeated rows and null keys stay; other columns are not read; an empty
-    table gives no rows. Learning sees all pages; the driver holds ``MAX_WORDS`` words of each model.
+    table gives no rows. Learning sees all pages and all their words; distinct hosts and paths are scored once, only sums come to the driver.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
-    segmenter = Segmenter(word_counts(rows))
-    bayes = train(rows, segmenter)
-    kind = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("score", T.DoubleType())])
-
-    @F.pandas_udf(kind)
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for hosts, paths in batches:
-            tokens = [a + b for a, b in (segmenter.tokens(h, p) for h, p in zip(hosts, paths))]
-            yield pd.DataFrame({"words": tokens, "score": [bayes.score(t) for t in tokens]})
-
-    judged = rows.select("key", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("by"), scored("host", "path").alias("as"))
-    verdict = F.coalesce("by.verdict", F.when(F.col("as.score") > 0, "block").otherwise("allow"))
-    return judged.select(F.col("key").alias(key), "host", "path", "by.rule", verdict.alias("verdict"), "as.words", "as.score")
+    rows = rows.withColumns({"host_runs": runs_of(F.col("host")), "path_runs": runs_of(F.lower("path"))})
+    named, prior = scores(rows)
+    sides = [
+        named.filter(F.col("side") == i).select(F.col("name").alias(c), F.col("words").alias(f"{c}_words"), F.col("odds").alias(f"{c}_odds"))
+        for i, c in enumerate(("host_runs", "path_runs"))
+    ]
+    rule = rule_of(F.col("host"), F.col("path"), rules).alias("by")
+    judged = rows.select("key", "host", "path", "host_runs", "path_runs", rule).join(sides[0], "host_runs", "left").join(sides[1], "path_runs", "left")
+    score = F.lit(prior) + F.col("host_runs_odds") + F.col("path_runs_odds")
+    verdict = F.coalesce("by.verdict", F.when(score > 0, "block").otherwise("allow"))
+    words = F.concat("host_runs_words", "path_runs_words").alias("words")
+    return judged.select(F.col("key").alias(key), "host", "path", "by.rule", verdict.alias("verdict"), words, score.alias("score"))

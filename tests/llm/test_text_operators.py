@@ -103,6 +103,20 @@ def test_urls(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_urls_learn_from_all_words(spark):
+    # more distinct words than 50 000, each of them rare
+    letters = "bcdfghjklm"
+    rare = ["q" + "".join(letters[int(c)] for c in f"{i:05d}") for i in range(52_000)]
+    rows = [(i, f"http://garden.net/{w}/{w}", f"<title>{'x' * 2500} greenhouse</title>" if i == 0 else None) for i, w in enumerate(rare)]
+    rows += [(60_000 + i, f"http://casino.net/{w}", None) for i, w in enumerate(rare[:40_000])]
+    rows += [(-1, "http://zgreenhouse.net/", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in urls.judge(table).filter("page_id in (-1, 45000, 51999, 39999)").collect()}
+    assert found[-1].words[:2] == ["z", "greenhouse"]
+    assert found[51_999].words == ["garden", "net", "/" + rare[-1], "/" + rare[-1]]
+    assert found[51_999].score == pytest.approx(found[45_000].score) and found[51_999].score < found[39_999].score
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">A</a><li>B</ul></nav><!-- <p>no</p> --><div class="ad">Buy</div>{main}
 <aside>Side</aside><section id="comments"><article class="comment"><p>First!</p></article></section>
