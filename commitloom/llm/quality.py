@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 WINDOW = 8  # words
 SYMBOLS = "#*$%&|<>"
@@ -192,23 +193,28 @@ def train(
     """Trees fitted on at most ``limit`` labelled documents, taken by a hash of the key.
 
     Those that fail the base rules are left out: the trees judge the others. Null keys and labels
-    other than 0 and 1 are left out, of repeated labels the lowest counts. Without labels, or with
+    other than 0 and 1 are left out, of repeated labels the lowest counts, of repeated documents the text with the least hash
+    that passes the base rules. Without labels, or with
     one kind of label only, the trees are a constant. The driver gets the numbers of these
     documents, not their texts.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).filter("key is not null and y in (0, 1)")
     drawn = known.groupBy("key").agg(F.min("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(limit)
     # at most limit keys and numbers: broadcast, so that no text is shuffled
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key").drop("key")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = _table(batch["text"], ["n_words", "n_repeat_words", *FEATURES])
-            yield found.assign(y=batch["y"].to_numpy())
-
-    measured = rows.mapInPandas(measure, "n_words long, n_repeat_words long, " + ", ".join(f"{c} double" for c in [*FEATURES, "y"]))
-    fair = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select(*FEATURES, "y")
-    table = fair.orderBy(*FEATURES, "y").limit(2 * limit).toPandas()  # repeated keys give more than limit
+            order = np.fromiter((xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in batch["text"]), np.uint64, len(batch))
+            yield found.assign(y=batch["y"].to_numpy(), key=batch["key"].to_numpy(), order=order.view(np.int64))
+
+    kind = rows.schema["key"].dataType.simpleString()
+    columns = ["n_words", "n_repeat_words", *FEATURES, "y"]
+    measured = rows.mapInPandas(measure, "n_words long, n_repeat_words long, " + ", ".join(f"{c} double" for c in [*FEATURES, "y"]) + f", key {kind}, order long")
+    fair = measured.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    one = fair.groupBy("key").agg(F.min(F.struct("order", *columns)).alias("row")).select("row.*")  # of a repeated key one text, by its hash
+    table = one.select(*FEATURES, "y").orderBy(*FEATURES, "y").toPandas()  # at most limit rows
     return fit(table[[*FEATURES]].to_numpy(float), table["y"].to_numpy(float), np.array(list(FEATURES.values())))
 
 

@@ -52,6 +52,19 @@ def test_quality_on_labelled_documents(spark):
     assert len(odd) == 3 and all(r.base_failed and not r.kept for r in odd)
 
 
+def test_trees_are_fitted_on_one_text_of_each_key(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30 + 20 * i))) for i in range(8)]
+    rows += [(0, " ".join(f"v{i}x{j}" for j in range(25))) for i in range(40)] + [(0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, signs: seen.append((x, y)))
+    quality.train(docs, labels, limit=8)
+    x, y = seen[0]
+    assert sorted(np.expm1(x[:, 0]).round().astype(int).tolist())[-7:] == [50, 70, 90, 110, 130, 150, 170]
+    assert len(y) == 8 and y.sum() == 4
+
+
 def test_languages_on_held_out_documents(spark):
     found = catalog.op5_language_id(spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
