@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, languages, licenses, mixing, packing, quality, sharding, simhash, urls
+from . import counts, embeddings, html, languages, licenses, mixing, packing, quality, sharding, simhash, urls
+
+
+TOKEN_LIMIT = 512  # of op13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +83,11 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_quality_rules,
         op10_shard,
+        op13_token_counts,
     )
 }
 
