@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, embeddings, html, languages, licenses, mixing, packing, quality, sharding, simhash, urls
+from ..functions.text import bind
+from . import counts, embeddings, html, languages, licenses, mixing, packing, quality, runs, sharding, simhash, urls
 
 
 TOKEN_LIMIT = 512  # of op13
@@ -83,6 +84,43 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def _partly_periodic(doc_id: Column, text: Column) -> Column:
+    """The text; for a tenth of the documents its words from one on are replaced by repeats of the first of these."""
+    code = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(code / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        unit = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(unit), F.lit(1), n - a)), " ")
+
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    return F.when(code % 10 == 0, bind(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(text))).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _partly_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.find_runs(docs)
+    no_run = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    longer = lambda best, run: best["period"].isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+    best = F.reduce("runs", no_run, lambda best, run: F.when(longer(best, run), run).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    report = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(report, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -101,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_quality_rules,
         op10_shard,
+        op11_periodic_runs,
         op13_token_counts,
     )
 }

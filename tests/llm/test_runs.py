@@ -1,0 +1,111 @@
+import hashlib
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from commitloom.llm import catalog, runs
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_runs(words, min_length=6, min_exponent=4):
+    """Every period by itself: stretches that equal themselves moved by it."""
+    found, n = [], len(words)
+    for q in range(1, n // min_exponent + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            end = i
+            while end + q < n and words[end] == words[end + q]:
+                end += 1
+            length = end + q - i
+            if length >= max(min_length, min_exponent * q) and not any(all(words[a] == words[a + r] for a in range(i, i + length - r)) for r in range(1, q)):
+                found.append((i, length, q))
+            i = end
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def plain_collapse(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+periodic = st.lists(st.tuples(st.lists(st.integers(0, 2), min_size=1, max_size=4), st.integers(1, 7)), max_size=5).map(
+    lambda parts: [w for unit, times in parts for w in unit * times]
+)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(periodic | st.lists(st.integers(0, 2), max_size=30), max_size=4), st.sampled_from([(6, 4), (2, 2), (6, 3), (1, 5)]))
+def test_runs_equal_brute_force(texts, least):
+    ids = np.array([i * 10 + w for i, t in enumerate(texts) for w in t], np.int64)
+    got = list(zip(*(x.tolist() for x in runs.runs_of(ids, *least))))
+    base, want = 0, []
+    for t in texts:
+        want += [(base + s, n, q) for s, n, q in plain_runs(t, *least)]
+        base += len(t)
+    assert got == want
+
+
+def test_levels_are_the_suffix_order():
+    ids = np.random.default_rng(5).integers(0, 3, 400)
+    order = sorted(range(400), key=lambda i: ids[i:].tolist())
+    levels = runs.suffix_levels(ids)
+    assert np.argsort(levels[-1]).tolist() == order
+    for k, level in enumerate(levels[:-1]):
+        heads = [tuple(ids[i : i + 2**k]) for i in range(400)]
+        assert [level[i] == level[j] for i in range(0, 400, 7) for j in range(400)] == [heads[i] == heads[j] for i in range(0, 400, 7) for j in range(400)]
+
+
+def test_texts_of_every_kind(spark, monkeypatch):
+    monkeypatch.setattr(runs, "_SEGMENT", 60)
+    long = "x y z " * 4000
+    texts = [None, "", " \t\n", "a", "a " * 6, " a a a a a a", "a a a a a", "a b\na b\ta b a b a", long, "q " + long + "q q q q q q", "É\u0085É É É É É É É É", "a\x1cb " * 8]
+    rows = [(i if i != 4 else None, t, 1, "s") for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, runs int, collapsed string").repartition(3)
+    got = runs.find_runs(docs).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        words = (texts[4 if r.doc_id is None else r.doc_id] or "").encode().split()
+        words = [w.decode() for w in words]
+        found = [tuple(x) for x in r.runs]
+        if len(words) < 100:
+            assert found == plain_runs(words)
+        else:
+            assert found[0] == ((0, 12000, 3) if r.doc_id == 8 else (1, 12000, 3))
+        assert r.collapsed == plain_collapse(words, found)
+    assert runs.find_runs(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        runs.find_runs(docs, min_exponent=1)
+
+
+def test_the_query_equals_brute_force(spark):
+    got = {r.doc_id: r for r in catalog.op11_periodic_runs(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    changed = 0
+    for d in docs:
+        words = [w.decode() for w in (d.text or "").encode().split()]
+        n, h = len(words), zlib.crc32(str(d.doc_id).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+            changed += 1
+        if n > 1500:
+            continue  # brute force takes the square of the words
+        found = plain_runs(words)
+        r = got[d.doc_id]
+        best = min(found, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=None)
+        assert r.n_runs == len(found)
+        assert (r.start, r.length, r.period, r.exponent_milli) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{k},{q}\n" for s, k, q in found).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(plain_collapse(words, found).encode()).hexdigest()
+    assert changed > 5
