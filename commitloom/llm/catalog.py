@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
-from . import counts, embeddings, html, languages, licenses, mixing, packing, quality, runs, sharding, simhash, urls
+from . import counts, embeddings, html, languages, licenses, mixing, packing, quality, ranked, runs, sharding, simhash, urls
 
 
 TOKEN_LIMIT = 512  # of op13
@@ -121,6 +121,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -140,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_shard,
         op11_periodic_runs,
+        op12_ranked_search,
         op13_token_counts,
     )
 }
@@ -155,4 +160,4 @@ QUERIES["pipeline"] = pipeline
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.scan_sql()}
+    return {"op8_license_scan": licenses.scan_sql(), "op12_ranked_search": ranked.SQL}
