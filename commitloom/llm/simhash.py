@@ -154,16 +154,18 @@ def first_rows(docs: DataFrame, placed: DataFrame, key: str, text: str) -> DataF
     """
     chosen = placed.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "digest", "component").distinct()
     same = F.col(f"d.{key}").eqNullSafe(F.col("c.id")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("c.digest"))
-    row = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in [text, *(c for c in docs.columns if c != text)]])
+    row = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
     kept = docs.alias("d").join(chosen.alias("c"), same).select(F.col("c.component").alias("component"), row.alias("row"))
-    first = kept.groupBy("component").agg(F.min("row").alias("row"))
+    # rows with the same text are told apart by their JSON form: not every type can be ordered
+    order = F.struct(F.col("row").getField(text), F.to_json("row"))
+    first = kept.groupBy("component").agg(F.min_by("row", order).alias("row"))
     return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of each component, that with the smallest key; all columns of ``docs``.
 
-    Rows that repeat the smallest key of their component are one document: one of them stays, the first by text. A component
-    without any key is kept as its first text. A key that repeats in several components is kept once in each.
+    Rows that repeat the smallest key of their component are one document: one of them stays, the first by text, then by
+    its JSON form. Other columns may be of any type. A component without any key is kept as its first text. A key that repeats in several components is kept once in each.
     """
     return first_rows(docs, _placed(docs, key, text, distance), key, text)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commitloom.llm import embeddings, shingles, simhash
+from commitloom.llm import embeddings, simhash
 from commitloom.llm.components import connected_components
 
 
@@ -81,29 +81,22 @@ def test_one_row_of_each_component_is_kept(spark):
     assert kept.columns == docs.columns
 
 
-def test_near_dedup_stage_equals_all_pairs_of_shingle_sets(spark, sf_dir):
-    words = [[f"w{i}x{j}" for j in range(130)] for i in range(20)]
-    planted = [(9000 + 10 * i + n, " ".join(w[k : k + 104])) for i, w in enumerate(words) for n, k in enumerate((0, 2, 5, 11, 23))]
-    planted += [(9500 + 10 * i + n, "l " + " ".join(f"v{i}x{j}" for j in range(k, k + 104))) for i in range(20) for n, k in enumerate((0, 12, 24))]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    given = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    odd = [(None, "only here"), (9901, "A b\tc"), (9902, "a B c"), (9903, None), (9904, " "), (None, "a b c")]
-    rows = given + planted + odd
-
-    def grams(text):
-        w = (text or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [grams(t) for _, t in rows]
-    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 10 * len(a & b) >= 8 * len(a | b)]
-    of = classes(range(len(rows)), near)
+def test_near_dedup_stage_equals_all_pairs_of_fingerprints(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = [(None, "only here"), (9901, "A b\tc"), (9902, "a B c"), (9903, None), (9904, " "), (None, "a b c"), (9905, "x " * 30000), (9905, "other text of a repeated key")]
+    rows = [tuple(r) for r in docs.collect()] + odd * 2
+    prints = [plain_print(t) for _, t in rows]
+    distinct = sorted(set(prints))
+    of = classes(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if (a ^ b).bit_count() <= 3])
     least = {}
-    for i, (key, _) in enumerate(rows):
-        least[of[i]] = min([k for k in (key, least.get(of[i])) if k is not None], default=None)
+    for (key, _), p in zip(rows, prints):
+        least[of[p]] = min([k for k in (key, least.get(of[p])) if k is not None], default=None)
     table = spark.createDataFrame(rows, "doc_id long, text string")
+    table = table.withColumns({"component": F.lit(1), "row": F.create_map(F.lit("a"), F.lit(2)), "fp": F.lit("x")})
     found = corpus_pipeline.near_dedup(spark, table, sf_dir)
+    assert found.columns == table.columns
     assert sorted((r.doc_id for r in found.collect()), key=repr) == sorted(least.values(), key=repr)
-    assert shingles.keep_one(table.limit(0)).count() == 0
+    assert corpus_pipeline.near_dedup(spark, table.limit(0), sf_dir).count() == 0
 
 
 def test_links_of_planted_prints(spark):
