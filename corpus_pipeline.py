@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import catalog, languages, mixing, packing, quality, shingles
+from commitloom.llm import catalog, languages, mixing, packing, quality, simhash
 from commitloom.sources import scratch
 
 LEAST_SCORE = 0.3  # of the main language
@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; links from 0.8 of the 5-word shingles."""
-    return shingles.keep_one(docs)
+    """One document of each group of near copies, the one with the smallest doc_id; links by the fingerprints of ``op1``."""
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
