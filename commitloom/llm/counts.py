@@ -158,5 +158,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, key:
     rows = docs.select(F.col(key).alias("id"), F.octet_length(content).cast("long").alias("n_bytes"), digest(content).alias("digest"))
     rows = scratch.stored(rows)
     append_missing(docs.select(digest(content).alias("digest"), content.alias("text")), rows, tokenizer, cache)
-    known = _known(spark, cache, version(tokenizer))
+    # written, so that the join has an exchange on each side and a digest with many rows can be split
+    known = scratch.stored(rows.select("digest").distinct().join(_known(spark, cache, version(tokenizer)), "digest"))
     return rows.join(known, "digest").select(F.col("id").alias(key), "n_bytes", "n_tokens")
