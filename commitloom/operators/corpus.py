@@ -70,6 +70,18 @@ FUNNEL_STEPS = (
 )
 
 
+def funnel_rules() -> dict[str, Column]:
+    """The steps that an annotated row alone decides."""
+    return {
+        "not_bot": ~F.col("is_bot"),
+        "not_chore": ~F.col("is_chore"),
+        "short_enough": F.col("subject_length") <= MAX_SUBJECT_LENGTH,
+        "enough_words": F.col("subject_word_count") >= MIN_SUBJECT_WORDS,
+        "verb_object": either_verb_object(),
+        "fitting": F.col("fits_requirements"),
+    }
+
+
 def funnel_flags(
     scraped: DataFrame, annotated: DataFrame, landed: DataFrame, processed: DataFrame
 ) -> DataFrame:
@@ -81,15 +93,7 @@ def funnel_flags(
     follows from the merged flags, so the later stages need no join with the annotated one.
     """
     keys = ["owner", "repo", "sha"]
-    rules = {
-        "annotated": F.lit(True),
-        "not_bot": ~F.col("is_bot"),
-        "not_chore": ~F.col("is_chore"),
-        "short_enough": F.col("subject_length") <= MAX_SUBJECT_LENGTH,
-        "enough_words": F.col("subject_word_count") >= MIN_SUBJECT_WORDS,
-        "verb_object": either_verb_object(),
-        "fitting": F.col("fits_requirements"),
-    }
+    rules = {"annotated": F.lit(True), **funnel_rules()}
     parts = [
         scraped.select(*keys, F.lit(True).alias("scraped")),
         annotated.select(*keys, *[rule.alias(step) for step, rule in rules.items()]),

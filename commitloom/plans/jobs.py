@@ -56,11 +56,12 @@ def annotate(
     return parsed.withColumn("fits_requirements", ann.requirements_mask(vo))
 
 
-def preprocess(diffs: DataFrame, annotated: DataFrame | None, keys: list[str]) -> DataFrame:
+def preprocess(diffs: DataFrame, annotated: DataFrame | None, keys: list[str], also: str | None = None) -> DataFrame:
     """Landed diffs to processed rows, for commits that fit the requirements now.
 
-    ``diffs`` holds the ``keys``, message and files. Without ``annotated`` every diff is
-    taken. The only shuffle is the semi join's, and it precedes the text work.
+    ``diffs`` holds the ``keys``, message and files, and ``also`` a column to keep. Without ``annotated`` every diff is
+    taken. The only shuffle is the semi join's, and it precedes the text work; there is none where both
+    tables are bucketed by the keys.
     """
     if annotated is not None:
         diffs = filters.passing_only(diffs, annotated, keys)
@@ -75,6 +76,7 @@ def preprocess(diffs: DataFrame, annotated: DataFrame | None, keys: list[str]) -
         "sha",
         P.serialize_commit(files, "v1").alias("patch"),
         P.file_count(files).cast("int").alias("file_count"),
+        *([also] if also else []),
     )
 
 
@@ -83,11 +85,13 @@ def drill(
     spacy_factory: ParserFactory | None = None,
     stanza_factory: ParserFactory | None = None,
     spread: bool = False,
+    also: str | None = None,
 ) -> DataFrame:
     """Drilled commits to rows, map-only. Without parsers the verb-object flags must be given.
 
     Merges go where ``parents`` are given. ``spread`` re-spreads the commits left by the cheap
-    rules before the costly work, for sources that put a whole repository into one read task.
+    rules before the costly work, for sources that put a whole repository into one read task. ``also`` is
+    a column to keep.
     """
     if "parents" in commits.columns:
         commits = filters.no_merges(commits).drop("parents")
@@ -105,6 +109,7 @@ def drill(
         "message",
         "hash",
         P.serialize_commit(F.col("files"), "v2").alias("patch"),
+        *([also] if also else []),
     )
 
 
@@ -114,7 +119,9 @@ def raw_rows(diffs: DataFrame, annotated: DataFrame) -> DataFrame:
     Owner and repository come from the metadata, since the folder name alone is ambiguous; a hash
     that the metadata lists twice counts once.
     """
-    keyed = annotated.withColumn("repo_key", P.repo_key(F.col("owner"), F.col("repo")))
+    keyed = annotated
+    if "repo_key" not in annotated.columns:
+        keyed = annotated.withColumn("repo_key", P.repo_key(F.col("owner"), F.col("repo")))
     fitting = keyed.where("fits_requirements").select("repo_key", "sha", "owner", "repo").distinct()
     return corpus.explode_files(diffs.join(fitting, ["repo_key", "sha"]))
 

@@ -62,15 +62,17 @@ def read_api_commits(spark: SparkSession, path: str) -> DataFrame:
     return flatten_api_commits(_json(spark, schemas.API_COMMIT, path))
 
 
-def read_repo_metadata(spark: SparkSession, path: str) -> DataFrame:
+def read_repo_metadata(spark: SparkSession, path: str | list[str], file: str | None = None) -> DataFrame:
     """One JSON object per repository to one row per commit with owner and repo.
 
-    A repository without commits keeps one row, without a commit, so that it can count as done.
+    A repository without commits keeps one row, without a commit, so that it can count as done. ``file``
+    names a column for the file a row comes from.
     """
     repos = _json(spark, schemas.REPO_METADATA, path)
+    more = _file(file)
     return repos.select(
-        "owner", F.col("name").alias("repo"), F.explode_outer("commits_metadata").alias("c"), CORRUPT
-    ).select("owner", "repo", "c.*", CORRUPT)
+        "owner", F.col("name").alias("repo"), F.explode_outer("commits_metadata").alias("c"), CORRUPT, *more
+    ).select("owner", "repo", "c.*", CORRUPT, *([file] if file else []))
 
 
 def unescaped(name: Column) -> Column:
@@ -93,30 +95,46 @@ def read_raw_diffs(spark: SparkSession, path: str, folders: list[str] | None = N
     ``folders`` are the repositories' folders to read, else all below ``path``. Unreadable files keep a
     row, with the text in ``_corrupt_record``.
     """
-    name, folder = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     reader = spark.read.schema(with_corrupt(schemas.RAW_DIFF)).option("columnNameOfCorruptRecord", CORRUPT)
     if folders is None:
         files = reader.json(f"{path}/*/*.json", multiLine=True)
     else:
-        literal = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in folders]
+        literal = [literal_path(f) for f in folders]
         files = reader.option("pathGlobFilter", "*.json").json(literal, multiLine=True)
-    return (
-        files.select(
-            unescaped(F.element_at(F.split(folder, "/"), -2)).alias("repo_key"),
-            F.regexp_replace(name, r"\.json\z", "").alias("sha"),
-            "message",
-            "files",
-            CORRUPT,
-        )
+    return _diff_rows(files)
+
+
+def read_diff_files(spark: SparkSession, paths: list[str], file: str | None = None) -> DataFrame:
+    """As ``read_raw_diffs``, of these files (or patterns of files); ``file`` names a column for the file."""
+    return _diff_rows(_json(spark, schemas.RAW_DIFF, paths), file)
+
+
+def _diff_rows(files: DataFrame, file: str | None = None) -> DataFrame:
+    name, folder = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    return files.select(
+        unescaped(F.element_at(F.split(folder, "/"), -2)).alias("repo_key"),
+        F.regexp_replace(name, r"\.json\z", "").alias("sha"),
+        "message",
+        "files",
+        CORRUPT,
+        *_file(file),
     )
 
 
-def read_drilled(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per repository to one row per drilled commit; file contents are not parsed."""
+def literal_path(path: str) -> str:
+    """A path in which nothing is a pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
+def read_drilled(spark: SparkSession, path: str | list[str], file: str | None = None) -> DataFrame:
+    """One JSON object per repository to one row per drilled commit; file contents are not parsed.
+
+    ``file`` names a column for the file a row comes from.
+    """
     dumps = _json(spark, schemas.DRILLED, path)
-    return dumps.select(F.explode_outer("commits").alias("c"), CORRUPT).where(
+    return dumps.select(F.explode_outer("commits").alias("c"), CORRUPT, *_file(file)).where(
         F.col("c").isNotNull() | F.col(CORRUPT).isNotNull()
-    ).select("c.*", CORRUPT)
+    ).select("c.*", CORRUPT, *([file] if file else []))
 
 
 #: Columns that name the folders of a stage.
@@ -166,6 +184,10 @@ def with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def _json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+def _file(name: str | None) -> list[Column]:
+    return [F.col("_metadata.file_path").alias(name)] if name else []
+
+
+def _json(spark: SparkSession, schema: T.StructType, path: str | list[str]) -> DataFrame:
     reader = spark.read.schema(with_corrupt(schema)).option("pathGlobFilter", "*.json")
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=True)

@@ -1,0 +1,290 @@
+"""Landing by file, stages that switch at once, and the jobs that follow them."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from commitloom.catalog import sentence_parser, token_parser
+from commitloom.plans import jobs, landing
+from commitloom.sources import readers, stages
+
+PARSERS = (token_parser, sentence_parser)
+
+
+def dump(path, value):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(value if isinstance(value, str) else json.dumps(value), encoding="utf-8")
+
+
+def commit(sha, message="Add the parser", author="dev"):
+    return {"sha": sha, "author": author, "committer": "dev", "message": message}
+
+
+def repo(name, *commits):
+    return {"owner": "o", "name": name, "commits_metadata": list(commits)}
+
+
+def diff(message, *names, patch="@@ -1 +1 @@\n+x"):
+    return {"message": message, "files": [{"filename": n, "status": "modified", "patch": patch} for n in names]}
+
+
+def rows(spark, path, part=stages.ROWS, columns=("sha",), **options):
+    found = stages.read(spark, path, part, **options)
+    return [] if found is None else sorted((tuple(r) for r in found.select(*columns).collect()), key=repr)
+
+
+def later(path, seconds=5):
+    """Sets a file's time apart from that of its last version."""
+    at = os.stat(path).st_mtime + seconds
+    os.utime(path, (at, at))
+
+
+@pytest.fixture
+def meta(tmp_path):
+    folder = tmp_path / "meta"
+    dump(folder / "a.json", repo("a", commit("a1"), commit("a2", "Only two"), commit("a3", author=None)))
+    dump(folder / "b c+%.json", repo("b c+%", commit("b1")))
+    dump(folder / "cut.json", '{"owner": "x"')
+    dump(folder / "empty.json", repo("empty"))
+    return folder
+
+
+def ledger(spark, path):
+    found = rows(spark, path, stages.LEDGER, (stages.FILE, "outcome"))
+    return {os.path.basename(f): outcome for f, outcome in found}
+
+
+def test_three_runs_of_a_folder(spark, meta, tmp_path):
+    out = str(tmp_path / "landed")
+    assert landing.land(spark, landing.METADATA, str(meta), out, buckets=3)
+    assert rows(spark, out) == [("a1",), ("a2",), ("b1",)]
+    first = {"a.json": "rejected", "b%20c+%25.json": "read", "cut.json": "rejected", "empty.json": "empty"}
+    assert ledger(spark, out) == first
+    assert rows(spark, out, stages.REJECTED, ("sha", "reason")) == [("a3", "incomplete"), (None, "unreadable")]
+
+    # nothing changed: no run, and the unreadable file is not opened again
+    assert not landing.land(spark, landing.METADATA, str(meta), out)
+    assert stages.manifest(spark, out).number == 1
+
+    # one repaired, one with another commit, one new; the others are not read
+    dump(meta / "cut.json", repo("cut", commit("c1")))
+    dump(meta / "b c+%.json", repo("b c+%", commit("b1", "Add the other"), commit("b2")))
+    dump(meta / "new.json", repo("new", commit("n1")))
+    later(meta / "b c+%.json")
+    assert landing.land(spark, landing.METADATA, str(meta), out)
+    second = stages.manifest(spark, out).runs[-1]["run"]
+    assert rows(spark, out, runs={second}) == [("b1",), ("b2",), ("c1",), ("n1",)]
+    assert rows(spark, out) == [("a1",), ("a2",), ("b1",), ("b2",), ("c1",), ("n1",)]
+    assert rows(spark, out, columns=("message",)).count(("Add the other",)) == 1
+    assert rows(spark, out, stages.REJECTED, ("sha", "reason")) == [("a3", "incomplete")]  # not twice
+    assert ledger(spark, out) == {**first, "b%20c+%25.json": "read", "cut.json": "read", "new.json": "read"}
+    assert not landing.land(spark, landing.METADATA, str(meta), out)
+
+    # all over again: the same rows once; a file that is gone keeps its own
+    (meta / "new.json").unlink()
+    want = rows(spark, out)
+    assert landing.land(spark, landing.METADATA, str(meta), out, overwrite=True)
+    assert rows(spark, out) == want and len(ledger(spark, out)) == 5
+    parts = (stages.ROWS, stages.REJECTED, stages.LEDGER)
+    before = [rows(spark, out, p, (stages.FILE,)) for p in parts]
+    stages.compact(spark, out)
+    assert [rows(spark, out, p, (stages.FILE,)) for p in parts] == before
+    assert len(stages.manifest(spark, out).runs) == 1 and rows(spark, out, stages.REPLACED) == []
+    assert not landing.land(spark, landing.METADATA, str(meta), out)
+    assert len(stages.vacuum(spark, out)) == 3
+    assert [rows(spark, out, p, (stages.FILE,)) for p in parts] == before
+
+
+def test_an_unread_source(spark, tmp_path):
+    out = str(tmp_path / "landed")
+    (tmp_path / "none").mkdir()
+    assert not landing.land(spark, landing.METADATA, str(tmp_path / "none"), out)
+    assert not landing.land(spark, landing.METADATA, str(tmp_path / "missing"), out)
+    assert stages.read(spark, out) is None and stages.manifest(spark, out) == stages.Manifest()
+
+
+def test_files_beyond_those_opened_by_name(spark, meta, tmp_path, monkeypatch):
+    out, other = str(tmp_path / "one"), str(tmp_path / "two")
+    landing.land(spark, landing.METADATA, str(meta), out)
+    monkeypatch.setattr(landing, "BY_NAME", 0)
+    landing.land(spark, landing.METADATA, str(meta), other)
+    dump(meta / "new.json", repo("new", commit("n1")))
+    for path in (out, other):
+        landing.land(spark, landing.METADATA, str(meta), path)
+    assert rows(spark, out) == rows(spark, other) and ledger(spark, out) == ledger(spark, other)
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("kept", range(4))
+def test_a_run_that_stops_after_any_write_changes_nothing(spark, meta, tmp_path, monkeypatch, kept):
+    out, whole = str(tmp_path / "landed"), str(tmp_path / "whole")
+    landing.land(spark, landing.METADATA, str(meta), out)
+    parts = ((stages.ROWS, ("sha", "message")), (stages.REJECTED, ("sha", "reason")), (stages.LEDGER, (stages.FILE, "outcome")))
+
+    def state(path):
+        return [rows(spark, path, p, c) for p, c in parts]
+
+    before = state(out)
+    dump(meta / "cut.json", repo("cut", commit("c1"), commit("c2", author=None)))
+    dump(meta / "a.json", "{")
+    later(meta / "a.json")
+    written, write, publish = [], stages.Run.write, stages._publish
+
+    def stopping(run, part, *args, **kw):
+        if len(written) == kept:
+            raise Stopped
+        written.append(part)
+        write(run, part, *args, **kw)
+
+    def unpublished(*args):
+        raise Stopped
+
+    with monkeypatch.context() as patch:
+        patch.setattr(stages.Run, "write", stopping)
+        patch.setattr(stages, "_publish", unpublished)
+        with pytest.raises(Stopped):
+            landing.land(spark, landing.METADATA, str(meta), out)
+    assert len(written) == kept and state(out) == before
+    assert landing.land(spark, landing.METADATA, str(meta), out)
+    landing.land(spark, landing.METADATA, str(meta), whole)
+    assert state(out) == state(whole)
+    assert not kept or len(stages.vacuum(spark, out)) == 1  # what the stopped run left
+    assert state(out) == state(whole)
+
+
+def test_a_second_writer_fails(spark, meta, tmp_path):
+    out = str(tmp_path / "landed")
+    run = stages.Run(spark, out)
+    landing.land(spark, landing.METADATA, str(meta), out)
+    run.write(stages.ROWS, spark.range(3))
+    with pytest.raises(RuntimeError):
+        run.commit()
+    assert len(rows(spark, out)) == 3
+
+
+def write_diffs(folder, repo_key, commits):
+    for sha, content in commits.items():
+        dump(folder / repo_key / f"{sha}.json", content)
+
+
+@pytest.fixture
+def sources(tmp_path):
+    subjects = {"p1": "Add the parser", "p2": "Move the parser away", "p3": "Only two", "p4": "Merge the other branch"}
+    dump(tmp_path / "meta" / "r.json", repo("r", *(commit(s, m) for s, m in subjects.items())))
+    names = {"p1": ("a.py",), "p2": ("a.py", "b.md"), "p3": ("a.py",), "p4": ("a.py",)}
+    write_diffs(tmp_path / "diffs", "o-r", {s: diff(m, *names[s]) for s, m in subjects.items()} | {"bad": "{", "none": {"message": None, "files": []}})
+    return tmp_path
+
+
+def follow(spark, at):
+    paths = [str(at / n) for n in ("landed-meta", "landed-diffs", "annotated", "processed")]
+    landing.land(spark, landing.METADATA, str(at / "meta"), paths[0], buckets=3)
+    landing.land(spark, landing.DIFFS, str(at / "diffs"), paths[1], buckets=3)
+    noted = landing.annotate_landed(spark, paths[0], paths[2], *PARSERS)
+    done = landing.preprocess_landed(spark, paths[1], paths[2], paths[3])
+    return paths, noted, done
+
+
+def test_jobs_follow_the_landed_runs(spark, sources):
+    paths, noted, done = follow(spark, sources)
+    meta, diffs, annotated, processed = paths
+    assert noted and done
+    assert rows(spark, annotated, columns=("sha", "fits_requirements")) == [("p1", True), ("p2", True), ("p3", False), ("p4", False)]
+    assert rows(spark, processed, columns=("sha", "main_lang", "file_count")) == [("p1", "Python", 1), ("p2", "Python", 2)]
+    assert rows(spark, diffs, stages.REJECTED, ("sha", "reason")) == [("bad", "unreadable"), ("none", "no message")]
+    counts = landing.run_counts(spark, annotated)
+    assert counts == {"annotated": 4, "not_bot": 4, "not_chore": 3, "short_enough": 4, "enough_words": 3, "verb_object": 2, "fitting": 2}
+    assert landing.run_counts(spark, processed) == {"processed": 2}
+    plain = jobs.preprocess(readers.read_raw_diffs(spark, str(sources / "diffs")), readers_annotated(spark, annotated), ["repo_key", "sha"])
+    columns = ("sha", "message", "patch", "content_type")
+    assert rows(spark, processed, columns=columns) == sorted(tuple(r) for r in plain.select(*columns).collect())
+
+    assert follow(spark, sources)[1:] == (False, False)  # nothing is new
+
+    # a repaired diff, a changed one, a commit in a folder gone through, and metadata that comes late
+    write_diffs(sources / "diffs", "o-r", {"bad": diff("Fix the bad one", "z.go"), "p1": diff("Add the parser", "a.rb"), "p5": diff("Add the fifth", "a.py")})
+    later(sources / "diffs" / "o-r" / "p1.json")
+    paths, noted, done = follow(spark, sources)
+    assert not noted and done
+    assert rows(spark, processed, columns=("sha", "main_lang")) == [("p1", "Ruby"), ("p2", "Python")]
+    dump(sources / "meta" / "late.json", repo("r", commit("p5", "Add the fifth"), commit("bad", "Fix the bad one"), commit("p1")))
+    paths, noted, done = follow(spark, sources)
+    assert noted and done
+    want = [("bad", "Go"), ("p1", "Ruby"), ("p2", "Python"), ("p5", "Python")]
+    assert rows(spark, processed, columns=("sha", "main_lang")) == want
+    # a diff that came late and changes again is replaced once
+    write_diffs(sources / "diffs", "o-r", {"bad": diff("Fix the bad one", "z.php")})
+    later(sources / "diffs" / "o-r" / "bad.json", 9)
+    follow(spark, sources)
+    assert rows(spark, processed, columns=("sha", "main_lang")) == [("bad", "PHP"), *want[1:]]
+    landing.preprocess_landed(spark, diffs, annotated, processed, overwrite=True)
+    assert rows(spark, processed, columns=("sha", "main_lang")) == [("bad", "PHP"), *want[1:]]
+    assert len(stages.manifest(spark, processed).runs) == 1
+
+    out = str(sources / "published")
+    landing.publish_landed(spark, annotated, diffs, processed, out, "1")
+    assert rows(spark, out, "dataset", ("sha", "main_lang")) == [("bad", "PHP"), *want[1:]]
+    assert len(rows(spark, out, "raw_diffs", ("sha", "path"))) == 5 and len(rows(spark, out, "metadata")) == 7
+
+
+def readers_annotated(spark, path):
+    return stages.read(spark, path)
+
+
+def test_replaced_metadata_is_annotated_anew(spark, meta, tmp_path):
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "annotated")
+    landing.land(spark, landing.METADATA, str(meta), landed)
+    landing.annotate_landed(spark, landed, out, *PARSERS)
+    dump(meta / "a.json", repo("a", commit("a1", "Only two"), commit("a4")))
+    later(meta / "a.json")
+    landing.land(spark, landing.METADATA, str(meta), landed)
+    landing.annotate_landed(spark, landed, out, *PARSERS)
+    want = [("a1", False), ("a4", True), ("b1", True)]
+    assert rows(spark, out, columns=("sha", "fits_requirements")) == want
+    landing.annotate_landed(spark, landed, out, *PARSERS, overwrite=True)
+    assert rows(spark, out, columns=("sha", "fits_requirements")) == want
+
+
+def test_dumps_are_followed(spark, tmp_path):
+    def row(hash, message="Add the parser", **kw):
+        f = {"status": "ADD", "content_type": "Go", "patch": "+x", "path_before": None, "path_after": "a.go"}
+        return {"repository": "r", "author": "dev", "committer": "d", "message": message, "hash": hash, "mixed_content": "NO", "files": [f], **kw}
+
+    dump(tmp_path / "in" / "r.json", {"commits": [row("a"), row("b", "fixes the parser"), row("c", message=None)]})
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    for _ in range(2):
+        landing.land(spark, landing.DUMPS, str(tmp_path / "in"), landed)
+        landing.drill_landed(spark, landed, out, *PARSERS)
+    dump(tmp_path / "in" / "s.json", {"commits": [row("d")]})
+    landing.land(spark, landing.DUMPS, str(tmp_path / "in"), landed)
+    assert landing.drill_landed(spark, landed, out, *PARSERS)
+    assert rows(spark, out, columns=("hash", "patch")) == [(h, "<add><path>a.go\n<del><path>None\n<add>x") for h in ("a", "d")]
+    assert rows(spark, landed, stages.REJECTED, ("hash", "reason")) == [("c", "no message")]
+
+
+def test_bucketed_stages_join_without_an_exchange(spark, tmp_path):
+    landed, annotated = str(tmp_path / "landed"), str(tmp_path / "annotated")
+    files = F.array(F.struct(*[F.lit(v).alias(n) for n, v in (("filename", "a.py"), ("previous_filename", None), ("status", "m"), ("patch", "+x"))]))
+    for number in range(2):  # two runs each
+        keys = spark.range(400 * number, 400 * number + 400).select(F.concat(F.lit("r"), F.col("id") % 3).alias("repo_key"), F.md5(F.col("id").cast("string")).alias("sha"), "id")
+        run = stages.Run(spark, landed, 4)
+        run.write(stages.ROWS, keys.select("repo_key", "sha", F.lit("Add the parser").alias("message"), files.alias("files")), ["repo_key", "sha"])
+        run.commit()
+        run = stages.Run(spark, annotated, 4)
+        run.write(stages.ROWS, keys.select("repo_key", "sha", (F.col("id") % 2 == 0).alias("fits_requirements")), ["repo_key", "sha"])
+        run.commit()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jobs.preprocess(stages.read(spark, landed), stages.read(spark, annotated), ["repo_key", "sha"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert out.count() == 400 and out.select("sha").distinct().count() == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert stages.read(spark, landed).count() == 800
