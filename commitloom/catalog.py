@@ -20,8 +20,8 @@ from .functions.hashing import key_hash
 from .functions.text import present
 from .operators import annotate as ann
 from .operators import corpus, evaluation, examples, filters, parsing, vocabulary
-from .plans import jobs, work
-from .sources import readers, scratch, writers
+from .plans import jobs, landing, work
+from .sources import readers, scratch, stages, writers
 from .streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -967,6 +967,113 @@ def rerun_rules(spark, sf_dir):
     return readers.read_stage(spark, out).select("owner", "repo", "sha", "subject")
 
 
+@query
+def ledger_runs(spark, sf_dir):
+    """Metadata landed by file in three runs: first without the repositories that end in 3 and with those in 7 unreadable; then
+    these added and those repaired under their names; then nothing changed. Rows with their run, a row per file
+    of the ledger, and per file rejected once."""
+    source, bad, fixed, out = (scratch.new_folder(spark) for _ in range(4))
+    rows = _metadata_rows(spark, sf_dir)
+    X.write_metadata(rows.where("NOT broken AND NOT endswith(repo, '3')"), source)
+    X.write_metadata(rows.where("broken"), bad)
+    broken = X.move_files(spark, bad, source)
+    landing.land(spark, landing.METADATA, source, out)
+    X.write_metadata(rows.where("broken").withColumn("broken", F.lit(False)), fixed)
+    X.move_files(spark, fixed, source, broken)
+    X.write_metadata(rows.where("endswith(repo, '3')"), source)
+    for _ in range(2):
+        landing.land(spark, landing.METADATA, source, out)
+    number = F.substring(stages.RUN, 2, 10).cast("int")
+    none = F.lit("")
+    parts = [
+        stages.read(spark, out).select("owner", "repo", "sha", F.lit("row").alias("state"), number.alias("run")),
+        stages.read(spark, out, stages.LEDGER).select(none, none, none, "outcome", number),
+        stages.read(spark, out, stages.REJECTED, live=False).select(none, none, none, F.concat(F.lit("was "), "reason"), number),
+        stages.read(spark, out, stages.REJECTED).select(none, none, none, "reason", number),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+@query
+def preprocess_files(spark, sf_dir):
+    """Diffs landed in two runs, every ninth unreadable, their metadata in two others, and the processed rows that follow
+    them: part of the diffs are landed before they are known to fit."""
+    diffs, meta, landed, known, annotated, out = (scratch.new_folder(spark) for _ in range(6))
+    key = P.repo_key(F.col("owner"), F.col("repo"))
+    rows = X.commit_files(spark, sf_dir).withColumns({"repo_key": key, "broken": F.col("doc_id") % 9 == 4})
+    late = F.length("message") % 3 == 0
+    for turn in range(2):
+        X.write_diffs(rows.where((F.col("doc_id") % 4 == 1) == F.lit(turn == 1)), diffs)
+        landing.land(spark, landing.DIFFS, diffs, landed)
+        names = stages.manifest(spark, landed).names()
+        told = stages.read(spark, landed)
+        told = told.where(~late) if turn == 0 else told.where((F.col(stages.RUN) == names[1]) | late)
+        dev = F.lit("dev")
+        commits = told.select(
+            F.substring_index("repo_key", "-", 1).alias("owner"), F.expr("substring(repo_key, instr(repo_key, '-') + 1)").alias("repo"),
+            "sha", dev.alias("author"), dev.alias("committer"), "message",
+            F.pmod(F.xxhash64("sha"), F.lit(16)).alias("part"), F.lit(False).alias("broken"),
+        )
+        X.write_metadata(commits, meta)
+        landing.land(spark, landing.METADATA, meta, known)
+        landing.annotate_landed(spark, known, annotated, token_parser, sentence_parser)
+        landing.preprocess_landed(spark, landed, annotated, out)
+    lost = stages.read(spark, landed, stages.REJECTED).select(*[F.lit("")] * 4, F.lit(0), "reason")
+    done = stages.read(spark, out).select("content_type", "main_lang", "message", "patch", "file_count", F.lit("").alias("reason"))
+    return done.union(lost)
+
+
+@query
+def drill_files(spark, sf_dir):
+    """History dumps landed in two runs, those of repositories that end in 7 unreadable, and the rows that follow them."""
+    source, landed, out = (scratch.new_folder(spark) for _ in range(3))
+    n = F.col("doc_id")
+    rows = X.drilled_commits(spark, sf_dir).withColumns({"part": F.floor(n / FILE_PART), "broken": F.col("repository").endswith("7")})
+    for turn in range(2):
+        X.write_dumps(rows.where((F.col("part") % 2 == 1) == F.lit(turn == 1)), source)
+        landing.land(spark, landing.DUMPS, source, landed)
+        landing.drill_landed(spark, landed, out, token_parser, sentence_parser)
+    columns = ("repository", "mixed_content", "message", "hash", "patch")
+    lost = stages.read(spark, landed, stages.REJECTED).select(*[F.lit("")] * 5, "reason")
+    return stages.read(spark, out).select(*columns, F.lit("").alias("reason")).union(lost)
+
+
+@query
+def publish_files(spark, sf_dir):
+    """The three published tables made of bucketed stages, one of which still has commits that do not fit."""
+    annotated, landed, processed, out = (scratch.new_folder(spark) for _ in range(4))
+    key = P.repo_key(F.col("owner"), F.col("repo")).alias("repo_key")
+    notes = _annotated(spark, sf_dir).drop("doc_id")
+    diffs = X.commit_files(spark, sf_dir).select(key, "sha", "message", "files")
+    rows = jobs.preprocess(X.commit_files(spark, sf_dir).withColumn("repo_key", key), None, ["repo_key", "sha"])
+    for path, table in ((annotated, notes.select(key, "*")), (landed, diffs), (processed, rows)):
+        run = stages.Run(spark, path)
+        run.write(stages.ROWS, table.withColumn(stages.FILE, F.lit("")), landing.KEYS)
+        run.commit()
+    landing.publish_landed(spark, annotated, landed, processed, out, "7")
+    none = F.lit("")
+    parts = [
+        stages.read(spark, out, "dataset").select(F.lit("dataset").alias("part"), "sha", F.col("main_lang").alias("name"), "message", "patch", "split"),
+        stages.read(spark, out, "raw_diffs").select(F.lit("raw"), "sha", "path", "message", F.coalesce("patch", none), none),
+        stages.read(spark, out, "metadata").select(F.lit("metadata"), "sha", "owner", "subject", none, none),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+@query
+def funnel_of_runs(spark, sf_dir):
+    """The steps of the funnel as counted by two landing and two annotation runs while they wrote their rows."""
+    source, landed, out = (scratch.new_folder(spark) for _ in range(3))
+    rows = _metadata_rows(spark, sf_dir).withColumn("broken", F.lit(False))
+    for turn in range(2):
+        X.write_metadata(rows.where((F.col("part") % 2 == 1) == F.lit(turn == 1)), source)
+        landing.land(spark, landing.METADATA, source, landed)
+        landing.annotate_landed(spark, landed, out, token_parser, sentence_parser)
+    counts = landing.run_counts(spark, landed) | landing.run_counts(spark, out)
+    steps = ("scraped", "annotated", *corpus.funnel_rules())
+    return spark.createDataFrame([tuple(counts.get(s, 0) for s in steps)], ", ".join(f"{s} long" for s in steps))
+
+
 @query
 def stream_equals_batch(spark, sf_dir):
     """Diff files ingested as a stream, every ninth unreadable: processed rows, and a row per file set aside."""

@@ -217,6 +217,31 @@ def write_diffs(rows: DataFrame, path: str) -> None:
     text.write.options(**one).mode("append").partitionBy("repo_key").json(path)
 
 
+def write_dumps(rows: DataFrame, path: str) -> None:
+    """(part, broken) drilled commits as history dumps, one object and file per repository and part."""
+    commit = F.struct("repository", "author", "committer", "message", "hash", "mixed_content", "files")
+    files = rows.groupBy("repository", "part", "broken").agg(F.collect_list(commit).alias("commits")).drop("repository", "part")
+    one = {"maxRecordsPerFile": 1}
+    files.where("NOT broken").drop("broken").write.options(**one).mode("append").json(path)
+    files.where("broken").select(F.to_json("commits").alias("commits")).write.options(**one).mode("append").json(path)
+
+
+def move_files(spark: SparkSession, source: str, target: str, names: list[str] | None = None) -> list[str]:
+    """Moves the JSON files with content of a folder into another, under their own names or in place of those named; the names used."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = [s.getPath() for s in fs.listStatus(at) if s.getLen() and s.getPath().getName().endswith(".json")]
+    files = sorted(full, key=lambda p: p.getName())
+    names = names if names is not None else [p.getName() for p in files]
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(target))
+    for file, name in zip(files, names, strict=True):
+        into = jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+        fs.delete(into, False)
+        fs.rename(file, into)
+    return names
+
+
 def _parses(subject: Column) -> dict[str, Column]:
     n = F.col("doc_id")
     return {"tokens": _tokens(subject, n), "sentences": _sentences(subject, n + 1)}

@@ -694,6 +694,42 @@ def oracle_sql() -> dict[str, str]:
         """SELECT p.main_lang, p.message, p.patch, '' AS reason FROM processed p JOIN commits c USING (sha) WHERE c.doc_id % 9 <> 4
         UNION ALL SELECT '' AS main_lang, '' AS message, '' AS patch, 'unreadable' AS reason FROM commits WHERE doc_id % 9 = 4"""
     )
+    files = "(SELECT DISTINCT owner, repo, doc_id // 512 FROM commits)"
+    out["ledger_runs"] = _sql(
+        f"""SELECT owner, repo, sha, 'row' AS state, CASE WHEN right(repo, 1) IN ('3', '7') THEN 2 ELSE 1 END AS run FROM commits
+        UNION ALL SELECT '' AS owner, '' AS repo, '' AS sha, 'read' AS state, CASE WHEN right(repo, 1) IN ('3', '7') THEN 2 ELSE 1 END AS run FROM {files}
+        UNION ALL SELECT '' AS owner, '' AS repo, '' AS sha, 'was unreadable' AS state, 1 AS run FROM {files} WHERE suffix(repo, '7')"""
+    )
+    parsed_verb = "(length(w[1]) % 5 <> 0 OR length(w[1]) % 2 = 0)"
+    fits_parsed = f"NOT is_chore AND subject_length <= 50 AND subject_word_count > 2 AND {parsed_verb}"
+    out["preprocess_files"] = _sql(
+        f"""SELECT content_type, main_lang, p.message, patch, file_count, '' AS reason FROM processed p
+        JOIN (SELECT *, {_words('subject')} AS w FROM flagged) f USING (sha) WHERE f.doc_id % 9 <> 4 AND {fits_parsed}
+        UNION ALL SELECT '' AS content_type, '' AS main_lang, '' AS message, '' AS patch, 0 AS file_count, 'unreadable' AS reason FROM commits WHERE doc_id % 9 = 4"""
+    )
+    out["drill_files"] = _sql(
+        f"""SELECT repository, mixed_content, message, hash, {_serialized('files', _header_v2)} AS patch, '' AS reason FROM
+        (SELECT *, {_words('s')} AS w FROM (SELECT *, {drill_subject} AS s FROM mixed) WHERE {quality})
+        WHERE {parsed_verb} AND NOT suffix(repository, '7')
+        UNION ALL SELECT '' AS repository, '' AS mixed_content, '' AS message, '' AS hash, '' AS patch, 'unreadable' AS reason FROM
+          (SELECT DISTINCT repository, doc_id // 512 FROM mixed WHERE suffix(repository, '7'))"""
+    )
+    out["publish_files"] = _sql(
+        """SELECT 'dataset' AS part, sha, main_lang AS name, message, patch, CASE WHEN substr(md5('7:' || sha), 1, 4) < 'cccd' THEN 'train'
+          WHEN substr(md5('7:' || sha), 1, 4) < 'e666' THEN 'test' ELSE 'valid' END AS split
+        FROM processed WHERE sha IN (SELECT sha FROM annotated WHERE fits)
+        UNION ALL SELECT 'raw' AS part, sha, f.filename AS name, message, coalesce(f.patch, '') AS patch, '' AS split FROM
+          (SELECT *, unnest(files) AS f FROM commit_files WHERE sha IN (SELECT sha FROM annotated WHERE fits))
+        UNION ALL SELECT 'metadata' AS part, sha, owner AS name, subject AS message, '' AS patch, '' AS split FROM annotated"""
+    )
+    cheap = "NOT is_bot AND NOT is_chore AND subject_length <= 50 AND subject_word_count > 2"
+    out["funnel_of_runs"] = _sql(
+        f"""SELECT count(*) AS scraped, count(*) AS annotated, count(*) FILTER (WHERE NOT is_bot) AS not_bot,
+          count(*) FILTER (WHERE NOT is_chore) AS not_chore, count(*) FILTER (WHERE subject_length <= 50) AS short_enough,
+          count(*) FILTER (WHERE subject_word_count > 2) AS enough_words, count(*) FILTER (WHERE {cheap} AND {parsed_verb}) AS verb_object,
+          count(*) FILTER (WHERE {cheap} AND {parsed_verb}) AS fitting
+        FROM (SELECT *, {_words('subject')} AS w FROM flagged)"""
+    )
     encoded = _sql(
         "SELECT sha, array_to_string(a, ' ') AS patch_ids, array_to_string(b, ' ') AS prompt_ids FROM encoded",
         _ENCODED,
