@@ -8,6 +8,7 @@ from commitloom.operators import annotate as ann
 from commitloom.operators import parsing
 from commitloom.plans import jobs
 from commitloom.sources import readers
+from commitloom.streaming import ingest
 from commitloom.streaming.ingest import ingest_stream
 
 
@@ -266,3 +267,35 @@ def test_stream_takes_fitting_commits_only(spark, landed):
     out = str(landed / "stream")
     ingest_stream(spark, str(landed / "diffs"), out, str(landed / "cp"), annotated).awaitTermination(120)
     assert [r["sha"] for r in spark.read.parquet(out).collect()] == ["aa"]
+
+
+def test_stream_looks_at_its_output_only_for_a_batch_begun_before(spark, landed, monkeypatch):
+    landing, out, checkpoint = landed / "diffs", str(landed / "stream"), landed / "cp"
+    looked = []
+    look = ingest.new_rows
+    monkeypatch.setattr(ingest, "new_rows", lambda *a: looked.append(1) or look(*a))
+    ingest_stream(spark, str(landing), out, str(checkpoint), max_files=3).awaitTermination(120)
+    dump(landing / "o-s" / "aa.json", {"message": "Another", "files": [file("z.go")]})
+    ingest_stream(spark, str(landing), out, str(checkpoint)).awaitTermination(120)
+    want = stored(spark, out)
+    assert len(want) == 5 and not looked
+    # the last batch was written but not committed: it runs again and adds nothing
+    last = max((checkpoint / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for done in (last, last.with_name(f".{last.name}.crc")):
+        done.unlink(missing_ok=True)
+    ingest_stream(spark, str(landing), out, str(checkpoint)).awaitTermination(120)
+    assert stored(spark, out) == want and looked == [1]
+    # a new checkpoint is seeded: nothing is stored twice, what is new is taken
+    dump(landing / "o-t" / "aa.json", {"message": "A third", "files": [file("z.go")]})
+    ingest_stream(spark, str(landing), out, str(landed / "cp2")).awaitTermination(120)
+    assert len(stored(spark, out)) == 6 and looked == [1]
+
+
+def test_a_broken_landing_does_not_stand_for_a_commit(spark, landed):
+    landing, out, checkpoint = landed / "diffs", str(landed / "stream"), str(landed / "cp")
+    (landing / "o-r" / "zz.json").write_text("{")
+    ingest_stream(spark, str(landing), out, checkpoint).awaitTermination(120)
+    (landing / "o-r" / "zz.json").unlink()
+    dump(landing / "p" / ".." / "o-r" / "zz.json", {"message": "Repaired", "files": [file("z.go")]})
+    ingest_stream(spark, str(landing), out, str(landed / "cp2")).awaitTermination(120)
+    assert [r["message"] for r in spark.read.parquet(out).where("sha = 'zz'").collect()] == ["repaired"]
