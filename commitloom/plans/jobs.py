@@ -248,17 +248,32 @@ def _checked(
 ) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
     """The rows that keep the rules, landed; all units; and what a job calls after its output is written.
 
-    That stores the rejected rows and, for a stage by units, the units gone through. A job that dies
-    before leaves its units pending. A unit is null where its file could not be read; it stays pending.
+    Rejected rows are stored before any output, so a job that dies loses none; they replace those that earlier
+    runs stored of the same units, so none is stored twice. Units gone through are listed at the end: a job that dies
+    before leaves them pending. A unit is null where its file could not be read; it stays pending.
     """
     checks = {name: rule() for name, rule in rules.items()}
     good, bad = store_checked(rows, checks, scratch.new_folder(rows.sparkSession))
 
     units = good.select(*keys).union(bad.select(*keys)).distinct().na.drop()
+    _store_rejected(bad, units, f"{out}-rejected", keys)
 
     def finish() -> None:
-        bad.write.mode("append").parquet(f"{out}-rejected")
         if keys:
             units.write.mode("append").parquet(f"{out}-done")
 
     return good.drop(readers.CORRUPT), units, finish
+
+
+def _store_rejected(bad: DataFrame, units: DataFrame, path: str, keys: list[str]) -> None:
+    """Rejected rows in a folder per unit, one for all files that could not be read; all of them anew without keys."""
+    if not keys:
+        bad.write.mode("overwrite").parquet(path)
+        return
+    lost = F.lit("unreadable")
+    name = F.concat_ws("/", *keys)
+    bad = bad.withColumn("unit", F.when(F.concat(*keys).isNull(), lost).otherwise(name))
+    gone_through = units.select(name.alias("unit")).union(units.sparkSession.range(1).select(lost)).distinct()
+    # a table without rows can be read too
+    bad.limit(0).drop("unit").write.mode("ignore").parquet(f"{path}/unit=-")
+    writers.write_stage(bad, path, ["unit"], units=gone_through)

@@ -138,7 +138,7 @@ def read_drilled(spark: SparkSession, path: str | list[str], file: str | None =
 
 
 #: Columns that name the folders of a stage.
-UNITS = ("owner", "repo", "repo_key")
+UNITS = ("owner", "repo", "repo_key", "unit")
 
 
 def read_stage_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -299,3 +299,39 @@ def test_a_broken_landing_does_not_stand_for_a_commit(spark, landed):
     dump(landing / "p" / ".." / "o-r" / "zz.json", {"message": "Repaired", "files": [file("z.go")]})
     ingest_stream(spark, str(landing), out, str(landed / "cp2")).awaitTermination(120)
     assert [r["message"] for r in spark.read.parquet(out).where("sha = 'zz'").collect()] == ["repaired"]
+
+
+def test_rejected_rows_are_stored_first_and_once(spark, landed, monkeypatch):
+    (landed / "meta" / "cut.json").write_text('{"owner": "x"')
+    out = str(landed / "b")
+    args = (spark, str(landed / "meta"), out, token_parser, sentence_parser)
+    write = jobs.writers.write_stage
+
+    def stopping(df, path, *a, **k):
+        if path == out:
+            raise RuntimeError("stopped")
+        write(df, path, *a, **k)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs.writers, "write_stage", stopping)
+        with pytest.raises(RuntimeError):
+            jobs.annotate_job(*args)
+
+    def rejected():
+        return sorted((r["sha"] or "", r["reason"]) for r in readers.read_stage(spark, f"{out}-rejected").collect())
+
+    want = [("", "unreadable"), ("hh", "incomplete")]
+    assert rejected() == want  # before any output
+    for config in (StageConfig(), StageConfig(), StageConfig(overwrite_existing=True)):
+        jobs.annotate_job(*args, config)
+        assert rejected() == want
+    dump(landed / "meta" / "cut.json", {"owner": "x", "name": "y", "commits_metadata": []})
+    row = {"sha": "hh", "author": "dev", "committer": "dev", "message": "No the author here"}
+    dump(landed / "meta" / "o-r.json", {"owner": "o", "name": "r", "commits_metadata": [row]})
+    jobs.annotate_job(*args, StageConfig(overwrite_existing=True))
+    assert rejected() == [("", "incomplete")]  # of the repository without commits
+    drilled = str(landed / "drilled")
+    dump(landed / "dumps" / "r.json", {"commits": [{"repository": "r", "hash": "a", "message": None}]})
+    for _ in range(2):
+        jobs.drill_job(spark, str(landed / "dumps"), drilled, token_parser, sentence_parser)
+        assert spark.read.parquet(f"{drilled}-rejected").count() == 1
