@@ -638,12 +638,12 @@ def _vocab(spark, sf_dir) -> DataFrame:
     return scratch.stored(vocabulary.build_vocab(rows, ["patch", "message"], VOCAB_SIZE))
 
 
-def _encoded(spark, sf_dir) -> DataFrame:
+def _encoded(spark, sf_dir, **options) -> DataFrame:
     rows = _processed(spark, sf_dir).select(
         "sha", "patch", M.message_prompt(F.col("message")).alias("prompt")
     )
     vocab = _vocab(spark, sf_dir)
-    return vocabulary.encode(rows, ["patch", "prompt"], vocab, "sha")
+    return vocabulary.encode(rows, ["patch", "prompt"], vocab, "sha", **options)
 
 
 @query
@@ -665,8 +665,8 @@ def encode(spark, sf_dir):
 
 @query
 def encode_by_join(spark, sf_dir):
-    """The one way for every size of vocabulary."""
-    return _ids(_encoded(spark, sf_dir))
+    """A vocabulary beyond what is looked up inside the row: the heaviest tokens there, the others by a join."""
+    return _ids(_encoded(spark, sf_dir, inline=VOCAB_SIZE // 10))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import UNKNOWN
@@ -12,6 +14,12 @@ from ..functions.text import words
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>", "<mask>")
 MARKERS = ("<ide>", "<add>", "<del>", "<msg>", "<path>")
 RESERVED = SPECIALS + MARKERS
+#: Tokens of a vocabulary that are looked up inside the row, at most.
+INLINE = 65_536
+LONGEST = 128  # bytes of such a token, at most
+#: One row in so many is sketched for heavy tokens.
+SAMPLED = 16
+_SLOTS = 1 << 13
 _MARKER_PATTERN = "(<(?:" + "|".join(token[1:-1] for token in RESERVED) + ")>)"
 
 
@@ -44,39 +52,87 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     return reserved.unionByName(ranked)
 
 
-def encode(df: DataFrame, columns: list[str], vocab: DataFrame, keys: str | list[str]) -> DataFrame:
+def _slot(token: Column) -> Column:
+    return F.pmod(F.hash(token), F.lit(_SLOTS))
+
+
+def _index(entries: list[tuple[str, int]], spark: SparkSession) -> Column:
+    """Some tokens and their ids as a constant: an array of hash slots, each a short map.
+
+    A map lookup is a linear scan; spread over slots it sees a handful of entries.
+    """
+    table = spark.createDataFrame(entries, "token string, id int")
+    slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
+    for row in table.select("token", "id", _slot(F.col("token")).alias("slot")).collect():
+        slots[row["slot"]][row["token"]] = row["id"]
+    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
+
+
+def _heavy(df: DataFrame, every: Column, count: int) -> list[str]:
+    """About the most frequent tokens, by a sketch over one row in ``SAMPLED``; they decide how a token is looked up, not its id."""
+    some = df.where(F.pmod(F.xxhash64(every), F.lit(SAMPLED)) == 0).select(F.explode(every).alias("token"))
+    sketch = F.call_function("approx_top_k", F.col("token"), F.lit(count), F.lit(min(8 * count, 1_000_000)))
+    found = some.agg(sketch.alias("top")).first()["top"]
+    return [row["item"] for row in found or []]
+
+
+def _row_id(df: DataFrame, keys: list[str], columns: list[str]) -> list[Column]:
+    """128 bits that stand for a row's keys and texts, null or not."""
+    values = [x for c in dict.fromkeys([*keys, *columns]) for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*values).alias("__a"), F.xxhash64(F.lit(1), *reversed(values)).alias("__b")]
+
+
+def _looked_up(df: DataFrame, keys: list[str], columns: list[str], every: Column, small: list[str], vocab: DataFrame) -> DataFrame:
+    """``df`` with ``__found``: slots of token -> id maps of a row's tokens that are in ``vocab``, those of ``small`` left out.
+
+    A row's distinct tokens meet the vocabulary in an equi-join. Tokens found in many rows are in ``small``, so that no
+    task of the join gets the rows of a hot one. The slots keep the look-up short in long texts.
+    """
+    spark = df.sparkSession
+    rows = df.withColumns({"__a": _row_id(df, keys, columns)[0], "__b": _row_id(df, keys, columns)[1]})
+    known = F.get(_index([(t, 0) for t in small], spark), _slot(F.col("token")))
+    long = rows.select("__a", "__b", F.explode(F.array_distinct(every)).alias("token"))
+    rest = long.where(F.element_at(known, F.col("token")).isNull())
+    pairs = rest.join(vocab.select("token", "id"), "token").groupBy("__a", "__b").agg(F.collect_set(F.struct("token", "id")).alias("pairs"))
+    slots = F.ceil(F.sqrt(F.size("pairs"))).cast("int")
+
+    def slot(number: Column) -> Column:
+        return F.map_from_entries(F.filter("pairs", lambda p: F.pmod(F.hash(p["token"]), slots) == number))
+
+    found = pairs.select("__a", "__b", F.transform(F.sequence(F.lit(0), slots - 1), slot).alias("__found"))
+    return rows.join(found, ["__a", "__b"], "left").drop("__a", "__b")
+
+
+def encode(df: DataFrame, columns: list[str], vocab: DataFrame, keys: str | list[str], inline: int = INLINE) -> DataFrame:
     """Add ``<column>_ids`` for each text column, unknown tokens as the unknown id.
 
-    ``keys`` identify a row together with its texts, so one hash in two repositories
-    keeps its own ids; they are not null. The rows are spread once by key, their tokens
-    look up the vocabulary in an equi-join, and meet again without another exchange where
-    the planner broadcasts the vocabulary. Reserved tokens, found in every text, are
-    answered without the join. ``vocab`` should be a stored table, so that its size is known.
+    A vocabulary of up to ``inline`` tokens is looked up inside the row, as a constant: no row is shuffled. Of a larger one that
+    many tokens are, those that a sketch finds to be the heaviest in the texts; a row's other tokens look it up in an
+    equi-join and come back to the row. The bound is on the constant, not on the vocabulary, and both ways give the same
+    ids. ``keys`` identify a row together with its texts; any of them may be null. Repeated rows stay. ``vocab``
+    should be a stored table, since its size is counted.
     """
-    by = [*([keys] if isinstance(keys, str) else keys), "__texts"]
-    rows = df.withColumn("__texts", F.xxhash64(*columns)).repartition(*by)
-    none = F.array().cast("array<string>")
-
-    def placed(number: int, column: str) -> Column:
-        return F.transform(
-            F.coalesce(tokens(F.col(column)), none),
-            lambda token, at: F.struct(F.lit(number).alias("number"), at.alias("at"), token.alias("token")),
-        )
-
-    every = F.concat(*[placed(n, c) for n, c in enumerate(columns)])
-    long = rows.select(*by, F.explode(every).alias("t")).select(*by, "t.*")
-    reserved = F.element_at(F.create_map(*[F.lit(x) for pair in zip(RESERVED, range(len(RESERVED))) for x in pair]), F.col("token"))
-    long = long.withColumn("reserved", reserved)
-    open_token = F.when(F.col("reserved").isNull(), F.col("token"))
-    found = long.withColumn("token", open_token).join(vocab.select("token", "id"), "token", "left")
-    found = found.select(*by, "number", F.struct("at", F.coalesce("reserved", "id", F.lit(UNKNOWN)).alias("id")).alias("pair"))
-
-    def ids(number: int, column: str) -> Column:
-        pairs = F.collect_set(F.when(F.col("number") == number, F.col("pair")))  # a repeated row adds nothing
-        return F.array_sort(pairs)["id"].alias(f"{column}_ids")
-
-    encoded = found.groupBy(*by).agg(*[ids(n, c) for n, c in enumerate(columns)])
-    empty = F.array().cast("array<int>")
-    return rows.join(encoded, by, "left").drop("__texts").withColumns(
-        {f"{c}_ids": F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_ids", empty)) for c in columns}
-    )
+    spark = df.sparkSession
+    keys = [keys] if isinstance(keys, str) else keys
+    every = F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in columns])
+    table = vocab.select("token", "id")
+    table = table.where(~F.col("token").isin(*RESERVED))  # their ids are fixed
+    short = F.octet_length("token") <= LONGEST
+    head = table.where(short).limit(inline + 1).collect()  # inline + 1 rows at most
+    joined = len(head) > inline or not table.where(~short).isEmpty()
+    if joined:
+        heavy = [t for t in _heavy(df, every, inline) if len(t.encode()) <= LONGEST and t not in RESERVED]
+        names = spark.createDataFrame([(t,) for t in heavy], "token string")
+        head = names.join(table, "token", "left").collect()  # inline rows at most; without an id where unknown
+        df = _looked_up(df, keys, columns, every, [*RESERVED, *heavy], table)
+    ids = {r["token"]: UNKNOWN if r["id"] is None else r["id"] for r in head} | {t: i for i, t in enumerate(RESERVED)}
+    index = _index(list(ids.items()), spark)
+
+    def token_id(token: Column) -> Column:
+        found = F.element_at(F.get(index, _slot(token)), token)
+        if joined:
+            slots = F.col("__found")
+            found = F.coalesce(found, F.element_at(F.get(slots, F.pmod(F.hash(token), F.size(slots))), token))
+        return F.coalesce(found, F.lit(UNKNOWN))
+
+    return df.withColumns({f"{c}_ids": F.transform(tokens(F.col(c)), token_id) for c in columns}).drop("__found")

@@ -55,6 +55,49 @@ def test_encode_keeps_forks_and_repeated_rows_apart(spark):
         assert got == sorted([("x y", [10, 11])] * 2 + [("y z x y", [11, 12, 10, 11]), ("", []), ("z <msg> q", [12, 8, 3])])
 
 
+@pytest.mark.parametrize("inline", [12, 5000])
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_encode_keeps_null_keys_and_every_row(spark, monkeypatch, inline, broadcast):
+    monkeypatch.setattr(vocabulary, "SAMPLED", 1)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, "s", "w1 w2"), ("r", "s", "w1 w2"), (None, None, "w3 hot hot"), ("s", None, "w1 w2"), ("r", "t", None), ("r", "u", "")]
+    rows += [("r", f"k{i}", "hot " * (i % 7) + " ".join(words[i % 40 : i % 40 + 5]) + " none <msg>") for i in range(60)]
+    rows += [("r", "long", " ".join(words * 50))] * 2
+    df = spark.createDataFrame([(*r, 1) for r in rows], "repo_key string, sha string, patch string, __a int")
+    ids = {w: 100 + i for i, w in enumerate(words)} | {"hot": 7}
+    vocab = spark.createDataFrame(list(ids.items()) + [(t, i) for i, t in enumerate(vocabulary.RESERVED)], "token string, id int")
+    ids |= {t: i for i, t in enumerate(vocabulary.RESERVED)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        encoded = vocabulary.encode(df.drop("__a"), ["patch"], vocab, ["repo_key", "sha"], inline=inline)
+        got = sorted(((r.repo_key, r.sha, r.patch, r.patch_ids) for r in encoded.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(*r, None if r[2] is None else [ids.get(t, 3) for t in split(r[2])]) for r in rows]
+    assert got == sorted(want, key=repr)
+
+
+def test_no_task_of_the_join_gets_a_hot_token(spark, monkeypatch):
+    """One token is 30 % of all; the rows that meet the vocabulary do not hold it."""
+    monkeypatch.setattr(vocabulary, "SAMPLED", 2)
+    rows = [(str(i), "hot hot hot " + " ".join(f"t{(7 * i + j) % 900}" for j in range(7))) for i in range(600)]
+    df = spark.createDataFrame(rows, "sha string, patch string")
+    every = vocabulary.tokens(F.col("patch"))
+    heavy = vocabulary._heavy(df, every, 20)
+    assert "hot" in heavy
+    vocab = spark.createDataFrame([("hot", 10)] + [(f"t{i}", 11 + i) for i in range(900)], "token string, id int")
+    seen = []
+    look = vocabulary._looked_up
+    monkeypatch.setattr(vocabulary, "_looked_up", lambda *a: seen.append(a) or look(*a))
+    got = {r.sha: r.patch_ids for r in vocabulary.encode(df, ["patch"], vocab, "sha", inline=30).collect()}
+    assert got == {s: [10 if t == "hot" else 11 + int(t[1:]) for t in p.split()] for s, p in rows}
+    (call,) = seen
+    small = set(call[4])
+    sizes = Counter(t for _, p in rows for t in set(p.split()) if t not in small)
+    assert "hot" in small and max(sizes.values()) <= 2 * sorted(sizes.values())[len(sizes) // 2]
+
+
 def test_mlm_examples(spark):
     rows = spark.createDataFrame(
         [("a", "<ide>x y z", "add it", "Go", 1), ("b", "<ide>x", "add " * 9, "Go", 1), ("c", "x", "m", "Mixed", 1)],
