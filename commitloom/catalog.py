@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from . import schemas
-from .config import ExampleConfig, StageConfig
+from .config import ExampleConfig, StageConfig, StagePaths
 from .functions import arrays as A
 from .functions import message as M
 from .functions import patch as P
@@ -630,6 +630,11 @@ def sample_rows(spark, sf_dir):
     return corpus.sample_rows(X.commits(spark, sf_dir), 100, seed="3").select("sha", "message")
 
 
+@query
+def sample_with_replacement(spark, sf_dir):
+    return corpus.sample_with_replacement(X.commits(spark, sf_dir), 1_000, seed="3").select("draw", "sha", "message")
+
+
 # --- training arrays ------------------------------------------------------------------
 
 
@@ -967,6 +972,81 @@ def rerun_rules(spark, sf_dir):
     return readers.read_stage(spark, out).select("owner", "repo", "sha", "subject")
 
 
+@query
+def read_top_repos(spark, sf_dir):
+    """A Latin-1 table of repositories, a line per document."""
+    path = scratch.new_folder(spark)
+    name = F.concat("lang", F.lit("/caf\u00e9-"), F.col("doc_id").cast("string"))
+    language = F.when(F.col("doc_id") % 3 == 0, "JavaScript").otherwise(F.upper("lang"))
+    rows = X.documents(spark, sf_dir).select(
+        name.alias("name"), F.lit(7).alias("stars"), F.col("source").alias("defaultBranch"), language.alias("mainLanguage")
+    )
+    rows.write.csv(path, header=True, encoding="ISO-8859-1")
+    return readers.read_top_repos(spark, path)
+
+
+@query
+def read_api_commits(spark, sf_dir):
+    """Commits as the API nests them, one file each."""
+    path = scratch.new_folder(spark)
+    person = lambda c: F.struct(F.col(c).alias("name"), F.lit("x").alias("email"))
+    commit = F.struct(person("author").alias("author"), person("committer").alias("committer"), "message")
+    X.commits(spark, sf_dir).select("sha", commit.alias("commit")).write.options(maxRecordsPerFile=1).json(path)
+    return readers.read_api_commits(spark, path).select("sha", "author", "committer", "message")
+
+
+@query
+def read_raw_diffs(spark, sf_dir):
+    """Diff files, every ninth unreadable."""
+    path = scratch.new_folder(spark)
+    key = P.repo_key(F.col("owner"), F.col("repo"))
+    X.write_diffs(X.commit_files(spark, sf_dir).withColumns({"repo_key": key, "broken": F.col("doc_id") % 9 == 4}), path)
+    rows = readers.read_raw_diffs(spark, path)
+    names = F.concat_ws(" ", F.col("files")["filename"])
+    text = F.array_join(F.col("files")["patch"], "\n")
+    lost = F.col(readers.CORRUPT).isNotNull()
+    return rows.select("repo_key", *[F.when(~lost, c).alias(n) for c, n in ((F.col("message"), "message"), (names, "names"), (text, "patches"))]).na.fill("")
+
+
+@query
+def read_drilled(spark, sf_dir):
+    """History dumps, those of repositories that end in 7 unreadable."""
+    path = scratch.new_folder(spark)
+    broken = F.col("repository").endswith("7")
+    X.write_dumps(X.drilled_commits(spark, sf_dir).withColumns({"part": F.floor(F.col("doc_id") / FILE_PART), "broken": broken}), path)
+    rows = readers.read_drilled(spark, path)
+    patches = F.array_join(F.col("files")["patch"], "\n").alias("patches")
+    lost = F.when(F.col(readers.CORRUPT).isNotNull(), "unreadable").otherwise("").alias("reason")
+    return rows.select("repository", "hash", "mixed_content", "message", patches, lost).na.fill("")
+
+
+@query
+def run_stages(spark, sf_dir):
+    """All stages from files by one configuration: annotate, preprocess, publish; then the rules again in place."""
+    paths = StagePaths(*(scratch.new_folder(spark) for _ in range(5)))
+    key = P.repo_key(F.col("owner"), F.col("repo"))
+    X.write_diffs(X.commit_files(spark, sf_dir).withColumns({"repo_key": key, "broken": F.lit(False)}), paths.raw_diffs)
+    X.write_metadata(_told(readers.read_raw_diffs(spark, paths.raw_diffs)), paths.metadata)
+    first = StageConfig(annotate_metadata=True, preprocess_diffs=True)
+    jobs.run_stages(spark, first, paths, token_parser, sentence_parser)
+    again = StageConfig(rerun_rule_filters=True, overwrite_existing=True, publish_dataset=True, publish_metadata=True)
+    jobs.run_stages(spark, again, paths)
+    rows = readers.read_dataset(spark, f"{paths.published}/processed-diffs")
+    known = spark.read.parquet(f"{paths.published}/analysed-metadata")
+    columns = ("content_type", "main_lang", "message", "patch", "file_count")
+    return rows.select(*columns).union(known.where("fits_requirements").select(F.lit("known"), "owner", "subject", F.lit(""), "subject_length"))
+
+
+def _told(diffs: DataFrame) -> DataFrame:
+    """Metadata of landed diffs, keyed by their files' names."""
+    dev = F.lit("dev")
+    return diffs.select(
+        F.substring_index("repo_key", "-", 1).alias("owner"), F.expr("substring(repo_key, instr(repo_key, '-') + 1)").alias("repo"),
+        "sha", dev.alias("author"), dev.alias("committer"), "message",
+        F.pmod(F.xxhash64("sha"), F.lit(16)).alias("part"), F.lit(False).alias("broken"),
+    )
+
+
 @query
 def ledger_runs(spark, sf_dir):
     """Metadata landed by file in three runs: first without the repositories that end in 3 and with those in 7 unreadable; then
@@ -1008,13 +1088,7 @@ def preprocess_files(spark, sf_dir):
         names = stages.manifest(spark, landed).names()
         told = stages.read(spark, landed)
         told = told.where(~late) if turn == 0 else told.where((F.col(stages.RUN) == names[1]) | late)
-        dev = F.lit("dev")
-        commits = told.select(
-            F.substring_index("repo_key", "-", 1).alias("owner"), F.expr("substring(repo_key, instr(repo_key, '-') + 1)").alias("repo"),
-            "sha", dev.alias("author"), dev.alias("committer"), "message",
-            F.pmod(F.xxhash64("sha"), F.lit(16)).alias("part"), F.lit(False).alias("broken"),
-        )
-        X.write_metadata(commits, meta)
+        X.write_metadata(_told(told), meta)
         landing.land(spark, landing.METADATA, meta, known)
         landing.annotate_landed(spark, known, annotated, token_parser, sentence_parser)
         landing.preprocess_landed(spark, landed, annotated, out)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patch as P
-from ..functions.hashing import hash_bucket, key_hash
+from ..functions.hashing import hash_bucket, hex_number, key_hash
 from .annotate import MAX_SUBJECT_LENGTH, MIN_SUBJECT_WORDS, either_verb_object
 
 # 80/10/10 borders on the first four hex digits of the key hash.
@@ -170,3 +171,31 @@ def debug_head(df: DataFrame, key: str = "sha", n: int = 2) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, key: str = "sha", seed: str = "0") -> DataFrame:
     """n random rows, the same for the same seed; a top-n over the key hash."""
     return df.orderBy(key_hash(F.col(key), seed), F.col(key)).limit(n)
+
+
+def sample_with_replacement(df: DataFrame, n: int, key: str = "sha", seed: str = "0") -> DataFrame:
+    """Exactly n random rows with ``draw``, 0 to n - 1; a row may be drawn several times, the same for the same seed.
+
+    Each draw picks a place in the order of the key's hash. The hash cuts the rows into intervals; their sizes,
+    one number a shuffle partition, say which interval a place is in and where, so the intervals get multinomial shares. Rows
+    are ranked inside their interval only. ``key`` names a row; a table without rows gives none.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    digits = key_hash(F.col(key), seed)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), digits.alias("digits"), F.col(key).alias("key"))
+    rows = rows.withColumn("interval", hash_bucket(F.col("digits"), parts))
+    sizes = {r["interval"]: r["count"] for r in rows.groupBy("interval").count().collect()}
+    ends = list(accumulate(sizes.get(i, 0) for i in range(parts)))
+    total = ends[-1]
+    number = hex_number(key_hash(F.concat(F.lit("draw:"), F.col("id").cast("string")), seed), 1, 15)
+    wide = number.cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
+    draws = spark.range(n if total else 0).select(F.col("id").alias("draw"), wide.alias("wide"))
+    place = F.expr("wide div cast(1152921504606846976 as decimal(19,0))")  # 2 to the 60th: 15 digits
+    limits = F.array(*(F.lit(e).cast("long") for e in ends))
+    draws = draws.withColumn("place", place).withColumn("interval", F.size(F.filter(limits, lambda e: e <= F.col("place"))))
+    start = F.get(F.array(*(F.lit(e).cast("long") for e in [0, *ends])), F.col("interval"))
+    draws = draws.select("draw", "interval", (F.col("place") - start).alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("interval").orderBy("digits", "key")) - 1
+    ranked = rows.select("row", "interval", rank.cast("long").alias("rank"))
+    return ranked.join(draws, ["interval", "rank"]).select("row.*", "draw")

@@ -695,6 +695,28 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT '' AS main_lang, '' AS message, '' AS patch, 'unreadable' AS reason FROM commits WHERE doc_id % 9 = 4"""
     )
     files = "(SELECT DISTINCT owner, repo, doc_id // 512 FROM commits)"
+    out["sample_with_replacement"] = _sql(
+        """SELECT draw, sha, message FROM
+          (SELECT range AS draw, CAST((CAST(CAST('0x' || substr(md5('3:draw:' || range), 1, 15) AS BIGINT) AS HUGEINT) * (SELECT count(*) FROM commits))
+             // 1152921504606846976 AS BIGINT) AS place FROM range(1000))
+        JOIN (SELECT sha, message, row_number() OVER (ORDER BY md5('3:' || sha), sha) - 1 AS place FROM commits) USING (place)"""
+    )
+    out["read_top_repos"] = _sql(
+        """SELECT lang || '/caf' || chr(233) || '-' || doc_id AS repo, source AS main_branch, CASE WHEN doc_id % 3 = 0 THEN 'JavaScript' ELSE upper(lang) END AS language,
+          lang || '-caf' || chr(233) || '-' || doc_id AS repo_id, CASE WHEN doc_id % 3 = 0 THEN 'javascript' ELSE lower(lang) END AS language_dir FROM documents"""
+    )
+    out["read_api_commits"] = _sql("SELECT sha, author, committer, message FROM commits")
+    out["read_raw_diffs"] = _sql(
+        """SELECT 'repo_key=' || owner || '-' || repo AS repo_key, message, array_to_string(list_transform(files, lambda f: f.filename), ' ') AS names,
+          array_to_string(list_filter(list_transform(files, lambda f: f.patch), lambda p: p IS NOT NULL), chr(10)) AS patches FROM commit_files WHERE doc_id % 9 <> 4
+        UNION ALL SELECT 'repo_key=' || owner || '-' || repo AS repo_key, '' AS message, '' AS names, '' AS patches FROM commit_files WHERE doc_id % 9 = 4"""
+    )
+    out["read_drilled"] = _sql(
+        """SELECT repository, hash, mixed_content, message, array_to_string(list_transform(files, lambda f: f.patch), chr(10)) AS patches, '' AS reason
+        FROM mixed WHERE NOT suffix(repository, '7')
+        UNION ALL SELECT '' AS repository, '' AS hash, '' AS mixed_content, '' AS message, '' AS patches, 'unreadable' AS reason FROM
+          (SELECT DISTINCT repository, doc_id // 512 FROM mixed WHERE suffix(repository, '7'))"""
+    )
     out["ledger_runs"] = _sql(
         f"""SELECT owner, repo, sha, 'row' AS state, CASE WHEN right(repo, 1) IN ('3', '7') THEN 2 ELSE 1 END AS run FROM commits
         UNION ALL SELECT '' AS owner, '' AS repo, '' AS sha, 'read' AS state, CASE WHEN right(repo, 1) IN ('3', '7') THEN 2 ELSE 1 END AS run FROM {files}
@@ -707,6 +729,12 @@ def oracle_sql() -> dict[str, str]:
         JOIN (SELECT *, {_words('subject')} AS w FROM flagged) f USING (sha) WHERE f.doc_id % 9 <> 4 AND {fits_parsed}
         UNION ALL SELECT '' AS content_type, '' AS main_lang, '' AS message, '' AS patch, 0 AS file_count, 'unreadable' AS reason FROM commits WHERE doc_id % 9 = 4"""
     )
+    out["run_stages"] = _sql(
+        f"""SELECT content_type, main_lang, p.message, patch, file_count FROM processed p
+        JOIN (SELECT *, {_words('subject')} AS w FROM flagged) f USING (sha) WHERE {fits_parsed}
+        UNION ALL SELECT 'known' AS content_type, 'repo_key=' || owner AS main_lang, subject AS message, '' AS patch, subject_length AS file_count
+        FROM (SELECT *, {_words('subject')} AS w FROM flagged) WHERE {fits_parsed}"""
+    )
     out["drill_files"] = _sql(
         f"""SELECT repository, mixed_content, message, hash, {_serialized('files', _header_v2)} AS patch, '' AS reason FROM
         (SELECT *, {_words('s')} AS w FROM (SELECT *, {drill_subject} AS s FROM mixed) WHERE {quality})

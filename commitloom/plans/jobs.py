@@ -131,6 +131,7 @@ def published(processed: DataFrame, seed: str = "0") -> DataFrame:
     return corpus.shuffle(corpus.split(processed, "sha", seed), "sha", seed)
 
 
+@scratch.cleared
 def annotate_job(
     spark,
     metadata_path: str,
@@ -153,6 +154,7 @@ def annotate_job(
     finish()
 
 
+@scratch.cleared
 def rerun_rules_job(spark, path: str, out: str | None = None) -> None:
     """Re-apply the rules to a stored annotated table, in place unless ``out`` is given.
 
@@ -162,6 +164,7 @@ def rerun_rules_job(spark, path: str, out: str | None = None) -> None:
     writers.write_stage(ann.reapply_rules(annotated), out or path, ["owner", "repo"])
 
 
+@scratch.cleared
 def preprocess_job(
     spark, diffs_path: str, annotated_path: str, out: str, config: StageConfig = StageConfig()
 ) -> None:
@@ -186,6 +189,7 @@ def preprocess_job(
     finish()
 
 
+@scratch.cleared
 def drill_job(
     spark, source: str, out: str, spacy_factory: ParserFactory, stanza_factory: ParserFactory
 ) -> None:
@@ -199,6 +203,7 @@ def drill_job(
     finish()
 
 
+@scratch.cleared
 def publish_job(
     spark, config: StageConfig, annotated: str, raw_diffs: str, processed: str, out: str
 ) -> None:

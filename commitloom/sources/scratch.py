@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# the folders that running jobs of a thread have asked for, a list for each job
+_JOBS = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,7 +29,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/commitloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/commitloom-{uuid.uuid4().hex}"
+    for folders in getattr(_JOBS, "stack", [])[-1:]:
+        folders.append(path)
+    return path
+
+
+def cleared(job: Callable) -> Callable:
+    """A job whose first argument is the session and whose result is written elsewhere: the folders that it
+    asked for are removed when it ends, or fails."""
+
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args, **kw):
+        stack = _JOBS.__dict__.setdefault("stack", [])
+        stack.append([])
+        try:
+            return job(spark, *args, **kw)
+        finally:
+            for path in stack.pop():
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return run
 
 
 def stored(df: DataFrame) -> DataFrame:

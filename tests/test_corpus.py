@@ -105,6 +105,22 @@ def test_shuffle_and_sample(spark):
     assert [r["sha"] for r in corpus.shuffle(gaps).collect()][0] is None and corpus.shuffle(gaps).count() == 4
 
 
+def test_sample_with_replacement(spark):
+    df = keyed(spark, 50)
+    one = corpus.sample_with_replacement(df, 4000, seed="2")
+    got = sorted(map(tuple, one.collect()), key=repr)
+    assert sorted(r.draw for r in one.collect()) == list(range(4000)) and one.columns == [*df.columns, "draw"]
+    assert got == sorted(map(tuple, corpus.sample_with_replacement(df.repartition(7), 4000, seed="2").collect()), key=repr)
+    times = [r["count"] for r in one.groupBy("sha").count().collect()]
+    assert len(times) == 50 and 40 < min(times) and max(times) < 130  # 80 expected, standard deviation 9
+    other = corpus.sample_with_replacement(df, 4000, seed="3")
+    assert got != sorted(map(tuple, other.collect()), key=repr)
+    assert corpus.sample_with_replacement(df, 0).count() == 0
+    assert corpus.sample_with_replacement(df.limit(0), 10).count() == 0
+    single = spark.createDataFrame([("a", 1)], "sha string, draw int").drop("draw")
+    assert corpus.sample_with_replacement(single, 5).count() == 5
+
+
 def test_debug_head(spark):
     df = corpus.split(keyed(spark, 500))
     got = sorted((r["split"], r["sha"]) for r in corpus.debug_head(df, n=3).collect())

@@ -288,3 +288,28 @@ def test_bucketed_stages_join_without_an_exchange(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert stages.read(spark, landed).count() == 800
+
+
+def test_jobs_leave_nothing_in_the_shared_folder(spark, meta, sources, tmp_path):
+    from commitloom.sources import scratch
+
+    shared = scratch.shared_folder(spark)
+
+    def folders():
+        return {n for n in os.listdir(shared) if n.startswith("commitloom-")}
+
+    before = folders()
+    follow(spark, sources)
+    jobs.annotate_job(spark, str(meta), str(tmp_path / "by-unit"), *PARSERS)
+    jobs.preprocess_job(spark, str(sources / "diffs"), str(tmp_path / "by-unit"), str(tmp_path / "processed-by-unit"))
+    assert folders() == before
+
+    @scratch.cleared
+    def failing(session):
+        assert scratch.stored(session.range(3)).count() == 3
+        raise Stopped
+
+    with pytest.raises(Stopped):
+        failing(spark)
+    assert folders() == before
+    assert scratch.stored(spark.range(3)).count() == 3 and len(folders()) == len(before) + 1  # outside of jobs it stays
