@@ -32,7 +32,6 @@ _SEED_COUNT = 5  # times that each seed counts as seen by the segmenter
 _SEED_ODDS = 8.0  # log odds of a seed, at least
 _SMOOTH = 50.0  # words of the whole table's mix that each class is given beforehand
 _HOSTS = 3  # hosts whose names share a label that is a word
-_LONGEST = 24
 _MEMORY = 200_000  # parts of names a worker holds at once
 _RUN = r"[a-z]+|[0-9]+|[^\x00-\x7f]+"
 _NUMBER = r"^[\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089]+$"
@@ -58,14 +57,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def split(name: str, counts: dict[str, int], total: int) -> list[str]:
     """The likeliest split of a name into words by their frequency (Viterbi over unigrams); counts of its parts will do."""
     cost = {w: -math.log(n / total) for w, n in counts.items()}
+    lengths = sorted({len(w) for w in cost})
     strange = math.log(total * 10)  # a word never seen; each letter costs more
-    best = [(0.0, 0)]
+    best, lead = [(0.0, 0)], (0.0, 0)  # lead: from where a word never seen costs least, whatever its length
     for end in range(1, len(name) + 1):
-        options = []
-        for start in range(max(0, end - _LONGEST), end):
-            word = name[start:end]
-            options.append((best[start][0] + cost.get(word, strange + 2.3 * len(word)), start))
+        options = [(best[lead[1]][0] + strange + 2.3 * (end - lead[1]), lead[1])]
+        for length in lengths:
+            if length > end:
+                break
+            known = cost.get(name[end - length : end])
+            if known is not None:
+                options.append((best[end - length][0] + known, end - length))
         best.append(min(options))
+        lead = min(lead, (best[end][0] - 2.3 * end, end))
     words, end = [], len(name)
     while end:
         start = best[end][1]
@@ -88,37 +92,49 @@ def word_counts(pages: DataFrame) -> DataFrame:
     words = pages.select(F.explode(F.split(names, r"[^a-z\x{80}-\x{10ffff}]+")).alias("word")).groupBy("word").count()
     labels = pages.select("host").distinct().select(F.explode(F.array_distinct(F.split("host", r"\."))).alias("word"))
     shared = labels.groupBy("word").count().filter(F.col("count") >= _HOSTS)
-    found = words.union(shared).filter(F.length("word").between(1, _LONGEST)).withColumn("least", F.lit(0))
+    found = words.union(shared).filter("word != ''").withColumn("least", F.lit(0))
     seeds = pages.sparkSession.createDataFrame([(w, 0, _SEED_COUNT) for w in SEEDS], "word string, count long, least int")
     both = found.union(seeds).groupBy("word").agg(F.sum("count").alias("count"), F.max("least").cast("long").alias("least"))
     return both.select("word", F.greatest("count", "least").alias("count"))
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(run, word): the distinct parts of each run that can be words."""
-    for batch in batches:
-        found: list[tuple[str, str]] = []
-        for run in batch["run"]:
-            parts = {run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + _LONGEST) + 1)}
-            found.extend((run, part) for part in parts)
-            if len(found) > _MEMORY:
-                yield pd.DataFrame(found, columns=["run", "word"])
-                found = []
-        yield pd.DataFrame(found, columns=["run", "word"], dtype=object)
+def _parts(lengths: list[int]):
+    """Batches of (id, run) to (id, word): the parts of each run that are as long as some word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: set[tuple[bytes, str]] = set()
+        for batch in batches:
+            for key, name in zip(batch["id"], batch["run"]):
+                for length in lengths:
+                    if length > len(name):
+                        break
+                    for start in range(len(name) - length + 1):
+                        found.add((key, name[start : start + length]))
+                        if len(found) >= _MEMORY:
+                            yield pd.DataFrame(list(found), columns=["id", "word"])
+                            found = set()
+        yield pd.DataFrame(list(found), columns=["id", "word"], dtype=object)
+
+    return run
 
 
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(run, words) of distinct ``run``; each gets the counts of its own parts, so no worker holds all words."""
+    """(run, words) of distinct ``run``; each gets the counts of its own parts, so no worker holds all words.
+
+    Only parts as long as some counted word are looked up, whatever that length; they travel under a digest of their run.
+    """
     total = counts.agg(F.sum("count")).first()[0] or 1
-    hits = runs.mapInPandas(_parts, "run string, word string").join(counts, "word")
-    known = hits.groupBy("run").agg(F.collect_list("word").alias("parts"), F.collect_list("count").alias("counts"))
+    lengths = sorted(r[0] for r in counts.select(F.length("word")).distinct().collect())  # a number for each length
+    runs = runs.withColumn("id", F.unhex(F.md5("run")))
+    hits = runs.select("id", "run").mapInPandas(_parts(lengths), "id binary, word string").join(counts, "word")
+    known = hits.groupBy("id").agg(F.collect_list("word").alias("parts"), F.collect_list("count").alias("counts"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def words(names: pd.Series, parts: pd.Series, numbers: pd.Series) -> pd.Series:
         found = [split(n, {} if p is None else dict(zip(p, c)), total) for n, p, c in zip(names, parts, numbers)]
         return pd.Series(found, dtype=object)
 
-    return runs.join(known, "run", "left").select("run", words("run", "parts", "counts").alias("words"))
+    return runs.join(known, "id", "left").select("run", words("run", "parts", "counts").alias("words"))
 
 
 def _words(names: DataFrame, counts: DataFrame) -> DataFrame:
