@@ -1,3 +1,6 @@
+import math
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -305,6 +308,35 @@ def test_licences_of_wrapped_notices(spark):
     assert found[28].sentence_ids == ["Apache2ref", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", min_size=1, max_size=9), st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=5), st.integers(1, 50), max_size=8))
+def test_a_split_is_the_cheapest_of_all(name, counts):
+    total = sum(counts.values()) or 1
+
+    def price(words):
+        return sum(-math.log(counts[w] / total) if w in counts else math.log(total * 10) + 2.3 * len(w) for w in words)
+
+    every = []
+    for cuts in range(1 << (len(name) - 1)):
+        words = [""]
+        for i, letter in enumerate(name):
+            words[-1] += letter
+            if cuts >> i & 1 and i < len(name) - 1:
+                words.append("")
+        every.append(words)
+    found = urls.split(name, counts, total)
+    assert "".join(found) == name and math.isclose(price(found), min(map(price, every)), abs_tol=1e-9)
+
+
+def test_words_of_any_length_split_names(spark, monkeypatch):
+    monkeypatch.setattr(urls, "_MEMORY", 50)
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    counts = spark.createDataFrame([(long, 9), ("news", 20), ("best", 20)], "word string, count long")
+    names = [f"best{long}news", "x" * 3000 + "news", "news"]
+    found = {r.run: r.words for r in urls.segmented(spark.createDataFrame([(n,) for n in names], "run string"), counts).collect()}
+    assert found == {names[0]: ["best", long, "news"], names[1]: ["x" * 3000, "news"], "news": ["news"]}
+
+
 def test_pipeline_stages_keep_their_promises(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for (name, stage), check in zip(corpus_pipeline.STAGES[:-1], (None, None, "dedup", "mix")):
@@ -334,6 +366,16 @@ def test_uncovered_blocks_equal_word_by_word(parts, places):
     assert html.uncovered(texts, starts or None) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize("name", ["noscript", "svg", "select"])
+def test_raw_elements_without_an_end_take_linear_time(name):
+    page = f"<{name}><p>some words</p>" * 8_000
+    started = time.process_time()
+    found = html.blocks(page)
+    assert time.process_time() - started < 2 and len(found) == 8_000
+    assert html.blocks(f"<{name}>gone</{name}><p>kept</p><{name}><p>open</p>")[0][0] == "kept"
+    assert [t for t, _, _ in html.blocks(f"<{name.upper()} a='>'>gone<p>too</{name} ><p>kept")] == ["kept"]
+
+
 def test_boilerplate_of_a_host_goes(spark):
     menu = "one two three four five six seven eight nine"
     rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><div>" + " ".join(f"w{i}x{j}" for j in range(40)) + "</div>") for i in range(3)]
