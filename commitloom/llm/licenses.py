@@ -60,7 +60,7 @@ RULES = (
     (("CCBYND4ref",), "CC-BY-ND-4.0"),
     (("AllRights",), "Proprietary"),
 )
-#: Further sentences and rules, which ``scan_sql`` does not have; the given tables hold none of them.
+#: Further sentences and rules.
 FURTHER_SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "GPL2only",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3later",
@@ -157,31 +157,55 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for doc_id, sentence_ids, licences (joined by commas) and restricted of ``documents``."""
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    stems = " OR ".join(f"contains(lower(text), '{s}')" for s in STEMS)
+    """DuckDB SQL for doc_id, sentence_ids, licences (joined by commas) and restricted of ``documents``.
+
+    It knows the same sentences and rules. Its patterns cannot look around, so capitals, doubled, stand between words of the text in
+    lower case: SS for a line end, a semicolon or a blank line, which a sentence may go on beyond, and EE for the end of a sentence.
+    """
+    every = sorted(_KNOWN, key=len, reverse=True)
+    ids = ", ".join(f"'{s}': '{_KNOWN[s]}'" for s in every)
+    stems = " OR ".join(f"contains(lower(text), '{s}')" for s in (*STEMS, *FURTHER_STEMS))
+    sentence = "|".join(s.replace(" ", "(?: |SS)") for s in every)
+    marks = (
+        (r"\r\n?", "\n"),
+        (r"(?m)^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--|>+|\|)", ""),
+        (r"(?m)^[ \t]*(?:rem|dnl)(\s)", r"\1"),
+        (r"\bhttps\b", "http"),
+        (r"\bv[.!?]", "v,"),
+        (r"[.!?]([\"')\]*]{0,3})(\s|\z)", r"E\1\2"),
+        (r";(\s|\z)", r"S\1"),
+        (r"\n\s*\n", "S"),
+        (r"\n", "S"),
+        (r"[^a-z0-9ES]+", " "),
+        (r"[ S]*E[ SE]*", "EE"),
+        (r" *S[ S]*", "SS"),
+    )
+    text = "lower(text)"
+    for pattern, by in marks:
+        pattern, by = (x.replace("'", "''") for x in (pattern, by))
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
     steps, columns, last = [], [], "seq"
-    for n, (pattern, licence) in enumerate(RULES):
+    for n, (pattern, licence) in enumerate((*RULES, *FURTHER_RULES)):
         run = "|" + "||".join(pattern) + "|"
         steps.append(f"r{n} AS (SELECT *, replace(rest, '{run}', '|/|') AS next_rest, CASE WHEN contains(rest, '{run}') THEN '{licence}' END AS l{n} FROM {last})")
         steps.append(f"s{n} AS (SELECT * EXCLUDE (rest, next_rest), next_rest AS rest FROM r{n})")
         columns.append(f"l{n}")
         last = f"s{n}"
-    first = {licence: [c for c, (_, name) in zip(columns, RULES) if name == licence] for _, licence in RULES}
+    named = [(c, name) for c, (_, name) in zip(columns, (*RULES, *FURTHER_RULES))]
+    first = {licence: [c for c, name in named if name == licence] for _, licence in named}
     once = ", ".join(f"coalesce({', '.join([*c, 'NULL'])})" for c in first.values())
     listed = f"list_filter([{once}], lambda x: x IS NOT NULL)"
-    restricted = ", ".join(f"'{name}'" for name in RESTRICTED)
+    restricted = ", ".join(f"'{name}'" for name in RESTRICTED + FURTHER_RESTRICTED)
     return f"""
-WITH known(sentence, id) AS (VALUES {known}),
-parts AS (
-  SELECT row_number() OVER () AS n, doc_id, CASE WHEN {stems} THEN string_split(regexp_replace(lower(regexp_replace(regexp_replace(
-    text, '\\n[ \\t]*([a-z])', ' \\1', 'g'), '([.!?;])\\s+', '\\1' || chr(10), 'g')), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) ELSE [] END AS parts
-  FROM documents),
-sentences AS (SELECT n, unnest(parts) AS part, generate_subscripts(parts, 1) AS at FROM parts),
-found AS (SELECT s.n, list(k.id ORDER BY s.at) AS ids FROM sentences s JOIN known k ON trim(s.part) = k.sentence GROUP BY s.n),
-seq AS (SELECT p.n, p.doc_id, coalesce(f.ids, []) AS ids, '|' || array_to_string(list_transform(coalesce(f.ids, []), lambda i: i || '|'), '|') AS rest
-  FROM parts p LEFT JOIN found f ON p.n = f.n),
+WITH marked AS (
+  SELECT doc_id, CASE WHEN {stems} THEN 'EE' || {text} || 'EE' ELSE '' END AS words FROM documents),
+found AS (
+  SELECT doc_id, list_filter(regexp_extract_all(words, '[ SE](?:(?:not|never)(?: |SS))?(?:{sentence})[SE]'),
+    lambda m: NOT regexp_matches(m, '^[ SE](not|never)[ S]')) AS found FROM marked),
+seq AS (
+  SELECT doc_id, ids, '|' || array_to_string(list_transform(ids, lambda i: i || '|'), '|') AS rest FROM
+    (SELECT doc_id, coalesce(list_transform(found, lambda m: MAP {{{ids}}}[trim(regexp_replace(m, '[^a-z0-9]+', ' ', 'g'))]), []) AS ids FROM found)),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, coalesce(array_to_string({listed}, ','), '') AS licences,
-  len(list_filter({listed}, lambda x: x IN ({restricted}))) > 0 AS restricted
+  coalesce(len(list_filter({listed}, lambda x: x IN ({restricted}))) > 0, false) AS restricted
 FROM {last}"""

@@ -288,7 +288,7 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 
-def test_licences_of_wrapped_notices(spark):
+def licence_cases():
     def comment(mark, text):
         return "".join(f"{mark}{line}".rstrip() + "\n" for line in text.split("\n"))
 
@@ -301,6 +301,11 @@ def test_licences_of_wrapped_notices(spark):
         ("Licensed under the MIT License\nCopyright 2020", ["MIT"]),
         ("We wrote about how it was licensed under the MIT License and later was not.", []),
     ]
+    return cases
+
+
+def test_licences_of_wrapped_notices(spark):
+    cases = licence_cases()
     docs = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
     found = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [found[i].licences for i in range(len(cases))] == [want for _, want in cases]
@@ -308,6 +313,25 @@ def test_licences_of_wrapped_notices(spark):
     assert found[28].sentence_ids == ["Apache2ref", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]
 
 
+def test_the_licence_sql_knows_every_sentence_and_rule(spark):
+    sentence = {i: t for t, i in reversed((licenses.SENTENCES | licenses.FURTHER_SENTENCES).items())}
+    texts = [t for t, _ in licence_cases()]
+    for pattern, _ in (*licenses.RULES, *licenses.FURTHER_RULES):
+        said = ". ".join(sentence[i].capitalize() for i in pattern) + "."
+        wrapped = "".join(w + ("\n * " if n % 7 == 6 else " ") for n, w in enumerate(said.split()))
+        texts += [said, f"Some words. {said}\n\nMore words; and {said} The end", " * " + wrapped, said.replace(". ", ".\n\n"), "It is not " + said]
+    texts += [" ".join(s.split()[:-1]) + "." for s in sentence.values()] + [f"x {s} y." for s in sentence.values()] + [f"HTTPS v. 2 {s};" for s in sentence.values()]
+    texts += [None, "", " ", "rem Licensed under CC BY 4.0\nremark licensed under CC BY 4.0! dnl", "a. v? licen; \"All rights reserved.\" (All rights reserved!) all rights reserved"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan(docs).collect()
+    got = sorted((r.doc_id, ",".join(r.sentence_ids), ",".join(r.licences), r.restricted) for r in found)
+    documents = docs.toArrow()  # noqa: F841  read by the SQL
+    want = sorted(duckdb.connect().execute(f"SELECT doc_id, sentence_ids, licences, restricted FROM ({licenses.scan_sql()})").fetchall())
+    assert got == want
+    assert {x for _, ids, _, _ in got for x in ids.split(",")} == {"", *sentence}
+    assert {x for _, _, names, _ in got for x in names.split(",")} == {"", *(n for _, n in (*licenses.RULES, *licenses.FURTHER_RULES))}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abc", min_size=1, max_size=9), st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=5), st.integers(1, 50), max_size=8))
 def test_a_split_is_the_cheapest_of_all(name, counts):
