@@ -93,3 +93,25 @@ def test_shards_are_exact_and_shuffled(spark, monkeypatch, slice_rows):
     assert abs(np.corrcoef(found["block"], found["shard"])[0, 1]) < 0.1
     assert abs(np.corrcoef(found["block"], found["slot"])[0, 1]) < 0.1
     assert sharding.shuffle(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_tilts_solve_the_dual(spark):
+    random = np.random.default_rng(3)
+    sizes = [(s, int(size), int(docs)) for s in "abcd" for size, docs in zip(random.integers(1, 900, 30), random.integers(1, 9, 30))]
+    total = {s: sum(n * d for t, n, d in sizes if t == s) for s in "abcd"}
+    count = {s: sum(d for t, _, d in sizes if t == s) for s in "abcd"}
+    share = {"a": 0.2, "b": 1.0, "c": 1.7, "d": 2.9}
+    sources = spark.createDataFrame([(s, total[s], count[s], share[s] * total[s]) for s in "abcd"], "source string, source_size long, docs long, target double")
+    found = mixing.tilts(sources, spark.createDataFrame(sizes, "source string, size long, docs long"))
+    for row in found.collect():
+        mean = total[row.source] / count[row.source]
+
+        def taken(tilt):
+            return sum(d * n * min(3.0, np.exp(min(50.0, tilt * n / mean))) for s, n, d in sizes if s == row.source)
+
+        low, high = -1e6, 1e6
+        for _ in range(200):  # the gradient of the dual rises with the tilt
+            middle = (low + high) / 2
+            low, high = (middle, high) if taken(middle) < row.target else (low, middle)
+        assert abs(taken(row.tilt) - row.target) <= 1e-6 * row.target
+        assert abs(row.tilt - low) <= 1e-4 * max(1, abs(low))

@@ -408,3 +408,56 @@ def test_boilerplate_of_a_host_goes(spark):
     for i in range(3):
         assert found[i] == " ".join(f"w{i}x{j}" for j in range(40))
     assert found[9] == menu and found[10] == "" and found[11] == " ".join(["long"] * 30_000)
+
+
+def plain_em(chances, counts, steps=4000):
+    """Shares of languages, one n-gram at a time."""
+    share = [1 / len(chances)] * len(chances)
+    for _ in range(steps):
+        new = [0.0] * len(share)
+        for slot, n in enumerate(counts):
+            mixed = sum(s * c[slot] for s, c in zip(share, chances))
+            for i, c in enumerate(chances):
+                new[i] += n * share[i] * c[slot] / mixed
+        share = [x / sum(counts) for x in new]
+    return share, sum(n * math.log(sum(s * c[slot] for s, c in zip(share, chances))) for slot, n in enumerate(counts))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixtures_equal_plain_expectation_maximisation(seed):
+    random = np.random.default_rng(seed)
+    chances = random.dirichlet(np.full(25, 0.3), 3) + 1e-4
+    chances /= chances.sum(axis=1, keepdims=True)
+    true = random.dirichlet(np.ones(3))
+    counts = random.multinomial(3000, true @ chances)
+    share, likely = languages.Languages(["a", "b", "c"], chances)._mixture(chances[:, counts > 0], counts[counts > 0].astype(float))
+    want, most = plain_em(chances[:, counts > 0].tolist(), counts[counts > 0].tolist(), 600)
+    assert np.allclose(share, want, atol=0.02) and most - 1 < likely <= most + 1e-6
+
+
+def test_language_sets_are_the_best_penalised_ones():
+    from itertools import combinations
+
+    random = np.random.default_rng(7)
+    chances = random.dirichlet(np.full(languages.SLOTS, 0.02), 4) + 1e-7
+    chances /= chances.sum(axis=1, keepdims=True)
+    model = languages.Languages(list("abcd"), chances)
+    for true in ([1, 0, 0, 0], [0.6, 0.4, 0, 0], [0, 0.3, 0.3, 0.4], [0.25] * 4):
+        counts = random.multinomial(2000, np.array(true) @ chances)
+        seen = counts > 0
+        best = max(
+            (s for k in range(1, 5) for s in combinations(range(4), k)),
+            key=lambda s: model._mixture(chances[list(s)][:, seen], counts[seen].astype(float))[1] - (len(s) - 1) * languages._PENALTY * math.log(2001),
+        )
+        assert {name for name, _ in model.predict(counts)[2]} == {"abcd"[i] for i in best} == {"abcd"[i] for i, t in enumerate(true) if t}
+
+
+def test_learning_operators_on_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, kept int, score string, licences int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = languages.learn(none)
+    assert languages.identify(none, model).count() == 0 and licenses.scan(none).count() == 0
+    assert quality.judge(none, quality.train(none, labels)).count() == 0
+    one = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    assert languages.identify(one, model).first().lang_pred == languages.UNKNOWN
+    assert quality.judge(one, quality.train(none, labels)).first().kept is False  # fewer than 20 words
