@@ -461,3 +461,25 @@ def test_learning_operators_on_empty_tables(spark):
     one = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     assert languages.identify(one, model).first().lang_pred == languages.UNKNOWN
     assert quality.judge(one, quality.train(none, labels)).first().kept is False  # fewer than 20 words
+
+
+def test_stages_take_rows_of_every_kind(spark):
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    clashing = {c: F.lit("x") for c in ("kept", "score", "lang_pred", "component", "size", "target", "copies", "key", "ids", "start", "doc", "row", "id", "digest")}
+    rows = [(None, None, None, None, None), (7, None, "en", "src1", 3), (None, "", "en", None, 0), (7_000, " \n ", None, "src1", 1), (7_001, "wo rd " * 30_000, "en", "src2", 1)]
+    odd = spark.createDataFrame(rows * 2, given.schema)
+    docs = given.union(given.limit(5)).union(odd).withColumns(clashing)
+    docs = corpus_pipeline.scratch.stored(docs.withColumn("a map", F.create_map(F.lit("k"), F.col("doc_id"))))
+
+    def plain(df):
+        return df.withColumn("a map", F.to_json("a map"))
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.scratch.stored(stage(spark, docs, sf))
+        assert out.columns == docs.columns and 0 < out.count(), name
+        assert plain(out).distinct().exceptAll(plain(docs).distinct()).count() == 0, name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    packed = corpus_pipeline.pack(spark, docs, sf)
+    assert packed.filter("start = 0").count() == docs.count()
+    assert corpus_pipeline.pack(spark, docs.limit(0), sf).count() == 0
