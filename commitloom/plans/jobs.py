@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +46,16 @@ def annotate(
     stanza_factory: ParserFactory,
     full_parse: bool = False,
     vo: str = "either",
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Commit metadata to annotated commits: subject, rules, verb-object flags, mask.
 
-    Rows with a missing value go; a flag left null because no parser was needed stays.
+    Rows with a missing value go; a flag left null because no parser was needed stays. ``profile``: resources
+    that the parsers ask for.
     """
     base = filters.drop_incomplete_rows(commits, subset=["sha", "author", "committer", "message"])
     ruled = ann.annotate_rules(ann.with_subject(base))
-    parsed = with_verb_object(ruled, spacy_factory, stanza_factory, ann.cheap_rules(), full_parse)
+    parsed = with_verb_object(ruled, spacy_factory, stanza_factory, ann.cheap_rules(), full_parse, profile)
     return parsed.withColumn("fits_requirements", ann.requirements_mask(vo))
 
 

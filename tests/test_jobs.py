@@ -335,3 +335,31 @@ def test_rejected_rows_are_stored_first_and_once(spark, landed, monkeypatch):
     for _ in range(2):
         jobs.drill_job(spark, str(landed / "dumps"), drilled, token_parser, sentence_parser)
         assert spark.read.parquet(f"{drilled}-rejected").count() == 1
+
+
+def test_only_the_parse_stages_carry_a_resource_profile(spark, landed):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    commits = readers.read_repo_metadata(spark, str(landed / "meta")).drop(readers.CORRUPT)
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource("gpu", 0.5)).build
+    plan = jobs.annotate(commits, token_parser, sentence_parser, profile=profile)._jdf.queryExecution().logical()
+
+    def nodes(plan):
+        found = [plan]
+        for i in range(plan.children().size()):
+            found += nodes(plan.children().apply(i))
+        return found
+
+    every = nodes(plan)
+    carrying = [n for n in every if "profile" in [f for f in n.productElementNames().mkString(",").split(",")] and n.profile().isDefined()]
+    assert [n.nodeName() for n in carrying] == ["MapInArrow", "MapInArrow"] and len(every) > 2
+    assert all("gpu" in n.profile().get().toString() for n in carrying)
+
+
+def test_parsing_of_whole_rows_changes_no_result(spark, landed):
+    commits = readers.read_repo_metadata(spark, str(landed / "meta")).drop(readers.CORRUPT)
+    rows = ann.annotate_rules(ann.with_subject(commits)).withColumn("_tokens", commits["sha"])
+    one = parsing.with_parse(rows, "_tokens", token_parser, parsing.schemas.PARSE_TOKENS, when=ann.cheap_rules())
+    other = parsing.parse_rows(rows, "_tokens", parsing.F.when(ann.cheap_rules(), rows["subject"]), token_parser, parsing.schemas.PARSE_TOKENS, None)
+    assert other.columns == one.columns and other.schema.simpleString() == one.schema.simpleString()
+    assert sorted(map(repr, other.collect())) == sorted(map(repr, one.collect()))
