@@ -1020,6 +1020,17 @@ def read_drilled(spark, sf_dir):
     return rows.select("repository", "hash", "mixed_content", "message", patches, lost).na.fill("")
 
 
+@query
+def read_drilled_ranges(spark, sf_dir):
+    """History dumps of a repository each, read in ranges of bytes."""
+    path = scratch.new_folder(spark)
+    whole = {"part": F.lit(0), "broken": F.lit(False)}
+    X.write_dumps(X.drilled_commits(spark, sf_dir).withColumns(whole), path)
+    rows = readers.read_drilled_ranges(spark, path)
+    patches = F.array_join(F.col("files")["patch"], "\n").alias("patches")
+    return rows.where(readers.is_readable()).select("repository", "hash", "mixed_content", "message", patches)
+
+
 @query
 def run_stages(spark, sf_dir):
     """All stages from files by one configuration: annotate, preprocess, publish; then the rules again in place."""

@@ -717,6 +717,9 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT '' AS repository, '' AS hash, '' AS mixed_content, '' AS message, '' AS patches, 'unreadable' AS reason FROM
           (SELECT DISTINCT repository, doc_id // 512 FROM mixed WHERE suffix(repository, '7'))"""
     )
+    out["read_drilled_ranges"] = _sql(
+        """SELECT repository, hash, mixed_content, message, array_to_string(list_transform(files, lambda f: f.patch), chr(10)) AS patches FROM mixed"""
+    )
     out["ledger_runs"] = _sql(
         f"""SELECT owner, repo, sha, 'row' AS state, CASE WHEN right(repo, 1) IN ('3', '7') THEN 2 ELSE 1 END AS run FROM commits
         UNION ALL SELECT '' AS owner, '' AS repo, '' AS sha, 'read' AS state, CASE WHEN right(repo, 1) IN ('3', '7') THEN 2 ELSE 1 END AS run FROM {files}

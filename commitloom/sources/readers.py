@@ -137,6 +137,27 @@ def read_drilled(spark: SparkSession, path: str | list[str], file: str | None =
     ).select("c.*", CORRUPT, *([file] if file else []))
 
 
+def read_drilled_ranges(spark: SparkSession, path: str | list[str], first: str = '{"repository":') -> DataFrame:
+    """As ``read_drilled``, with as many tasks a dump as its size asks for: one for each range of bytes that Spark cuts it into.
+
+    ``first`` are the bytes that every commit begins with, and that nothing else can: inside a text a quote is escaped, and files
+    begin with another name. They separate the records of a text source, which Spark splits by itself, so a commit over the border of two
+    ranges is read whole, by one of them. Of a dump that is cut off the commits before the cut are read, and the rest is a
+    row with its text in ``_corrupt_record``; so is all of a file without any commit that is not an empty dump.
+    """
+    lines = spark.read.option("lineSep", first).option("pathGlobFilter", "*.json").text(path)
+    text = F.rtrim(F.col("value"), F.lit(" \t\r\n"))
+    head = text.rlike(r"^\s*\{")  # what comes before the first commit of a file
+    empty = text.rlike(r'^\s*\{\s*"commits"\s*:\s*\[\s*(\]\s*\})?$')
+    commit = F.when(F.endswith(text, F.lit(",")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(F.regexp_replace(text, r"\]\s*\}$", ""))
+    whole = F.concat(F.lit(first), commit)
+    kind = with_corrupt(schemas.DRILLED_COMMIT)
+    parsed = F.from_json(F.when(~head, whole), kind, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"})
+    rows = lines.where(~empty & (text != "")).select(parsed.alias("c"), F.when(head, F.col("value")).alias("lost"))
+    names = schemas.DRILLED_COMMIT.fieldNames()
+    return rows.select(*[F.col(f"c.{n}").alias(n) for n in names], F.coalesce("lost", f"c.{CORRUPT}").alias(CORRUPT))
+
+
 #: Columns that name the folders of a stage.
 UNITS = ("owner", "repo", "repo_key", "unit")
 

@@ -156,3 +156,31 @@ def test_folder_names_stay_as_they_are(spark, tmp_path):
     assert [(r.owner, r.repo) for r in readers.read_stage(spark, str(tmp_path / "stage")).collect()] == [("007", "42")]
     dump(tmp_path / "diffs" / "o-c++ é" / "s.json", {"message": "m", "files": []})
     assert [r.repo_key for r in readers.read_raw_diffs(spark, str(tmp_path / "diffs")).collect()] == ["o-c++ é"]
+
+
+@pytest.mark.parametrize("size", [64, 300, 1000, 1 << 20])
+def test_ranges_of_a_dump_equal_the_whole(spark, tmp_path, size):
+    def commit(i):
+        text = 'é漢 {"repository": \\ ]}, ' * (i % 5) + f"message {i}\n"
+        file = {"status": "ADD", "content_type": "Go", "patch": text, "path_before": None, "path_after": "a.go", "content_after": "x" * 30}
+        return {"repository": "r", "author": "dev", "committer": "d", "message": text, "hash": str(i), "mixed_content": "NO", "files": [file] * (i % 3)}
+
+    dump(tmp_path / "a.json", {"commits": [commit(i) for i in range(40)]})
+    (tmp_path / "b.json").write_text(json.dumps({"commits": [commit(i) for i in range(50, 60)]}, separators=(",", ":"), ensure_ascii=False) + "\n", encoding="utf-8")
+    dump(tmp_path / "empty.json", {"commits": []})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        found = readers.read_drilled_ranges(spark, str(tmp_path))
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, readers.read_drilled(spark, str(tmp_path)).collect()))
+        if size < 1000:
+            assert found.rdd.getNumPartitions() > 10
+        # a broken tail: what is before it is read
+        cut = json.dumps({"commits": [commit(i) for i in range(70, 75)]})
+        (tmp_path / "cut.json").write_text(cut[: cut.rindex("message 74")])
+        (tmp_path / "none.json").write_text('{"owner": "o"')
+        good, bad = quarantine(readers.read_drilled_ranges(spark, str(tmp_path)), {"unreadable": readers.is_readable()})
+        assert sorted(int(r.hash) for r in good.collect()) == [*range(40), *range(50, 60), *range(70, 74)]
+        assert len(bad.collect()) == 2 and all(r[readers.CORRUPT] for r in bad.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
