@@ -90,7 +90,8 @@ def _rest_bytes(rows: DataFrame) -> DataFrame:
 
 
 def _matches(probes: DataFrame, table: DataFrame, on: list[str], distance: int) -> DataFrame:
-    p, t = probes.alias("p"), table.alias("t")
+    # a broadcast would be chosen by the size before the rows were exploded, up to 34 times too small
+    p, t = probes.hint("merge").alias("p"), table.hint("merge").alias("t")
     same = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in on]
     apart = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp")))
     return p.join(t, [*same, apart.between(1, distance)]).select(F.col("p.fp").alias("u"), F.col("t.fp").alias("v"))

@@ -161,3 +161,10 @@ def test_distant_blocks_are_skipped_and_empty_tables_work(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(table).filter("n_links = 3").count() == 8
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_links_broadcast_no_exploded_side(spark):
+    """Look-ups are many times the size they are estimated at: a broadcast of them would go through the driver."""
+    plan = simhash.links(spark.range(50).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().sparkPlan().toString()
+    verified = [line for line in plan.splitlines() if "Join" in line and "bit_count" in line]
+    assert len(verified) == 2 and all("SortMergeJoin" in line for line in verified)
