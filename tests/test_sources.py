@@ -1,8 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from commitloom import schemas
+from commitloom import catalog, fixtures, schemas
 from commitloom.operators import corpus
 from commitloom.plans.work import quarantine
 from commitloom.sources import readers, writers
@@ -184,3 +185,15 @@ def test_ranges_of_a_dump_equal_the_whole(spark, tmp_path, size):
         assert len(bad.collect()) == 2 and all(r[readers.CORRUPT] for r in bad.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_of_fixtures_are_wide_unless_they_are_counted(spark, tmp_path):
+    """20 neighbouring parts of a repository are one file for each 8192 documents; of an unreadable one, a file each."""
+    rows = [(i * 512, "a b c d", "en", source) for i in range(20) for source in ("s1", "s7")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lost = F.col("repo").endswith("7")
+    parts = catalog._metadata_rows(spark, str(tmp_path), lost).select("repo", "part").distinct().groupBy("repo").count()
+    assert {tuple(r) for r in parts.collect()} == {("s1", 2), ("s7", 20)}
+    fixtures.write_metadata(catalog._metadata_rows(spark, str(tmp_path)), f"{tmp_path}/files")
+    assert len([f for f in (tmp_path / "files").glob("*.json") if f.stat().st_size]) == 4
+    assert readers.read_repo_metadata(spark, f"{tmp_path}/files").count() == 40
