@@ -197,3 +197,12 @@ def test_files_of_fixtures_are_wide_unless_they_are_counted(spark, tmp_path):
     fixtures.write_metadata(catalog._metadata_rows(spark, str(tmp_path)), f"{tmp_path}/files")
     assert len([f for f in (tmp_path / "files").glob("*.json") if f.stat().st_size]) == 4
     assert readers.read_repo_metadata(spark, f"{tmp_path}/files").count() == 40
+
+
+def test_api_commits_are_paged(spark, tmp_path):
+    commit = F.struct(*[F.struct(F.col(c).alias("name")).alias(c) for c in ("author", "committer")], "message")
+    rows = spark.range(250).select(F.col("id").alias("doc_id"), F.format_string("s%d", "id").alias("sha"), F.lit("a").alias("author"), F.lit("c").alias("committer"), F.format_string("m\n\"%d", "id").alias("message"))
+    fixtures.write_pages(rows.withColumn("commit", commit), F.floor(F.col("doc_id") / catalog.API_PAGE), f"{tmp_path}/pages")
+    assert len([f for f in (tmp_path / "pages").glob("*.txt") if f.stat().st_size]) == 3
+    found = readers.read_api_commits(spark, f"{tmp_path}/pages", "*.txt").select("sha", "author", "committer", "message", readers.CORRUPT)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"s{i}", "a", "c", f'm\n"{i}', None) for i in range(250))
