@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,6 +74,30 @@ def bleu_score(
     return F.when(reference_length > 0, F.round(score * 100, 2))
 
 
+def common_ngrams(prediction: list[str], reference: list[str]) -> list[int]:
+    """For each order the n-grams of the prediction also in the reference, counted at most as often as there.
+
+    An n-gram is a number: of its first n-1 words' number and its last word's. The numbers of both
+    texts are made dense again at each order, so they never outgrow the square of the tokens.
+    """
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    cut = len(prediction)
+    every = np.fromiter(map(numbers.__getitem__, prediction + reference), np.int64, cut + len(reference))
+    size, found = len(numbers), []
+    words_p, words_r = grams_p, grams_r = every[:cut], every[cut:]
+    kinds = size
+    for n in range(MAX_ORDER):
+        if n:
+            pairs = (grams_p[:-1] * size + words_p[n:], grams_r[:-1] * size + words_r[n:])
+            distinct, dense = np.unique(np.concatenate(pairs), return_inverse=True)
+            cut, kinds = len(pairs[0]), len(distinct)
+            grams_p, grams_r = dense[:cut], dense[cut:]
+        clipped = np.minimum(np.bincount(grams_p, minlength=kinds), np.bincount(grams_r, minlength=kinds))
+        found.append(int(clipped.sum()))
+    return found
+
+
 def match_counts(prediction: Column, reference: Column) -> Column:
     """struct<m1..m4, len_p, len_r> of two texts whose words are their tokens.
 
@@ -87,13 +112,8 @@ def match_counts(prediction: Column, reference: Column) -> Column:
 
     @F.pandas_udf(schema)
     def count(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
-        def matches(p, r, order):
-            in_p, in_r = (Counter(zip(*(t[start:] for start in range(order)))) for t in (p, r))
-            common = in_p.keys() & in_r.keys()
-            return sum(map(min, map(in_p.__getitem__, common), map(in_r.__getitem__, common)))
-
         rows = [
-            [*(matches(p, r, n) for n in orders), len(p), len(r)]
+            [*common_ngrams(p, r), len(p), len(r)]
             for p, r in zip(predictions.map(str.split), references.map(str.split))
         ]
         return pd.DataFrame(rows, columns=names, dtype="int64")

@@ -142,3 +142,16 @@ def test_missing_predictions_are_wrong_and_null_texts_end_nothing(spark):
     texts = spark.createDataFrame(pairs, "prediction string, reference string")
     same = spark.createDataFrame([("a b", "a b"), ("", "a b")], texts.schema)
     assert E.corpus_bleu(texts).collect() == E.corpus_bleu(same).collect()
+
+
+def test_common_ngrams_equal_counted_tuples():
+    import random
+    from collections import Counter
+
+    from commitloom.functions.bleu import MAX_ORDER, common_ngrams
+
+    draw = random.Random(4)
+    for _ in range(400):
+        p, r = ([draw.choice("abcé") for _ in range(draw.randrange(12))] for _ in range(2))
+        grams = [[Counter(zip(*(t[i:] for i in range(n)))) for t in (p, r)] for n in range(1, MAX_ORDER + 1)]
+        assert common_ngrams(p, r) == [sum((a & b).values()) for a, b in grams]
