@@ -102,3 +102,12 @@ def test_split_reads_its_partition(spark, sf_dir, plan, tmp_path):
     writers.export_splits(corpus.split(X.commits(spark, sf_dir)), str(tmp_path / "d"))
     text = plan(readers.read_dataset(spark, str(tmp_path / "d"), "test").select("sha"))
     assert "PartitionFilters: [isnotnull(split" in text and "ReadSchema: struct<sha:string>" in text
+
+
+@pytest.mark.parametrize("build", [X._build_commit_files, X._build_eval_pairs, X.spread_documents])
+def test_built_tables_exchange_the_documents_only(spark, sf_dir, plan, build):
+    """Spread before they are built, and without a sort: a commit holds its text two to four times."""
+    text = plan(build(spark, sf_dir))
+    assert text.count("Exchange") == 1 and "hashpartitioning(doc_id" in text and "Sort" not in text
+    below = text[text.index("Exchange") :]
+    assert "md5" not in below and "array_join" not in below
