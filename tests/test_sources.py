@@ -206,3 +206,48 @@ def test_api_commits_are_paged(spark, tmp_path):
     assert len([f for f in (tmp_path / "pages").glob("*.txt") if f.stat().st_size]) == 3
     found = readers.read_api_commits(spark, f"{tmp_path}/pages", "*.txt").select("sha", "author", "committer", "message", readers.CORRUPT)
     assert sorted(tuple(r) for r in found.collect()) == sorted((f"s{i}", "a", "c", f'm\n"{i}', None) for i in range(250))
+
+
+def _most_tasks(spark, work):
+    """The tasks of the largest stage that ``work`` runs, 0 without any."""
+    context, group = spark.sparkContext, f"g{id(work)}"
+    context.setJobGroup(group, group)
+    work()
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    return max((s.numTasks for s in stages if s), default=0)
+
+
+def test_many_diff_files_are_listed_by_folder_or_by_few_tasks(spark, tmp_path):
+    for i in range(90):
+        dump(tmp_path / "diffs" / f"o-r{i % 3}" / f"s{i}.json", {"message": f"m{i}", "files": []})
+    dump(tmp_path / "diffs" / "beside.json", {"message": "no repository", "files": []})
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    assert _most_tasks(spark, lambda: readers.read_raw_diffs(spark, str(tmp_path / "diffs"))) == 0
+    names = [str(f) for f in (tmp_path / "diffs").glob("*/*.json")]
+    assert 0 < _most_tasks(spark, lambda: readers.read_diff_files(spark, names)) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(setting) == before
+    found = readers.read_raw_diffs(spark, str(tmp_path / "diffs")).select("repo_key", "sha", "message")
+    assert {tuple(r) for r in found.collect()} == {(f"o-r{i % 3}", f"s{i}", f"m{i}") for i in range(90)}
+
+
+def test_built_diffs_are_files_written_by_the_tasks(spark, tmp_path):
+    """Names and texts with marks; null flags go; calls add files; no checksum files, which Spark's writer makes beside each."""
+    file = [("a.py", None, "modified", 'x\r\n"y"')]
+    kind = "repo_key string, message string, files array<struct<filename:string,previous_filename:string,status:string,patch:string>>, broken boolean"
+    keys = ["o-r", "o-a=b/c%d e*é[1]", "", None]
+    rows = [(k, "m\n漢", file, i % 2 == 1) for i, k in enumerate(keys)] + [("o-r", "gone", file, None)]
+    df = spark.createDataFrame(rows, kind)
+    for folder in (f"{tmp_path}/plain", f"file://{tmp_path}/plain"):
+        fixtures.write_diffs(df, folder)
+    assert not list((tmp_path / "plain").rglob("*.crc")) and len(list((tmp_path / "plain").rglob("*.json"))) == 8
+    found = readers.read_raw_diffs(spark, f"{tmp_path}/plain")
+    got = sorted((r.repo_key, r[readers.CORRUPT] is None, r.message, r.files) for r in found.where("_corrupt_record IS NULL").collect())
+    none = "repo_key=__HIVE_DEFAULT_PARTITION__"
+    assert [g[:3] for g in got] == sorted([("repo_key=o-r", True, "m\n漢"), (none, True, "m\n漢")] * 2)
+    assert all(g[3][0]["patch"] == 'x\r\n"y"' for g in got)
+    assert len(found.where("_corrupt_record IS NOT NULL").collect()) == 4
+    df.drop("broken").write.partitionBy("repo_key").json(f"{tmp_path}/spark")
+    assert {f.name for f in (tmp_path / "plain").iterdir()} == {f.name for f in (tmp_path / "spark").iterdir() if f.is_dir()}
