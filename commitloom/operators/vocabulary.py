@@ -68,9 +68,12 @@ def _index(entries: list[tuple[str, int]], spark: SparkSession) -> Column:
     return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
 
 
-def _heavy(df: DataFrame, every: Column, count: int) -> list[str]:
-    """About the most frequent tokens, by a sketch over one row in ``SAMPLED``; they decide how a token is looked up, not its id."""
-    some = df.where(F.pmod(F.xxhash64(every), F.lit(SAMPLED)) == 0).select(F.explode(every).alias("token"))
+def _heavy(df: DataFrame, every: Column, count: int, columns: list[str] | None = None) -> list[str]:
+    """About the most frequent tokens, by a sketch over one row in ``SAMPLED``; they decide how a token is looked up, not its id.
+
+    Rows are drawn by their ``columns`` if given, so that those not drawn are not split into tokens.
+    """
+    some = df.where(F.pmod(F.xxhash64(*(columns or [every])), F.lit(SAMPLED)) == 0).select(F.explode(every).alias("token"))
     sketch = F.call_function("approx_top_k", F.col("token"), F.lit(count), F.lit(min(8 * count, 1_000_000)))
     found = some.agg(sketch.alias("top")).first()["top"]
     return [row["item"] for row in found or []]
@@ -121,7 +124,7 @@ def encode(df: DataFrame, columns: list[str], vocab: DataFrame, keys: str | list
     head = table.where(short).limit(inline + 1).collect()  # inline + 1 rows at most
     joined = len(head) > inline or not table.where(~short).isEmpty()
     if joined:
-        heavy = [t for t in _heavy(df, every, inline) if len(t.encode()) <= LONGEST and t not in RESERVED]
+        heavy = [t for t in _heavy(df, every, inline, columns) if len(t.encode()) <= LONGEST and t not in RESERVED]
         names = spark.createDataFrame([(t,) for t in heavy], "token string")
         head = names.join(table, "token", "left").collect()  # inline rows at most; without an id where unknown
         df = _looked_up(df, keys, columns, every, [*RESERVED, *heavy], table)

@@ -135,3 +135,13 @@ def test_prepare_eval(spark):
 def test_rerun_needs_overwrite():
     with pytest.raises(ValueError):
         StageConfig(rerun_rule_filters=True)
+
+
+def test_rows_that_are_not_sketched_are_not_split(spark, monkeypatch):
+    """The filter that draws the rows for the heavy tokens looks at their texts alone."""
+    seen = []
+    monkeypatch.setattr(vocabulary.F, "call_function", lambda name, token, *a: seen.append(token) or F.collect_set(F.struct(token.alias("item"))))
+    rows = spark.createDataFrame([(f"a b {i}",) for i in range(64)], "x string")
+    drawn = rows.where(F.pmod(F.xxhash64("x"), F.lit(vocabulary.SAMPLED)) == 0)
+    want = {t for r in drawn.collect() for t in r["x"].split()}
+    assert seen == [] and set(vocabulary._heavy(rows, vocabulary.tokens(F.col("x")), 8, ["x"])) == want and want
