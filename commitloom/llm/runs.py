@@ -28,10 +28,10 @@ def _group_starts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(at, sizes), np.repeat(sizes, sizes)
 
 
-def suffix_levels(ids: np.ndarray) -> list[np.ndarray]:
+def suffix_levels(ids: np.ndarray, depth: int | None = None) -> list[np.ndarray]:
     """Ranks of all suffixes by their first 1, 2, 4, ... ids, by prefix doubling; equal prefixes share the first place.
 
-    The last level is the inverse suffix array. Only suffixes that still share a rank are sorted again.
+    The last level is the inverse suffix array, or ranks by ``depth`` ids (a power of two). Only suffixes that still share a rank are sorted again.
     """
     n = len(ids)
     order = np.argsort(ids, kind="stable")
@@ -39,7 +39,7 @@ def suffix_levels(ids: np.ndarray) -> list[np.ndarray]:
     rank = np.empty(n, np.int64)
     rank[order] = start
     levels, active, ahead = [rank], order[size > 1], 1
-    while len(active):
+    while len(active) and ahead != depth:
         after = active + ahead
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         keys = rank[active] * (n + 1) + second

@@ -216,6 +216,78 @@ def test_html_without_containers_by_host(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+pages_of = st.lists(st.tuples(st.sampled_from(["h", "i"]), st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=14), max_size=3)), min_size=1, max_size=24)
+
+
+@settings(max_examples=60, deadline=None)
+@given(pages_of, st.sampled_from([1, 40, 10**6]), st.booleans())
+def test_suffix_arrays_find_all_repeats(pages, segment, is_open):
+    import pandas as pd
+
+    blocks = [[" ".join(b) for b in page] for _, page in pages]
+    hosts = [host for host, _ in pages]
+    page = [hash((host, *b)) for host, b in zip(hosts, blocks)]
+    batch = pd.DataFrame({"host": hosts, "page": page, "known": 99, "open": is_open, "blocks": blocks})
+    batch["n"], batch["named"], batch["kinds"], batch["junk"], batch["wide"] = range(len(pages)), False, blocks, blocks, blocks
+    before, html._SEGMENT = html._SEGMENT, segment
+    try:
+        found, suffixes = pd.concat(html.repeats(iter([batch]))), pd.concat(html._suffixes(iter([batch])))
+    finally:
+        html._SEGMENT = before
+    windows = {}
+    for n, (host, b) in enumerate(zip(hosts, blocks)):
+        words = " ".join(b).split()
+        row = suffixes[suffixes["n"] == n]
+        places, starts = ([v for values in row[c] for v in values] for c in ("places", "starts"))
+        assert places == list(range(max(0, len(words) - 7)))
+        for at, start in zip(places, starts):
+            windows.setdefault((host, *words[at : at + 8]), (set(), set(), set()))
+            for group, value in zip(windows[host, *words[at : at + 8]], (start, n, page[n])):
+                group.add(value)
+    keys = [start for starts, _, _ in windows.values() for start in starts]
+    assert len(keys) == len(set(keys)) == len(windows)
+    merged = found.groupby("start").agg({"low": "min", "high": "max", "held": "sum", "met": "sum"})
+    for (host, *_), (starts, rows, texts) in windows.items():
+        [start] = starts
+        if is_open:
+            assert tuple(merged.loc[start, ["low", "high"]]) == (min(texts), max(texts))
+        if 2 * len(rows) > hosts.count(host):
+            one = merged.loc[start]
+            assert 10 * (2 * one["held"] - one["met"]) > hosts.count(host) - one["met"] and one["held"] <= len(rows)
+    assert set(found["start"]) <= set(keys) and (not is_open or set(found["start"]) == set(keys))
+
+
+def test_html_template_text_inside_containers_goes(spark):
+    notice = "write to us if you have found an error on this page of ours"
+    quoted = "a passage that four of the twelve articles quote word by word"
+    unique = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows, want = [], {}
+    for i in range(12):
+        inside = f"<p>{unique(i)}</p>" + (f"<p>{quoted}</p>" if i < 4 else "")
+        rows.append((i, f"http://h.example/{i}", f"<nav>menu</nav><article>{inside}<p>{notice}</p></article>"))
+        want[i] = unique(i) + (f"\n\n{quoted}" if i < 4 else "")
+    for i in range(20, 27):  # fewer pages than a template needs
+        rows.append((i, f"http://small.example/{i}", f"<article><p>{unique(i)}</p><p>{notice}</p></article>"))
+        want[i] = f"{unique(i)}\n\n{notice}"
+    for i in range(40, 60):  # one article on all pages of a host, nearly the same or the same
+        rows.append((i, f"http://copies.example/{i}", f"<article><h1>{i // 2}</h1><p>{unique(0)}</p><p>{quoted}</p></article>"))
+        want[i] = f"{i // 2}\n\n{unique(0)}\n\n{quoted}"
+    for i in range(60, 70):  # copies of a page are no template
+        text = f"<p>{unique(min(i, 66))}</p><p>{notice if i > 63 else 'other'}</p>"
+        rows.append((i, f"http://again.example/{i}", f"<article>{text}</article>"))
+        want[i] = f"{unique(min(i, 66))}\n\n{notice if i > 63 else 'other'}"
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        assert {r.page_id: r.text for r in html.extract(table.repartition(parts)).collect()} == want
+
+
+def test_containers_are_compared_by_what_the_host_does_not_repeat(spark):
+    legal = "all that is written here is given without any warranty by those who wrote it " * 3
+    rows = [(i, f"http://h.example/{i}", f"<main><p>{legal}</p><article><p>text {i} of its own</p></article></main>") for i in range(9)]
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: f"text {i} of its own" for i in range(9)}
+
+
 def test_html_of_all_pages(spark):
     found = {r.page_id: r.text for r in catalog.op4_extract_html(spark, SF).collect()}
     for page in spark.read.parquet(f"{SF}/pages.parquet").collect():
