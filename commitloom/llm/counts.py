@@ -18,7 +18,7 @@ from .packing import WordTokenizer
 CACHE = "tokenizer string, digest binary, n_tokens long"
 #: Digests that are broadcast at most; 32 bytes each.
 SMALL = 1_000_000
-_SEGMENT = 4_000_000  # characters counted at once
+_SEGMENT = 1_000_000  # characters counted at once
 _COUNTERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 

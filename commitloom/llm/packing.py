@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 CONTEXT = 2048
 END = 1  # id that ends every document
-_CACHE = 1_000_000  # words whose ids a worker remembers, about 250 MB; then it starts anew
-_SEGMENT = 4_000_000  # characters tokenized at once
+_CACHE = 150_000  # words whose ids a worker remembers; then it forgets those met in one call only
+_SEGMENT = 1_000_000  # characters tokenized at once
 _JOINED = 2000  # new words tokenized in one call
 _SIGNS = ".,;:!?%$#&*<>|()[]{}+-=/_~^@\""  # not the apostrophe, which may start a unit
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
@@ -27,6 +27,7 @@ class WordTokenizer:
     The pre-tokenizer of such files starts a new unit at a space or line break between two
     characters that are not white space. So texts are cut there, each distinct word is tokenized once,
     and the ids are strung together by index arrays. A text with other white space is tokenized as a whole.
+    A word that ends in signs is remembered without them: its ids are put together for a call and dropped after it.
     """
 
     def __init__(self, path: str):
@@ -38,30 +39,53 @@ class WordTokenizer:
         self.model.no_padding()
         (self.newline,) = self._whole("\n")
         self.space = self.model.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]  # as the model sees it
-        self._forget()
+        self._empty()
 
-    def _forget(self) -> None:
-        """Empties the memory: places of known words, and their ids one after the other."""
+    def _empty(self) -> None:
+        """Empties the memory: places of known words, the calls that met them, and their ids one after the other."""
         self.words: dict[str, int] = {}
         self.tails: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.met = np.zeros(1 << 12, np.int32)
         self.pool, self.used, self.known = np.zeros(1 << 14, "<u4"), 0, 0
+        self.lasting = 0, 0  # ids and words that stay after a call
+
+    def _forget(self) -> None:
+        """Keeps the words met in more than one call since the last time, those met most if they fill half the memory."""
+        met = self.met[: self.known]
+        again = np.flatnonzero(met > 1)
+        kept = np.zeros(self.known, bool)
+        kept[again[np.argsort(-met[again], kind="stable")[: _CACHE // 2]]] = True
+        kept = kept.tolist()
+        words = {w: place for w, place in self.words.items() if kept[place]}
+        places = np.fromiter(words.values(), np.int64, len(words))
+        lengths = self.lengths[places].astype(np.int64)
+        sizes = np.maximum(lengths, 0)
+        ids = self._gathered(self.starts[places], sizes)
+        self._empty()
+        self._remember(list(words), ids, np.cumsum(sizes) - sizes, lengths, self.words)
+        self.met[: self.known] = 1
+        self.lasting = self.used, self.known
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.dtype("<u4"))
 
-    def _remember(self, names: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, into: dict) -> None:
-        """Keeps the ids of many words; starts are places in ``ids``. Length -1: texts with the word are tokenized as a whole."""
-        while self.known + len(names) > len(self.starts):
-            self.starts, self.lengths = (np.append(x, np.zeros_like(x)) for x in (self.starts, self.lengths))
+    def _put(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> range:
+        """Places of new words; starts are places in ``ids``. Length -1: texts with the word are tokenized as a whole."""
+        while self.known + len(starts) > len(self.starts):
+            self.starts, self.lengths, self.met = (np.append(x, np.zeros_like(x)) for x in (self.starts, self.lengths, self.met))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        at = slice(self.known, self.known + len(names))
+        at = slice(self.known, self.known + len(starts))
         self.starts[at], self.lengths[at] = starts + self.used, lengths
         self.pool[self.used : self.used + len(ids)] = ids
-        into.update(zip(names, range(self.known, self.known + len(names))))
-        self.known += len(names)
+        self.known += len(starts)
         self.used += len(ids)
+        return range(at.start, at.stop)
+
+    def _remember(self, names: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, into: dict) -> None:
+        """Keeps the ids of many words."""
+        into.update(zip(names, self._put(ids, starts, lengths)))
 
     def _remember_each(self, names: list[str], ids: list[list[int]], into: dict) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -82,14 +106,9 @@ class WordTokenizer:
         return self.pool[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
 
     def _learn(self, words: list[str]) -> None:
-        """Remembers the ids of words; a word keeps its line break, or gets its space, in front."""
-        units, plain, led, odd, tailed = [], [], [], [], {}
+        """Remembers the ids of new words; a word keeps its line break, or gets its space, in front."""
+        units, plain, led, odd = [], [], [], []
         for word in words:
-            core = word.rstrip(_SIGNS)
-            if core != word and core[-1:].isalpha():  # signs after a letter are a unit of their own
-                tailed[word] = core
-        whole = dict.fromkeys([*(w for w in words if w not in tailed), *tailed.values()])
-        for word in [w for w in whole if w not in self.words]:
             if word.isascii() and word.isalpha():  # a unit with its space
                 units.append(word)
                 continue
@@ -108,18 +127,36 @@ class WordTokenizer:
             self._remember_joined(some, "".join(some), True)
         nothing = np.zeros(len(odd), np.int64)
         self._remember(odd, np.zeros(0, "<u4"), nothing, nothing - 1, self.words)
-        if not tailed:
-            return
-        tails = [w[len(c) :] for w, c in tailed.items()]
-        new = [t for t in dict.fromkeys(tails) if t not in self.tails]
-        self._remember_each(new, [self._whole(t).tolist() for t in new], self.tails)
-        places = np.array([[self.words[c], self.tails[t]] for c, t in zip(tailed.values(), tails)])
-        sizes = self.lengths[places].astype(np.int64)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the ids of these distinct words stand, until the next call."""
+        self.used, self.known = self.lasting
+        cores, tails, tailed = [w.rstrip(_SIGNS) for w in words], [], []
+        for i in [i for i, (core, word) in enumerate(zip(cores, words)) if len(core) < len(word)]:
+            if cores[i][-1:].isalpha():  # signs after a letter are a unit of their own
+                tails.append(words[i][len(cores[i]) :])
+                tailed.append(i)
+            else:
+                cores[i] = words[i]
+        distinct = dict.fromkeys(cores)
+        new = [w for w in distinct if w not in self.words]
+        if self.known + len(new) > _CACHE:
+            self._forget()
+            new = [w for w in distinct if w not in self.words]
+        self._learn(new)
+        signs = [t for t in dict.fromkeys(tails) if t not in self.tails]
+        self._remember_each(signs, [self._whole(t).tolist() for t in signs], self.tails)
+        self.lasting = self.used, self.known
+        places = np.fromiter(map(self.words.__getitem__, cores), np.int64, len(cores))
+        self.met[places] += 1  # once for each place
+        pairs = np.column_stack([places[tailed], np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))])
+        sizes = self.lengths[pairs].astype(np.int64)
         unknown = sizes[:, 0] < 0
         sizes[unknown] = 0
         total = sizes.sum(axis=1)
-        ids = self._gathered(self.starts[places].ravel(), sizes.ravel())
-        self._remember(list(tailed), ids, np.cumsum(total) - total, np.where(unknown, -1, total), self.words)
+        ids = self._gathered(self.starts[pairs].ravel(), sizes.ravel())
+        places[tailed] = self._put(ids, np.cumsum(total) - total, np.where(unknown, -1, total))
+        return places
 
     def _parts(self, text: str) -> Iterator[str]:
         """The text in segments of bounded length, cut in front of a space between two words."""
@@ -147,12 +184,7 @@ class WordTokenizer:
         cut = pc.split_pattern(pa.array(led, pa.large_string()), " ")
         words = cut.flatten().dictionary_encode()
         seen = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in seen if w not in self.words]
-        if self.known + len(new) > _CACHE:
-            self._forget()
-            new = seen
-        self._learn(new)
-        places = np.fromiter(map(self.words.__getitem__, seen), np.int64, len(seen))
+        places = self._places(seen)
         return parts, np.array(owner, np.int64), np.array(first, bool), places[words.indices.to_numpy()], np.diff(cut.offsets.to_numpy())
 
     def _sizes(self, places: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     Null and empty texts are one piece of one id. Null keys and repeated rows stay, each row packed by
     itself; other columns are not read. An empty table gives no rows. Row-local: no shuffle; a worker
-    holds about four million characters and a bounded word memory.
+    holds about a million characters and a bounded word memory.
     """
     if context < 1 or context & (context - 1):
         raise ValueError("context is a power of two")

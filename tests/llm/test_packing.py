@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +67,34 @@ def test_empty_table_and_bad_context(spark):
     assert packing.pack(empty, PATH).count() == 0
     with pytest.raises(ValueError):
         packing.pack(empty, PATH, context=1000)
+
+
+def test_remembered_words_stay_few_and_those_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE", 40)
+    tokenizer = packing.WordTokenizer(PATH)
+    learned = []
+    monkeypatch.setattr(tokenizer, "_learn", lambda words, learn=tokenizer._learn: (learned.extend(words), learn(words)))
+    for i in range(60):  # two common words, and two that no other text has, each with four endings
+        text = f"the house wörd{i} näme{i}x wörd{i}, näme{i}x. the, house! näme{i}x%%% wörd{i}?"
+        assert [ids.tolist() for ids in tokenizer.encode([text])] == [plain(text)]
+        assert tokenizer.count([text]).tolist() == [len(plain(text))]
+        assert len(tokenizer.words) <= 40
+        assert tokenizer.lasting[1] <= 60  # the signs are few
+    assert learned.count("house") == 1
+
+
+def test_memory_of_a_worker_is_bounded():
+    """What a worker remembers and the arrays of a segment, over 288 000 different words."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(w) + s for w, s in zip(letters[rng.integers(0, 26, (12_000, 7))], [",", "", ".", ""] * 3000)) for _ in range(24)]
+    batch = pa.record_batch([pa.array(range(24)), pa.array(texts)], ["key", "text"])
+    list(packing._pieces(PATH, 2048, True)(iter([batch.slice(0, 1)])))  # loads the tokenizer
+    tracemalloc.start()
+    try:
+        made = sum(out.num_rows for out in packing._pieces(PATH, 2048, True)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        packing._TOKENIZERS.clear()
+    assert made > 24 and peak < 80_000_000
