@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 CONTEXT = 2048
 END = 1  # id that ends every document
-_CACHE = 150_000  # words whose ids a worker remembers; then it forgets those met in one call only
+_CACHE = 250_000  # words whose ids a worker remembers; then it forgets those met in one call only
 _SEGMENT = 1_000_000  # characters tokenized at once
 _JOINED = 2000  # new words tokenized in one call
 _SIGNS = ".,;:!?%$#&*<>|()[]{}+-=/_~^@\""  # not the apostrophe, which may start a unit
