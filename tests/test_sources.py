@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from commitloom import catalog, fixtures, schemas
 from commitloom.operators import corpus
 from commitloom.plans.work import quarantine
-from commitloom.sources import readers, writers
+from commitloom.sources import files, readers, writers
 
 
 def dump(path, value):
@@ -251,3 +251,40 @@ def test_built_diffs_are_files_written_by_the_tasks(spark, tmp_path):
     assert len(found.where("_corrupt_record IS NOT NULL").collect()) == 4
     df.drop("broken").write.partitionBy("repo_key").json(f"{tmp_path}/spark")
     assert {f.name for f in (tmp_path / "plain").iterdir()} == {f.name for f in (tmp_path / "spark").iterdir() if f.is_dir()}
+
+
+ODD = {
+    "plain": b'{"message": "m", "files": [{"filename": "a.py", "patch": {"x":1}, "y": 2}]}', "cut": b'{"message": ', "blank": b" \n\t", "none": b"", "null": b"null",
+    "text": b'"abc"', "control": b'\x01{"message": "m"}', "typed": b'{"message": "m", "files": "text"}', "more": b'{"message": "m"} xx', "marked": b'\xef\xbb\xbf{"message": "\xc3\xa9"}',
+    "wide": '{"message": "\u6f22", "files": []}'.encode("utf-16"), "wide cut": '{"message": '.encode("utf-16"), "bytes": b'{"message": "\xff", "files": []}', "[x]{1} %41+#\u00e9\u00a0\U0001f600": b"{}",
+    "several": b' [{"message": "1"}, {"message": "2", "files": []}]', "several none": b"[]", "several cut": b'[{"message": "1"}, {"mess', "several typed": b'[{"message": "1"}, {"files": "text"}]',
+    "several mixed": b'[null, {"message": "1"}]', "_hidden": b"{}", ".hidden": b"{}", "long": b'{"message": "' + b"x" * 5_000_000 + b'"}',
+}
+
+
+def test_files_opened_by_tasks_are_read_as_sparks_reader_reads_them(spark, tmp_path):
+    for folder in ("o-r", "o-c++ \u00e9%2F", "_o", ".o"):
+        (tmp_path / folder).mkdir()
+        for name, content in ODD.items():
+            (tmp_path / folder / f"{name}.json").write_bytes(content)
+    dump(tmp_path / "o-r" / "deeper.json" / "q.json", {})
+    dump(tmp_path / "beside.json", {})
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        folders = [f for _, f in readers._folders(spark, path)]
+        names = [readers.literal_path(f) for f in folders]
+        reader = spark.read.schema(readers.with_corrupt(schemas.RAW_DIFF)).option("columnNameOfCorruptRecord", readers.CORRUPT).option("pathGlobFilter", "*.json")
+        columns = ["_metadata.file_path", "_metadata.file_name", "message", "files", readers.CORRUPT]
+        want = sorted(map(repr, reader.json(names, multiLine=True).select(*columns).collect()))
+        listing = files.listed(spark, folders)
+        assert sorted(map(repr, files.parsed(listing, schemas.RAW_DIFF, readers.CORRUPT).select(*columns).collect())) == want and len(want) > 70
+        state = ["_metadata.file_path", "path", "_metadata.file_size", "_metadata.file_modification_time"]
+        seen = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(names).select(*state)
+        assert sorted(map(tuple, listing.collect())) == sorted(map(tuple, seen.where("file_size > 0").collect()))
+
+
+def test_the_driver_holds_no_names_of_diff_files(spark, tmp_path):
+    for i in range(9):
+        dump(tmp_path / "diffs" / f"o-r{i % 2}" / f"s{i}.json", {"message": f"m{i}", "files": []})
+    for found in (readers.read_raw_diffs(spark, str(tmp_path / "diffs")), readers.read_raw_diffs(spark, str(tmp_path / "diffs"), [str(tmp_path / "diffs" / "o-r1")])):
+        assert found.inputFiles() == []
+    assert sorted(r.message for r in found.collect()) == ["m1", "m3", "m5", "m7"]
