@@ -138,6 +138,19 @@ def test_run_stages(spark, landed):
     assert {r["sha"] for r in got.collect()} == {"aa", "bb"}
 
 
+def test_stages_never_give_diff_files_to_a_reader_that_lists_them_in_the_driver(spark, landed, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    paths = StagePaths(*(str(landed / d) for d in ("meta", "b", "diffs", "d", "e")))
+    read, given = DataFrameReader.json, []
+    monkeypatch.setattr(DataFrameReader, "json", lambda self, path, *a, **kw: given.append(str(path)) or read(self, path, *a, **kw))
+    config = StageConfig(annotate_metadata=True, preprocess_diffs=True, publish_raw_diffs=True, publish_dataset=True)
+    jobs.run_stages(spark, config, paths, token_parser, sentence_parser)
+    assert spark.read.parquet(f"{paths.published}/processed-diffs").count() == 2
+    assert spark.read.parquet(f"{paths.published}/raw-diffs").count() == 5
+    assert given == [paths.metadata]
+
+
 def test_done_units_are_skipped(spark, landed):
     out = str(landed / "b")
     args = (spark, str(landed / "meta"), out)
