@@ -116,6 +116,38 @@ def test_files_beyond_those_opened_by_name(spark, meta, tmp_path, monkeypatch):
     assert rows(spark, out) == rows(spark, other) and ledger(spark, out) == ledger(spark, other)
 
 
+@pytest.mark.parametrize("name", ["LARGE", "BY_NAME", "on_disk"])
+def test_files_opened_by_tasks_by_name_or_by_the_source_are_the_same(spark, sources, meta, tmp_path, monkeypatch, name):
+    kinds = ((landing.METADATA, str(meta)), (landing.DIFFS, str(sources / "diffs")))
+    parts = ((stages.ROWS, ("repo_key", "sha", "message", stages.FILE)), (stages.REJECTED, ("sha", "reason", stages.FILE)), (stages.LEDGER, (stages.FILE, "size", "modified", "outcome")))
+
+    def state(out):
+        for kind, source in kinds:
+            landing.land(spark, kind, source, f"{out}/{source.rpartition('/')[2]}", buckets=2)
+            yield [rows(spark, f"{out}/{source.rpartition('/')[2]}", p, c) for p, c in parts]
+
+    want = list(state(tmp_path / "by-tasks"))
+    assert all(found for part in want for found in part)
+    if name == "LARGE":
+        monkeypatch.setattr(landing, "LARGE", 60)  # some files, not all
+    else:
+        monkeypatch.setattr(landing.disk, "on_disk", lambda *_: False)
+        monkeypatch.setattr(landing, "BY_NAME", 0 if name == "BY_NAME" else landing.BY_NAME)
+    assert list(state(tmp_path / "other")) == want
+
+
+def test_the_driver_gets_no_names_of_small_files(spark, sources, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    def refused(self, *_, **__):
+        raise AssertionError("the names of these files would stay in the driver")
+
+    monkeypatch.setattr(DataFrameReader, "json", refused)
+    monkeypatch.setattr(DataFrameReader, "load", refused)
+    landing.land(spark, landing.DIFFS, str(sources / "diffs"), str(tmp_path / "out"), buckets=2)
+    assert rows(spark, str(tmp_path / "out")) == [("p1",), ("p2",), ("p3",), ("p4",)]
+
+
 class Stopped(Exception):
     pass
 
