@@ -288,3 +288,23 @@ def test_the_driver_holds_no_names_of_diff_files(spark, tmp_path):
     for found in (readers.read_raw_diffs(spark, str(tmp_path / "diffs")), readers.read_raw_diffs(spark, str(tmp_path / "diffs"), [str(tmp_path / "diffs" / "o-r1")])):
         assert found.inputFiles() == []
     assert sorted(r.message for r in found.collect()) == ["m1", "m3", "m5", "m7"]
+
+
+def test_many_small_metadata_files_are_written_by_the_tasks_and_moved(spark, tmp_path):
+    """As Spark's writer writes them, without the checksum files that it makes beside each; moved in place of others."""
+    columns = ("'o' AS owner", "concat('r+', id % 3) AS repo", "id AS doc_id", "md5(string(id)) AS sha", "concat('a', char(10)) AS author")
+    rows = spark.range(60).selectExpr(*columns, "if(id % 7 = 0, null, 'c') AS committer", "concat(char(233), char(34)) AS message", "id % 5 AS part")
+    rows = rows.withColumn("broken", F.when(F.col("doc_id") != 59, F.col("repo").endswith("1")))
+    found = []
+    for folder, small in (("tasks", True), ("spark", False)):
+        at, moved = tmp_path / folder, tmp_path / f"{folder}-moved"
+        fixtures.write_metadata(rows, f"file://{at}", small=small)
+        assert bool(list(at.glob(".*.crc"))) is not small
+        assert len([f for f in at.glob("*.json") if f.stat().st_size]) == 15
+        names = fixtures.move_files(spark, str(at), f"file://{moved}")
+        assert sorted(f.name for f in moved.glob("*.json")) == sorted(names) and not [f for f in at.glob("*.json") if f.stat().st_size]
+        found.append(sorted(map(repr, readers.read_repo_metadata(spark, str(moved)).select("owner", "repo", "sha", "author", "committer", "message", F.col(readers.CORRUPT).isNull()).collect())))
+        fixtures.write_metadata(rows.withColumn("broken", F.lit(False)).where("doc_id < 59"), str(at), small=small)
+        assert fixtures.move_files(spark, str(at), str(moved), names) == names
+        assert readers.read_repo_metadata(spark, str(moved)).where(readers.is_readable()).count() == 59
+    assert found[0] == found[1]
