@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -273,6 +274,49 @@ def test_stream_equals_batch(spark, landed):
     assert len(stored(spark, out)) == 5
 
 
+def seen_by_spark(checkpoint):
+    """The files that the file stream of a checkpoint has in its log."""
+    logs = [f for f in (checkpoint / "sources" / "0").iterdir() if not f.name.startswith(".")]
+    return {json.loads(line)["path"].replace("file:///", "/") for f in logs for line in f.read_text().splitlines()[1:]}
+
+
+def test_the_stream_keeps_no_names_of_diff_files_in_the_driver(spark, landed):
+    landing, out, checkpoint = landed / "diffs", str(landed / "stream"), landed / "cp"
+    many = {f"n{i:02d}" for i in range(23)}
+    for i, name in enumerate(sorted(many)):
+        dump(landing / "o-n" / f"{name}.json", {"message": name, "files": [file("z.go")]})
+        os.utime(landing / "o-n" / f"{name}.json", (10**9 - i, 10**9 - i))  # the last name is the oldest
+    (landing / "o-n" / "none.json").write_text("")
+    dump(landing / "beside.json", {"message": "no repository", "files": [file("z.go")]})
+    ingest_stream(spark, str(landing), out, str(checkpoint), max_files=5).awaitTermination(120)
+    assert many <= {r["sha"] for r in spark.read.parquet(out).collect()} and "beside" not in {r["sha"] for r in spark.read.parquet(out).collect()}
+    parts = sorted((checkpoint / "listed").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert {str(f) for f in parts} == seen_by_spark(checkpoint)
+    names = [[r["path"].rpartition("/")[2] for r in spark.read.parquet(str(f)).collect()] for f in parts]
+    assert max(map(len, names)) <= 5 and [n for part in names for n in part][:23] == sorted((f"{n}.json" for n in many), reverse=True)
+    # a file that had no content counts as not there until it has some, and a listed one is not taken again
+    dump(landing / "o-n" / "none.json", {"message": "Filled", "files": [file("z.go")]})
+    before = len(stored(spark, out))
+    ingest_stream(spark, str(landing), out, str(checkpoint)).awaitTermination(120)
+    assert len(stored(spark, out)) == before + 1 and len(list((checkpoint / "listed").glob("*.parquet"))) == len(parts) + 1
+
+
+def test_a_checkpoint_without_a_list_is_gone_on_with(spark, landed, monkeypatch):
+    landing, out, checkpoint = landed / "diffs", str(landed / "stream"), landed / "cp"
+    (landing / "o-r" / "cut.json").write_text("{")
+    with monkeypatch.context() as patch:  # as on another file system, and as earlier versions did
+        patch.setattr(ingest.disk, "on_disk", lambda *_: False)
+        ingest_stream(spark, str(landing), out, str(checkpoint), max_files=2).awaitTermination(120)
+    want = stored(spark, out)
+    assert len(want) == 4
+    dump(landing / "o-r" / "zz.json", {"message": "New", "files": [file("z.go")]})
+    ingest_stream(spark, str(landing), out, str(checkpoint)).awaitTermination(120)
+    assert len(stored(spark, out)) == 5 and not (checkpoint / "listed").exists()
+    assert [r["sha"] for r in spark.read.parquet(f"{out}-rejected").collect()] == ["cut"]
+    ingest_stream(spark, str(landing), str(landed / "other"), str(landed / "cp2")).awaitTermination(120)
+    assert stored(spark, str(landed / "other")) == stored(spark, out)
+
+
 def test_stream_takes_fitting_commits_only(spark, landed):
     annotated = spark.createDataFrame(
         [("o-r", "aa", True), ("o-r", "bb", False)], "repo_key string, sha string, fits_requirements boolean"
